@@ -27,13 +27,16 @@ def vtype(v) -> Column:
     return F.regexp_extract(F.schema_of_variant(_c(v)), r"^([A-Z]+)", 1)
 
 
-def json_value(v, depth: int = 4) -> Column:
+def json_value(v, depth: int = 3) -> Column:
     """Polymorphic feed value as trimmed text.
 
     A string gives itself trimmed (blank -> NULL); an object gives its
     ``value`` member, read the same way; an array gives the first element
     that yields a value; anything else gives NULL.  Nesting is followed
-    ``depth`` levels deep.
+    ``depth`` levels deep (feeds nest at most two: a list of value objects).
+
+    Pass a column that already holds the member's VARIANT (not an expression
+    re-reading the document): the member is referenced several times.
     """
     v = _c(v)
     kind = vtype(v)

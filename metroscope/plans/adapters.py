@@ -61,11 +61,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- stop visits
-def stop_visits_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stop_visits_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
     """Parsed stop visits (before load): one per event."""
     e = _events(spark, sf_dir)
     lk = (F.col("user_id") * 17).cast("string")
-    return e.select(
+    return e.select(*(["event_id"] if with_event_id else []),
         F.concat(F.lit("STIF:StopPoint:Q:"), (F.col("event_id") % 97).cast("string"), F.lit(":")).alias("stop_id"),
         F.concat(F.lit("STIF:Line::C"), lk, F.lit(":")).alias("line_id"),
         F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("vehicle_journey_id"),
@@ -126,11 +126,11 @@ def _station_lon(k):
     return F.lit(1.4) + (k * 104729 % 2300).cast("double") / F.lit(1000.0)
 
 
-def air_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def air_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
     """Air measurements: one per event, station = user."""
     e = _events(spark, sf_dir)
     u, v, et = F.col("user_id"), F.col("value"), F.col("event_type")
-    return e.select(
+    return e.select(*(["event_id"] if with_event_id else []),
         F.concat(F.lit("@"), u.cast("string")).alias("station_id"),
         F.concat(_pick(u % 10, PLACE_NAMES), F.lit(" "), u.cast("string")).alias("station_name"),
         _station_lat(u).alias("latitude"), _station_lon(u).alias("longitude"),
@@ -170,12 +170,12 @@ FROM events"""
 
 
 # --------------------------------------------------------------------------- weather
-def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weather_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
     """Weather observations: one per event, point = user div 2."""
     e = _events(spark, sf_dir)
     k, v, et = F.expr("user_id div 2"), F.col("value"), F.col("event_type")
     precip = F.when(et == "error", F.lit(None).cast("double")).when(et == "purchase", v % 12.0).otherwise(F.lit(0.0))
-    return e.select(
+    return e.select(*(["event_id"] if with_event_id else []),
         F.concat(F.lit("P"), k.cast("string")).alias("point_id"),
         F.concat(_pick(k % 10, PLACE_NAMES), F.lit(" météo "), k.cast("string")).alias("point_name"),
         (F.lit(47.9) + (k * 3571 % 2300).cast("double") / F.lit(1000.0)).alias("latitude"),
@@ -284,5 +284,12 @@ FROM customer"""
 
 def with_views(sql: str, **views: str) -> str:
     """Prefix a query with CTEs for the named adapter views."""
+    if not views:
+        return sql
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in views.items())
     return f"WITH {ctes}\n{sql}"
+
+
+def with_event_id(sql: str) -> str:
+    """The same view with the source event id as first column."""
+    return sql.replace("SELECT ", "SELECT event_id, ", 1)
