@@ -123,6 +123,38 @@ def format_age_short(when, as_of) -> Column:
             .otherwise(F.concat(F.lit("il y a "), F.floor(minutes / 60).cast("string"), F.lit("h"))))
 
 
+def _two_product_err(a: Column, b: float) -> tuple[Column, Column]:
+    """p = fl(a*b) and the exact error a*b - p (Dekker; ``b`` has few bits)."""
+    p = a * F.lit(b)
+    c = a * F.lit(134217729.0)  # 2^27 + 1
+    ah = c - (c - a)
+    al = a - ah
+    return p, (ah * F.lit(b) - p) + al * F.lit(b)
+
+
 def fmt_fixed(x, digits: int) -> Column:
-    """Python-style fixed-point text (round half to even, like ``f"{x:.1f}"``)."""
-    return F.format_string(f"%.{digits}f", F.bround(_c(x).cast("double"), digits))
+    """Fixed-point text exactly like Python's ``f"{x:.Nf}"``.
+
+    Python rounds half to even on the EXACT binary value (0.15 -> '0.1');
+    Spark's decimal rounding works on the shortest decimal form (-> '0.2').
+    The exact rounding error of ``|x| * 10^N`` is recovered with a Dekker
+    two-product, which settles the ties.  NULL in -> NULL out.
+    """
+    v = _c(x).cast("double")
+    a = F.abs(v)
+    scale = 10.0 ** digits
+    p, err = (a, F.lit(0.0)) if digits == 0 else _two_product_err(a, scale)
+    fl = F.floor(p)
+    frac = p - fl
+    up = (F.when(frac > 0.5, True).when(frac < 0.5, False)
+          .when(err > 0, True).when(err < 0, False)
+          .otherwise(fl % 2 == 1))
+    k = (fl + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    if digits == 0:
+        body = k.cast("string")
+    else:
+        ip = F.floor(k / F.lit(int(scale)))
+        fp = k - ip * F.lit(int(scale))
+        body = F.concat(ip.cast("string"), F.lit("."), F.lpad(fp.cast("string"), digits, "0"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metroscope.functions import formats
@@ -135,25 +135,8 @@ def compare_journeys(scored: DataFrame, group_col: str = "comparison_id", pos_co
                       ((F.col("_b.overall_score") - F.col("_w.overall_score")) >= SIGNIFICANT_GAP).alias("is_significant"))
 
 
-def rank_journeys(scored: DataFrame, group_col: str = "comparison_id", pos_col: str = "input_pos",
-                  salt_buckets: int | None = None) -> DataFrame:
+def rank_journeys(scored: DataFrame, group_col: str = "comparison_id", pos_col: str = "input_pos") -> DataFrame:
     """1-based rank of each journey in its comparison by descending score,
-    ties in listing order.
-
-    Distributed even when one comparison holds most journeys: rows are
-    range-partitioned on (group, -score, pos), so a hot group spans many
-    tasks; each task numbers its slice, and the slice offsets (one small row
-    per task and group) are summed with a window and joined back.
-    """
-    spark = scored.sparkSession
-    n = salt_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(group_col), F.col("overall_score").desc(), F.col(pos_col)]
-    parted = scored.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local_w = Window.partitionBy("_part", group_col).orderBy(F.col("overall_score").desc(), F.col(pos_col))
-    parted = parted.withColumn("_local", F.row_number().over(local_w))
-    counts = parted.groupBy("_part", group_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    offs_w = Window.partitionBy(group_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(offs_w), F.lit(0))).drop("_cnt")
-    return (parted.join(offsets, ["_part", group_col])
-            .withColumn("rank", (F.col("_local") + F.col("_off")).cast("int"))
-            .drop("_part", "_local", "_off"))
+    ties in listing order; distributed even for a very large comparison."""
+    from metroscope.operators.ranking import rank_within
+    return rank_within(scored, [group_col], [F.col("overall_score").desc(), F.col(pos_col)])
