@@ -1 +1,115 @@
-"""placeholder"""
+"""Registered queries: streaming jobs run with ``availableNow`` over a landing
+folder filled from the driver tables; each returns its sink read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from metroscope.functions import mobility as mb
+from metroscope.operators import facts
+from metroscope.plans import adapters as A
+from metroscope.plans import adapters_bronze as B
+from metroscope.plans.q_ingest import RAW_E, SQL_AIR_E, VISIT_COLS, _scan_sql
+from metroscope.plans.q_scoring import SCORING_VIEWS
+from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
+from metroscope.sources import air as s_air
+from metroscope.sources import stop_visits as s_visits
+from metroscope.streaming import landing as L
+
+AS_OF = A.AS_OF
+
+
+def _visit_stream(spark, d, name):
+    p = L.scratch(spark, name)
+    L.land(B.stop_monitoring(spark, d), p["landing"])
+    stream = L.stream_scan(spark, p["landing"])
+    return p, facts.stop_visit_rows(s_visits.scan_stop_visits(stream))
+
+
+@register("stream_scan", _scan_sql("CAST(NULL AS VARCHAR)"))
+def q_stream_scan(spark, d):
+    """R1: landing-folder stream -> parsed silver visits (appended)."""
+    p, visits = _visit_stream(spark, d, "stream-scan")
+
+    def fn(batch, _bid):
+        batch.select(*VISIT_COLS).write.mode("append").parquet(p["out"])
+    L.run_available(visits, fn, p["ckpt"])
+    return spark.read.parquet(p["out"])
+
+
+@register("stream_dedupe", A.with_views("SELECT DISTINCT stop_id, line_id, recorded_at FROM raw WHERE event_id % 89 <> 0",
+                                        raw=RAW_E))
+def q_stream_dedupe(spark, d):
+    """R2: exact streaming insert-if-absent (each batch through the batch sink)."""
+    p, visits = _visit_stream(spark, d, "stream-dedupe")
+    rows = visits.withColumn("input_pos", F.col("recorded_at"))
+    L.stream_insert_if_absent(rows, p["out"], ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"],
+                              ["input_pos"], p["ckpt"], {"vehicle_journey_key": mb.vehicle_journey_key()})
+    return spark.read.parquet(p["out"]).select("stop_id", "line_id", "recorded_at")
+
+
+@register("stream_dedupe_watermark", A.with_views(
+    "SELECT DISTINCT stop_id, line_id, recorded_at FROM raw WHERE event_id % 89 <> 0", raw=RAW_E))
+def q_stream_dedupe_watermark(spark, d):
+    """R2 (bounded state): dropDuplicatesWithinWatermark on the load key."""
+    p, visits = _visit_stream(spark, d, "stream-dedupe-wm")
+    v = visits.withColumn("vehicle_journey_key", mb.vehicle_journey_key())
+    dd = L.dedupe_within_watermark(v, "recorded_at", ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"])
+
+    def fn(batch, _bid):
+        batch.select("stop_id", "line_id", "recorded_at").write.mode("append").parquet(p["out"])
+    L.run_available(dd, fn, p["ckpt"])
+    return spark.read.parquet(p["out"])
+
+
+@register("stream_hourly", A.with_views("""
+SELECT date_trunc('hour', recorded_at) AS hour, count(*) AS count FROM raw WHERE event_id % 89 <> 0 GROUP BY 1""",
+                                        raw=RAW_E))
+def q_stream_hourly(spark, d):
+    """R3: hourly visit counts, watermarked tumbling windows, versioned sink."""
+    p, visits = _visit_stream(spark, d, "stream-hourly")
+    L.write_versions(L.hourly_counts(visits, "recorded_at"), p["out"], p["ckpt"])
+    return L.read_versions(spark, p["out"], ["hour"])
+
+
+@register("stream_rolling", A.with_views(f"""
+SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, {sql_r6('avg(CAST(delay_seconds AS DOUBLE))')} AS avg_delay_seconds,
+       count(*) AS samples
+FROM (SELECT s.*, time_bucket(INTERVAL 30 MINUTE, recorded_at) - k * INTERVAL 30 MINUTE AS window_start
+      FROM s, range(4) t(k)) GROUP BY window_start""",
+    s=f"SELECT * FROM ({_scan_sql('NULL')}) WHERE delay_seconds IS NOT NULL"))
+def q_stream_rolling(spark, d):
+    """R4: 2 h windows sliding by 30 min: mean stored delay and samples."""
+    p, visits = _visit_stream(spark, d, "stream-rolling")
+    L.write_versions(L.rolling_delay(visits), p["out"], p["ckpt"])
+    out = L.read_versions(spark, p["out"], ["window_start"])
+    return out.withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
+
+
+@register("stream_latest", A.with_views(f"""
+SELECT station_id, station_name, latitude, longitude, aqi, pm25, no2, measured_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY measured_at DESC) AS rn
+  FROM air WHERE event_id % 50 <> 0 AND event_id % 41 <> 0) WHERE rn = 1 AND measured_at >= {AS_OF_SQL} - INTERVAL 6 HOUR""",
+    air=SQL_AIR_E))
+def q_stream_latest(spark, d):
+    """R5: live latest row per station; the reader applies the 6 h expiry."""
+    p = L.scratch(spark, "stream-latest")
+    L.land(B.air_feed(spark, d), p["landing"])
+    air = s_air.scan_air(L.stream_scan(spark, p["landing"]))
+    cols = ["station_id", "station_name", "latitude", "longitude", "aqi", "pm25", "no2", "measured_at"]
+    L.write_versions(L.live_latest(air, ["station_id"], "measured_at", cols), p["out"], p["ckpt"])
+    latest = L.read_versions(spark, p["out"], ["station_id"])
+    return latest.filter(F.col("measured_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 6 HOURS"))
+
+
+@register("stream_enrich", A.with_views(f"""
+SELECT v.stop_id, v.line_id, v.recorded_at, coalesce(l.short_name, v.line_name, v.line_id) AS display_line_name,
+       coalesce(l.transport_mode, v.transport_mode) AS display_mode
+FROM ({_scan_sql('NULL')}) v LEFT JOIN lines l ON l.line_id = v.line_id""", **views("lines")))
+def q_stream_enrich(spark, d):
+    """R6: stream-static join with the line dimension (re-read per batch)."""
+    p, visits = _visit_stream(spark, d, "stream-enrich")
+    A.lines(spark, d).write.parquet(p["dim"])
+    L.stream_enrich(visits, p["dim"], p["out"], p["ckpt"])
+    out = spark.read.parquet(p["out"])
+    return out.select("stop_id", "line_id", "recorded_at", "display_line_name", "display_mode")
