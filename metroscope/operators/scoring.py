@@ -64,6 +64,14 @@ def _empty_flag(df: DataFrame) -> Column:
     return df.select((F.count(F.lit(1)) == 0).alias("e")).scalar()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small derived table (a snapshot: one row per sensor) once to
+    the shared checkpoint folder; later reads skip its lineage."""
+    from metroscope.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def score_journeys(journeys: DataFrame, waypoints: DataFrame, air: DataFrame, weather: DataFrame,
                    visits: DataFrame, as_of=None, weights: dict | None = None,
                    strategy: str = "auto", exposures: DataFrame | None = None) -> DataFrame:
@@ -72,8 +80,9 @@ def score_journeys(journeys: DataFrame, waypoints: DataFrame, air: DataFrame, we
     distinct warnings.  Journeys without waypoints get no row (see
     ``invalid_journeys``)."""
     weights = weights or DEFAULT_WEIGHTS
-    air_snap = latest_air(air, as_of)
-    wx_snap = latest_weather(weather, as_of)
+    # one snapshot per source for every journey, materialized once (bounded by the sensor count)
+    air_snap = materialize(latest_air(air, as_of))
+    wx_snap = materialize(latest_weather(weather, as_of))
     if exposures is None:
         exposures = score_waypoints(waypoints, air_snap, wx_snap, traffic_stats(visits, as_of), strategy=strategy)
     agg = exposures.groupBy("journey_id").agg(

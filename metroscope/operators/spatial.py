@@ -7,6 +7,14 @@ candidate of the reference's id-ordered snapshot.  Two exact strategies:
 * ``scan``  - few sensors (count checked against ``SCAN_MAX_SENSORS``): the
   sensor list is a scalar subquery (evaluated once, a few KB) and each point
   takes ``array_min`` over the distances; no join, no shuffle.
+* ``cells`` - many sensors, index size checked: per grid level, each
+  sensor is copied into the 3x3 neighbourhood of its cell and the copies
+  are grouped into one candidate array per cell.  Points equi-join the
+  (broadcast) index on their own cell and take ``array_min`` over the
+  candidates; a candidate provably closer than anything outside the 3x3
+  block settles the point.  Coarser levels (cells four times as large, up to one
+  cell spanning the globe) are further LEFT joins that only match points
+  still unsettled.  One plan: no aggregation over points, points never move.
 * ``grid``  - any number of sensors: points and sensors get cells of a
   lat/lon grid; a point is equi-joined with the sensors of its 3x3 cell
   block and keeps the best candidate when it is provably closer than
@@ -30,8 +38,9 @@ from pyspark.sql import functions as F
 from metroscope.functions.geo import EARTH_RADIUS_KM, haversine_km
 from metroscope.session import ensure_checkpoint_dir
 
-SCAN_MAX_SENSORS = 256           # sensors carried in one scalar list
+SCAN_MAX_SENSORS = 32            # sensors carried in one scalar list (cost: S distances per point)
 BROADCAST_MAX_CELL_ROWS = 2_000_000  # replicated sensor rows (9 per sensor) allowed in a broadcast
+CELL_INDEX_MAX_ENTRIES = 20_000_000  # sensor entries over all levels of a broadcast cell index
 MIN_CELL_DEG, GLOBAL_CELL_DEG = 0.01, 120.0
 
 
@@ -40,6 +49,22 @@ def _sensor_struct(sensors: DataFrame, sensor_id: str, lat: str, lon: str, paylo
                     *[F.col(c).alias(c) for c in payload])
 
 
+def _with_closest(df: DataFrame, cands: str, out: str, plat: Column, plon: Column) -> DataFrame:
+    """Add ``out = struct(d, s)``: the closest candidate of the array column
+    ``cands`` (sorted by sensor id); NULL for an empty or NULL array.
+
+    Only the distance runs inside the lambda, once per candidate (the
+    distance array is its own projection, so it is not re-evaluated); the
+    minimum and its first position (= smallest id among equal distances) are
+    plain array functions compiled with the rest of the stage.
+    """
+    df = df.withColumn("__ds", F.transform(F.col(cands), lambda x: haversine_km(plat, plon, x["lat"], x["lon"])))
+    dmin = F.array_min("__ds")
+    best = F.when(dmin.isNotNull(), F.struct(dmin.alias("d"), F.element_at(
+        F.col(cands), F.array_position("__ds", dmin).cast("int")).alias("s")))
+    return df.withColumn(out, best).drop("__ds")
+
+
 def _unpack(df: DataFrame, best: str, payload: Sequence[str], prefix: str) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c != best],
@@ -57,9 +82,18 @@ def nearest(points: DataFrame, sensors: DataFrame, point_keys: Sequence[str], *,
     """Attach to every point its nearest sensor: ``{prefix}id``,
     ``{prefix}distance_km`` and ``{prefix}<payload col>`` (NULL when there is
     no sensor at all).  ``point_keys`` must identify a point."""
+    points = spread(points)
+    stats = None
+    if strategy in ("auto", "cells"):
+        stats = _sensor_stats(sensors, lat, lon)
     if strategy == "auto":
-        n = sensors.limit(SCAN_MAX_SENSORS + 1).count()
-        strategy = "scan" if n <= SCAN_MAX_SENSORS else "grid"
+        start, n = stats
+        levels = len(_cell_levels(start_cell_deg or start))
+        strategy = ("scan" if n <= SCAN_MAX_SENSORS
+                    else "cells" if 9 * n * levels <= CELL_INDEX_MAX_ENTRIES else "grid")
+    if strategy == "cells":
+        return _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix,
+                              start_cell_deg or stats[0])
     if strategy == "scan":
         return _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix)
     if strategy == "grid":
@@ -68,37 +102,94 @@ def nearest(points: DataFrame, sensors: DataFrame, point_keys: Sequence[str], *,
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-point heavy work at least one task per core.
+
+    A small input file is a single split; without this one task would do all
+    distance work.  Inputs that already have enough partitions (any large
+    scan) are left as they are, so no shuffle is added at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    # partition count of the physical plan, read without executing anything
+    have = df._jdf.queryExecution().sparkPlan().outputPartitioning().numPartitions()
+    return df.repartition(want) if have < want else df
+
+
 def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix):
-    cands = sensors.select(F.collect_list(_sensor_struct(sensors, sensor_id, lat, lon, payload)).alias("c")).scalar()
+    cands = sensors.select(F.sort_array(F.collect_list(_sensor_struct(sensors, sensor_id, lat, lon, payload))).alias("c")).scalar()
     plat, plon = F.col(point_lat), F.col(point_lon)
-    best = F.array_min(F.transform(F.col("__cands"), lambda s: F.struct(
-        haversine_km(plat, plon, s["lat"], s["lon"]).alias("d"), s["id"].alias("id"), s.alias("s"))))
-    out = points.withColumn("__cands", cands).withColumn("__best", best).drop("__cands")
+    out = _with_closest(points.withColumn("__cands", cands), "__cands", "__best", plat, plon).drop("__cands")
     return _unpack(out, "__best", payload, prefix)
 
 
 # ---------------------------------------------------------------------------- grid strategy
+LEVEL_GROWTH = 4  # each fallback level has cells this many times larger
+
+
 def _cell_levels(start: float) -> list[float]:
     levels, c = [], start
     while c < GLOBAL_CELL_DEG:
         levels.append(c)
-        c *= 2
+        c *= LEVEL_GROWTH
     levels.append(c)
     return levels
 
 
+def _sensor_stats(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
+    return _choose_start_cell(sensors.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")), "lat", "lon")
+
+
+def _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix, start):
+    sens = sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
+    plat, plon = F.col(point_lat), F.col(point_lon)
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    levels = _cell_levels(start)
+    # One index for every level: (level, cell) -> candidate array.  Built by a
+    # single aggregate and broadcast once; each level's join reuses it.
+    lv = F.explode(F.array(*[F.struct(F.lit(i).alias("lv"), F.lit(c).alias("c"),
+                                       F.lit(math.ceil(360.0 / c)).alias("n")) for i, c in enumerate(levels)]))
+    base = sens.select("s", lv.alias("L"))  # one pass over the sensors for every level
+    rep = (base.select("s", F.col("L.lv").alias("lv"), F.col("L.n").alias("n"),
+                       F.floor((F.col("s.lat") + F.lit(90.0)) / F.col("L.c")).alias("cy0"),
+                       F.pmod(F.floor((F.col("s.lon") + F.lit(180.0)) / F.col("L.c")), F.col("L.n")).alias("cx0"))
+           .select("lv", "n", "s", "cy0", "cx0", F.explode(offsets).alias("o"))
+           .select("lv", "s", (F.col("cy0") + F.col("o.dy")).alias("cy"),
+                   F.pmod(F.col("cx0") + F.col("o.dx"), F.col("n")).alias("cx")))
+    # wrapped offsets (fewer than 3 columns of cells) can repeat a sensor in a cell: a set keeps one copy
+    idx = rep.groupBy("lv", "cy", "cx").agg(F.sort_array(F.collect_set("s")).alias("c"))
+    # bounded by the checked entry count (9 x sensors x levels): broadcast
+    idx = F.broadcast(idx)
+    out = points
+    for i, c in enumerate(levels):
+        last = i == len(levels) - 1
+        li = idx.select(F.col("lv").alias("__lv"), F.col("cy").alias("__iy"), F.col("cx").alias("__ix"),
+                        F.col("c").alias("__c"))
+        out = out.withColumn("__py", _cell_y(plat, c)).withColumn("__px", _cell_x(plon, c))
+        cond = (F.col("__lv") == F.lit(i)) & (F.col("__py") == F.col("__iy")) & (F.col("__px") == F.col("__ix"))
+        if i > 0:
+            cond = cond & ~F.col("__ok")  # settled points skip the coarser lookups
+        out = out.join(li, cond, "left")
+        out = _with_closest(out, "__c", "__nb", plat, plon)
+        ok = F.lit(True) if last else F.coalesce(F.col("__nb.d") <= _safe_radius_km(plat, plon, c), F.lit(False))
+        if i == 0:
+            out = out.withColumn("__ok", ok).withColumnRenamed("__nb", "__b")
+        else:
+            out = (out.withColumn("__b", F.when(F.col("__ok"), F.col("__b")).otherwise(F.col("__nb")))
+                      .withColumn("__ok", F.col("__ok") | ok).drop("__nb"))
+        out = out.drop("__py", "__px", "__lv", "__iy", "__ix", "__c")
+    return _unpack(out.drop("__ok"), "__b", payload, prefix)
+
+
 def _choose_start_cell(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
-    """Start cell ~ twice the mean sensor spacing over the sensors' box."""
+    """Start cell ~ 3/4 of the mean sensor spacing over the sensors' box (a
+    3x3 block then holds about five candidates)."""
     st = sensors.agg(F.count(F.lit(1)).alias("n"), F.min(lat).alias("a"), F.max(lat).alias("b"),
                      F.min(lon).alias("c"), F.max(lon).alias("d")).first()
     n = st["n"] or 0
     if n == 0:
         return GLOBAL_CELL_DEG, 0
     area = max((st["b"] - st["a"]) * (st["d"] - st["c"]), MIN_CELL_DEG ** 2)
-    cell = 2.0 * math.sqrt(area / n)
-    # snap to MIN_CELL_DEG * 2^k so the levels nest
-    k = max(0, math.ceil(math.log2(max(cell, MIN_CELL_DEG) / MIN_CELL_DEG)))
-    return MIN_CELL_DEG * (2 ** k), n
+    return max(0.75 * math.sqrt(area / n), MIN_CELL_DEG), n
 
 
 def _cell_y(latc: Column, c: float) -> Column:

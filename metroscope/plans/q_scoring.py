@@ -114,8 +114,8 @@ SELECT journey_id, pos, air_id, round(1e-9 + air_distance_km, 6) AS air_distance
        round(1e-9 + """ + X.total("pollution_score", "weather_score", "traffic_score") + """, 6) AS overall_score, warning
 FROM scored_wp""", **SCORING_VIEWS))
 def q_waypoint_exposure(spark, d):
-    air = snapshots.latest_air(A.air_raw(spark, d), AS_OF)
-    wx = snapshots.latest_weather(A.weather_raw(spark, d), AS_OF)
+    air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF))
+    wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF))
     ex = scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF))
     return ex.select("journey_id", "pos", "air_id", r6("air_distance_km").alias("air_distance_km"), "wx_id",
                      r6("wx_distance_km").alias("wx_distance_km"), r6("pollution_score").alias("pollution_score"),
@@ -125,7 +125,8 @@ def q_waypoint_exposure(spark, d):
 
 def _nearest_query(strategy):
     def q(spark, d):
-        air = snapshots.latest_air(A.air_raw(spark, d), AS_OF).withColumnRenamed("station_id", "sensor_id")
+        air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF)).withColumnRenamed(
+            "station_id", "sensor_id")
         out = spatial.nearest(A.waypoints(spark, d), air, ["journey_id", "pos"], payload=["aqi"], prefix="air_",
                               strategy=strategy)
         return out.select("journey_id", "pos", "air_id", r6("air_distance_km").alias("air_distance_km"), "air_aqi")
@@ -139,6 +140,7 @@ FROM waypoints w LEFT JOIN ({_sql_nearest('air_latest', 'station_id', ['aqi'])})
 register("nearest_sensor", SQL_NEAREST)(_nearest_query("auto"))
 register("nearest_sensor_grid", SQL_NEAREST)(_nearest_query("grid"))
 register("nearest_sensor_scan", SQL_NEAREST)(_nearest_query("scan"))
+register("nearest_sensor_cells", SQL_NEAREST)(_nearest_query("cells"))
 
 RADIUS_KM = 5.0
 
@@ -222,8 +224,8 @@ def q_journey_valid(spark, d):
 @register("journey_nested", None)
 def q_journey_nested(spark, d):
     """Nested journey result (ordered exposures, weights map, evaluation time)."""
-    air = snapshots.latest_air(A.air_raw(spark, d), AS_OF)
-    wx = snapshots.latest_weather(A.weather_raw(spark, d), AS_OF)
+    air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF))
+    wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF))
     ex = scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF))
     scored = scoring.score_journeys(A.journeys(spark, d), None, A.air_raw(spark, d), A.weather_raw(spark, d),
                                     visits(spark, d), AS_OF, exposures=ex)
