@@ -126,12 +126,18 @@ def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, pa
 LEVEL_GROWTH = 4  # each fallback level has cells this many times larger
 
 
+def _tile(c: float) -> float:
+    """Cell size that divides 360 exactly (<= c), so the cells that meet at
+    the antimeridian are full cells and the neighbour relation is exact."""
+    return 360.0 / math.ceil(360.0 / c)
+
+
 def _cell_levels(start: float) -> list[float]:
     levels, c = [], start
     while c < GLOBAL_CELL_DEG:
-        levels.append(c)
+        levels.append(_tile(c))
         c *= LEVEL_GROWTH
-    levels.append(c)
+    levels.append(_tile(min(c, 360.0)))
     return levels
 
 
@@ -288,10 +294,12 @@ def _band_lon_width(band: Column, c: float, radius_km: float) -> Column:
 
 def _lon_cells(band: Column, lonc: Column, c: float, radius_km: float) -> tuple[Column, Column]:
     w = _band_lon_width(band, c, radius_km)
-    n = F.ceil(F.lit(360.0) / w)
+    # whole cells around the circle, each at least w wide (no narrow cell at the antimeridian)
+    n = F.floor(F.lit(360.0) / w)
     # fewer than 3 cells around the circle: one cell holds every longitude
     n_eff = F.when(n < 3, F.lit(1)).otherwise(n)
-    return F.pmod(F.floor((lonc + F.lit(180.0)) / w), n_eff), n_eff
+    width = F.lit(360.0) / n_eff
+    return F.pmod(F.floor((lonc + F.lit(180.0)) / width), n_eff), n_eff
 
 
 def within_radius(points: DataFrame, sensors: DataFrame, radius_km: float, *,

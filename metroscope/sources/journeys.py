@@ -25,8 +25,8 @@ def parse_journey_specs(specs: DataFrame, spec: str = "spec"):
     ok = parsed.filter(F.col("reason").isNull())
     journeys = ok.select("journey_id", "journey_label",
                          F.transform("pts", lambda p: F.struct(
-                             F.regexp_extract(p, POINT_RE, 1).cast("double").alias("latitude"),
-                             F.regexp_extract(p, POINT_RE, 2).cast("double").alias("longitude"))).alias("waypoints"))
+                             F.regexp_extract(p, POINT_RE, 1).try_cast("double").alias("latitude"),
+                             F.regexp_extract(p, POINT_RE, 2).try_cast("double").alias("longitude"))).alias("waypoints"))
     waypoints = journeys.select("journey_id", F.posexplode("waypoints").alias("pos", "w")).select(
         "journey_id", "pos", F.col("w.latitude").alias("latitude"), F.col("w.longitude").alias("longitude"))
     return journeys, waypoints, parsed.filter(F.col("reason").isNotNull()).select(spec, "reason")
