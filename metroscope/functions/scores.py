@@ -61,14 +61,16 @@ def weighted_mean(parts) -> Column:
     """Mean of the present (non-NULL) sub-scores, weights renormalised.
 
     ``parts`` is a list of (score column, weight).  With no present input the
-    neutral score 50 is returned.
+    neutral score 50 is returned.  The quotient is clamped to 0..100: with
+    left-to-right float sums e.g. 85 / 0.8499999999999999 = 100.00000000000001,
+    one ulp outside the range every score must satisfy.
     """
     num, den = F.lit(0.0), F.lit(0.0)
     for score, weight in parts:
         present = score.isNotNull()
         num = num + F.when(present, score * F.lit(weight)).otherwise(F.lit(0.0))
         den = den + F.when(present, F.lit(weight)).otherwise(F.lit(0.0))
-    return F.when(den > 0, num / den).otherwise(F.lit(NEUTRAL_SCORE))
+    return F.when(den > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), num / den))).otherwise(F.lit(NEUTRAL_SCORE))
 
 
 def pollution_score(pm25, no2, aqi) -> Column:

@@ -376,3 +376,9 @@ def q_format_age(spark, d):
     s = _air24(spark, d)
     return s.select("station_id", "measured_at", fm.format_age("measured_at", F.lit(AS_OF).cast("timestamp")).alias("age_text"),
                     fm.format_age_short("measured_at", F.lit(AS_OF).cast("timestamp")).alias("age_short"))
+
+
+@register("scan_project", q("SELECT line_id, short_name, transport_mode FROM lines"))
+def q_scan_project(spark, d):
+    """Dimension scan reading three columns (the parquet scan prunes the rest)."""
+    return A.lines(spark, d).select("line_id", "short_name", "transport_mode")

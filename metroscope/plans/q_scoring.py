@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metroscope.functions import formats as fs_formats
 from metroscope.functions import scores as fs
 from metroscope.operators import scoring, snapshots, spatial
 from metroscope.plans import adapters as A
@@ -263,3 +264,60 @@ def q_traffic_score(spark, d):
     v = visits(spark, d).groupBy("line_id").agg(F.avg(F.col("delay_seconds").cast("double")).alias("avg_d"),
                                                 F.count("delay_seconds").cast("int").alias("n"))
     return v.select("line_id", r6(fs.traffic_score("avg_d", "n")).alias("traffic_score"))
+
+
+@register("score_range_check", A.with_views("""
+SELECT count(*) AS checked,
+       count(*) FILTER (WHERE NOT (pollution_score BETWEEN 0 AND 100 AND weather_score BETWEEN 0 AND 100
+                                   AND traffic_score BETWEEN 0 AND 100)) AS rejected
+FROM scored_wp""", **SCORING_VIEWS))
+def q_score_range_check(spark, d):
+    """Data-quality gate: every waypoint sub-score must lie in 0..100."""
+    air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF))
+    wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF))
+    ex = scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF))
+    ok = (F.col("pollution_score").between(0, 100) & F.col("weather_score").between(0, 100)
+          & F.col("traffic_score").between(0, 100))
+    return ex.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~ok).alias("rejected"))
+
+
+def _color_sql(col, mapping, default=None, upper=False):
+    c = f"upper({col})" if upper else col
+    arms = " ".join(f"WHEN {c} = '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in mapping.items())
+    return f"(CASE {arms} ELSE {('NULL' if default is None else repr(default))} END)"
+
+
+@register("grade_colors", A.with_views(f"""
+SELECT journey_id, g AS grade, {_color_sql('g', fs_formats.GRADE_COLORS_SERVICE)} AS service_color,
+       {_color_sql('g', fs_formats.GRADE_COLORS_UI, fs_formats.GRADE_COLOR_UNKNOWN, upper=True)} AS ui_color,
+       {_color_sql('g', fs_formats.ADVICE_BY_GRADE)} AS advice
+FROM (SELECT journey_id, {X.grade(X.total('ps', 'ws', 'ts'))} AS g FROM journey_agg)""", **SCORING_VIEWS))
+def q_grade_colors(spark, d):
+    """Grade -> both colour palettes and the advice text, per journey."""
+    s = _scored(spark, d)
+    return s.select("journey_id", "grade", fs_formats.grade_color("grade").alias("service_color"),
+                    fs_formats.grade_color("grade", "ui").alias("ui_color"),
+                    fs_formats.grade_advice("grade").alias("advice"))
+
+
+ZONES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    "('" + z.replace("'", "''") + f"', {la}, {lo})" for z, la, lo in __import__(
+        "metroscope.sources.constants", fromlist=["PREDEFINED_ZONES"]).PREDEFINED_ZONES) + ") AS z(zone, latitude, longitude)"
+
+
+@register("inline_zones", A.with_views(f"""
+SELECT z.zone, n.sid AS air_id, round(1e-9 + n.d, 6) AS air_distance_km,
+       round(1e-9 + {X.pollution('n.pm25', 'n.no2', 'n.aqi')}, 6) AS pollution_score
+FROM z LEFT JOIN (
+  SELECT zone, sid, d, pm25, no2, aqi FROM (
+    SELECT z.zone, s.station_id AS sid, {X.haversine('z.latitude', 'z.longitude', 's.latitude', 's.longitude')} AS d,
+           s.pm25, s.no2, s.aqi,
+           row_number() OVER (PARTITION BY z.zone ORDER BY {X.haversine('z.latitude', 'z.longitude', 's.latitude', 's.longitude')}, s.station_id) AS rn
+    FROM z, air_latest s) WHERE rn = 1) n ON n.zone = z.zone""", **{**SCORING_VIEWS, "z": ZONES_SQL}))
+def q_inline_zones(spark, d):
+    """Named zones (inline constant table) -> nearest station and its pollution score."""
+    from metroscope.sources import constants
+    air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF)).withColumnRenamed("station_id", "sensor_id")
+    z = spatial.nearest(constants.zones(spark), air, ["zone"], payload=["pm25", "no2", "aqi"], prefix="air_")
+    return z.select("zone", "air_id", r6("air_distance_km").alias("air_distance_km"),
+                    r6(fs.pollution_score("air_pm25", "air_no2", "air_aqi")).alias("pollution_score"))

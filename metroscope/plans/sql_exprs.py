@@ -32,7 +32,7 @@ def weighted(parts) -> str:
     for sc, w in parts:
         num = f"({num} + CASE WHEN {sc} IS NOT NULL THEN {sc} * {w} ELSE 0.0 END)"
         den = f"({den} + CASE WHEN {sc} IS NOT NULL THEN {w} ELSE 0.0 END)"
-    return f"(CASE WHEN {den} > 0 THEN {num} / {den} ELSE {S.NEUTRAL_SCORE} END)"
+    return f"(CASE WHEN {den} > 0 THEN least(100.0, greatest(0.0, {num} / {den})) ELSE {S.NEUTRAL_SCORE} END)"
 
 
 def pollution(pm25: str, no2: str, aqi: str) -> str:
