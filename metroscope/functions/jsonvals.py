@@ -23,17 +23,19 @@ def vget(v, path: str, typ: str = "variant") -> Column:
 
 
 def vtype(v) -> Column:
-    """Top-level kind of a VARIANT value: OBJECT, ARRAY, STRING, BIGINT, ..."""
-    return F.regexp_extract(F.schema_of_variant(_c(v)), r"^([A-Z]+)", 1)
+    """Top-level kind of a VARIANT value: OBJECT, ARRAY, STRING, BIGINT, ...
+    (the schema text up to its first '<' or '(', no regex)."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(_c(v)), "<", 1), "(", 1)
 
 
-def json_value(v, depth: int = 3) -> Column:
+def json_value(v, depth: int = 2) -> Column:
     """Polymorphic feed value as trimmed text.
 
     A string gives itself trimmed (blank -> NULL); an object gives its
     ``value`` member, read the same way; an array gives the first element
     that yields a value; anything else gives NULL.  Nesting is followed
-    ``depth`` levels deep (feeds nest at most two: a list of value objects).
+    ``depth`` levels deep: a string, a value object, a list of strings or of
+    value objects, a value object holding a list -- every shape the feeds use.
 
     Pass a column that already holds the member's VARIANT (not an expression
     re-reading the document): the member is referenced several times.

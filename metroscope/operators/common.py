@@ -18,3 +18,41 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_MAX_RO
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+BARRIER_COL = "__task"
+
+
+def spread(df: DataFrame, barrier: bool = False) -> DataFrame:
+    """Give heavy row-local work (JSON parsing, distance scans) at least one
+    task per core.
+
+    A small input file is a single split, so one task would do all the work.
+    Inputs that already have enough partitions (any large scan) are returned
+    unchanged: no shuffle is added at scale.  The partition count is read from
+    the physical plan; nothing is executed.
+
+    With ``barrier`` the result carries a ``__task`` column (the task id, a
+    non-deterministic value): filters of the heavy work above it are then not
+    pushed below the exchange into the single-task map side.  The caller
+    keeps the column until after its filters and drops it.
+    """
+    if df.isStreaming:  # a stream's parallelism comes from its source and trigger
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().sparkPlan().outputPartitioning().numPartitions()
+    if have >= want:
+        return df
+    out = df.repartition(want)
+    return out.withColumn(BARRIER_COL, F.spark_partition_id()) if barrier else out
+
+
+def barrier_holds(df: DataFrame):
+    """Always-true condition on the barrier column (TRUE when absent)."""
+    return (F.col(BARRIER_COL) >= 0) if BARRIER_COL in df.columns else F.lit(True)
+
+
+def with_barrier(df: DataFrame) -> DataFrame:
+    """Add the barrier column (task id) to a DataFrame, e.g. at the end of an
+    input builder that already runs spread out."""
+    return df if BARRIER_COL in df.columns else df.withColumn(BARRIER_COL, F.spark_partition_id())

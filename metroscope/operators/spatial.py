@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metroscope.functions.geo import EARTH_RADIUS_KM, haversine_km
+from metroscope.operators.common import spread
 from metroscope.session import ensure_checkpoint_dir
 
 SCAN_MAX_SENSORS = 32            # sensors carried in one scalar list (cost: S distances per point)
@@ -102,19 +103,6 @@ def nearest(points: DataFrame, sensors: DataFrame, point_keys: Sequence[str], *,
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-point heavy work at least one task per core.
-
-    A small input file is a single split; without this one task would do all
-    distance work.  Inputs that already have enough partitions (any large
-    scan) are left as they are, so no shuffle is added at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    # partition count of the physical plan, read without executing anything
-    have = df._jdf.queryExecution().sparkPlan().outputPartitioning().numPartitions()
-    return df.repartition(want) if have < want else df
-
-
 def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix):
     cands = sensors.select(F.sort_array(F.collect_list(_sensor_struct(sensors, sensor_id, lat, lon, payload))).alias("c")).scalar()
     plat, plon = F.col(point_lat), F.col(point_lon)

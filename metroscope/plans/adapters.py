@@ -56,8 +56,9 @@ def _sql_pick(idx: str, values) -> str:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # parquet holds zone-less timestamps; the facts use session-zone (UTC) ones
-    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                                                  "user_id", "event_type", "value")
+    from metroscope.operators.common import spread
+    return spread(table(spark, sf_dir, "events")).select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                                          "user_id", "event_type", "value")
 
 
 # --------------------------------------------------------------------------- stop visits

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metroscope.operators.common import with_barrier
 from metroscope.plans import adapters as A
 
 
@@ -70,7 +71,7 @@ def stop_monitoring(spark: SparkSession, d: str) -> DataFrame:
     deliveries = F.when(eid % 3 == 0, F.array(empty, one)).otherwise(F.array(one))
     doc = F.struct(F.struct(F.struct(_iso(F.col("recorded_at")).alias("ResponseTimestamp"),
                                      deliveries.alias("StopMonitoringDelivery")).alias("ServiceDelivery")).alias("Siri"))
-    return r.select("event_id", F.to_json(doc).alias("raw"))
+    return with_barrier(r.select("event_id", F.to_json(doc).alias("raw")))
 
 
 def air_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +91,7 @@ def air_feed(spark: SparkSession, d: str) -> DataFrame:
     data = F.struct(aqi.alias("aqi"), F.col("user_id").alias("idx"), attributions.alias("attributions"), city.alias("city"),
                     iaqi.alias("iaqi"), F.struct(_iso(F.col("measured_at"), "+00:00").alias("iso")).alias("time"))
     doc = F.struct(F.when(eid % 50 == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"), data.alias("data"))
-    return a.select("event_id", F.to_json(doc).alias("raw"))
+    return with_barrier(a.select("event_id", F.to_json(doc).alias("raw")))
 
 
 def weather_feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +108,8 @@ def weather_feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.col("weather_code").cast("int").alias("weather_code"), F.col("wind_speed_ms").alias("wind_speed_10m"))
     fc = F.struct(F.col("latitude"), F.col("longitude"), F.lit(0).alias("utc_offset_seconds"),
                   F.lit("GMT").alias("timezone"), cur.alias("current"))
-    forecast = w.select("point_id", F.col("event_id").alias("fetch_id"), "point_name", F.to_json(fc).alias("raw"))
+    forecast = with_barrier(w.select("point_id", F.col("event_id").alias("fetch_id"), "point_name",
+                                     F.to_json(fc).alias("raw")))
     aq = F.struct(F.struct(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm").alias("time"),
                            F.col("uv_index"), F.lit(None).cast("double").alias("pm2_5")).alias("current"))
     air = w.filter(eid % 7 != 0).select("point_id", F.col("event_id").alias("fetch_id"), F.to_json(aq).alias("raw"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metroscope.operators.common import BARRIER_COL, barrier_holds, spread
+
 from metroscope.functions.jsonvals import json_loose_int, json_num, parse_iso_ts, vget, vtype
 
 # Pollutant members of the feed -> measurement columns.
@@ -17,6 +19,8 @@ def scan_air(bronze: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ("sour
     """One response -> one measurement.  Rejected: status not ``ok``, data
     not an object, geo not two numbers, no time, no station index."""
     # parse once, then pull the members used several times into columns
+    bronze = spread(bronze, barrier=True)
+    keep = (*keep, *([BARRIER_COL] if BARRIER_COL in bronze.columns else []))
     doc = bronze.select(*keep, F.try_parse_json(F.col(raw)).alias("v"))
     doc = doc.select(*keep, vget("v", "$.status", "string").alias("_status"), vget("v", "$.data").alias("_data"))
     doc = doc.select(*keep, "_status", "_data", vget("_data", "$.city.geo", "array<variant>").alias("_geo"),
@@ -45,7 +49,8 @@ def scan_air(bronze: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ("sour
     ok = ((F.col("_status") == "ok") & (vtype(data) == "OBJECT")
           & F.coalesce(F.size(geo) == 2, F.lit(False)) & lat.isNotNull() & lon.isNotNull() & idx.isNotNull())
     out = bronze.select(*cols, ok.alias("_ok"))
-    valid = F.col("_ok") & F.col("measured_at").isNotNull()
+    valid = F.col("_ok") & F.col("measured_at").isNotNull() & barrier_holds(out)
     if with_rejects:
-        return out.filter(valid).drop("_ok"), out.filter(~F.coalesce(valid, F.lit(False))).drop("_ok")
-    return out.filter(valid).drop("_ok")
+        return (out.filter(valid).drop("_ok", BARRIER_COL),
+                out.filter(~F.coalesce(valid, F.lit(False))).drop("_ok", BARRIER_COL))
+    return out.filter(valid).drop("_ok", BARRIER_COL)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metroscope.operators.common import BARRIER_COL, barrier_holds, spread
+
 from metroscope.functions import mobility as mb
 from metroscope.functions.jsonvals import json_value, parse_iso_ts, vget
 
@@ -24,6 +26,8 @@ def scan_stop_visits(bronze: DataFrame, raw: str = "raw", journey_ref: str = "re
     # Stage the extraction: the document is parsed once, then each member is
     # pulled into its own column once (the optimizer keeps a projection that
     # is referenced several times instead of re-inlining it).
+    bronze = spread(bronze, barrier=True)
+    keep = (*keep, *([BARRIER_COL] if BARRIER_COL in bronze.columns else []))
     doc = bronze.select(*keep, F.try_parse_json(F.col(raw)).alias("v"))
     sd = doc.select(*keep, vget("v", "$.Siri.ServiceDelivery").alias("sd"))
     base = sd.select(*keep, F.coalesce(parse_iso_ts(vget("sd", "$.ResponseTimestamp", "string")),
@@ -65,7 +69,7 @@ def scan_stop_visits(bronze: DataFrame, raw: str = "raw", journey_ref: str = "re
         F.coalesce(parse_iso_ts("recorded"), F.col("resp_ts")).alias("recorded_at"),
         F.lit("prim").alias("source"),
     ).drop("resp_ts")
-    valid = F.col("stop_id").isNotNull() & F.col("line_id").isNotNull()
+    valid = F.col("stop_id").isNotNull() & F.col("line_id").isNotNull() & barrier_holds(out)
     if with_rejects:
-        return out.filter(valid), out.filter(~valid)
-    return out.filter(valid)
+        return out.filter(valid).drop(BARRIER_COL), out.filter(~valid).drop(BARRIER_COL)
+    return out.filter(valid).drop(BARRIER_COL)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metroscope.operators.common import BARRIER_COL, barrier_holds, spread
+
 from metroscope.functions.jsonvals import parse_iso_ts, safe_bool, safe_double, safe_int, vget, vtype
 
 # Feed members -> observation columns.
@@ -37,7 +39,9 @@ def scan_weather(forecast: DataFrame, air_quality: DataFrame | None = None, raw:
     """
     keys = list(keys)
     fv = F.try_parse_json(F.col(raw))
-    f = forecast.select(*keys, point_name, fv.alias("fv"))
+    forecast = spread(forecast, barrier=True)
+    extra = [BARRIER_COL] if BARRIER_COL in forecast.columns else []
+    f = forecast.select(*keys, *extra, point_name, fv.alias("fv"))
     if air_quality is not None:
         a = air_quality.select(*keys, vget(F.try_parse_json(F.col(raw)), "$.current").alias("air"))
         f = f.join(a, keys, "left")
@@ -50,7 +54,7 @@ def scan_weather(forecast: DataFrame, air_quality: DataFrame | None = None, raw:
         t = F.timestamp_micros(F.unix_micros(t) - off * F.lit(1_000_000))
     air_obj = F.when(vtype("air") == "OBJECT", F.col("air"))
     out = f.select(
-        *keys, F.col(point_name).alias("point_name"),
+        *keys, *extra, F.col(point_name).alias("point_name"),
         safe_double(vget("fv", "$.latitude")).alias("latitude"),
         safe_double(vget("fv", "$.longitude")).alias("longitude"),
         safe_double(vget("fv", "$.elevation")).alias("elevation_m"),
@@ -62,7 +66,7 @@ def scan_weather(forecast: DataFrame, air_quality: DataFrame | None = None, raw:
         (vtype(cur) == "OBJECT").alias("_cur"),
     )
     valid = (F.coalesce(F.col("_cur"), F.lit(False)) & F.col("observed_at").isNotNull()
-             & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+             & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & barrier_holds(out))
     if with_rejects:
-        return out.filter(valid).drop("_cur"), out.filter(~valid).drop("_cur")
-    return out.filter(valid).drop("_cur")
+        return out.filter(valid).drop("_cur", BARRIER_COL), out.filter(~valid).drop("_cur", BARRIER_COL)
+    return out.filter(valid).drop("_cur", BARRIER_COL)
