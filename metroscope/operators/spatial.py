@@ -12,14 +12,14 @@ candidate of the reference's id-ordered snapshot.  Two exact strategies:
   are grouped into one candidate array per cell.  Points equi-join the
   (broadcast) index on their own cell and take ``array_min`` over the
   candidates; a candidate provably closer than anything outside the 3x3
-  block settles the point.  Coarser levels (cells four times as large, up to one
+  block settles the point.  Coarser levels (cells eight times as large, up to one
   cell spanning the globe) are further LEFT joins that only match points
   still unsettled.  One plan: no aggregation over points, points never move.
 * ``grid``  - any number of sensors: points and sensors get cells of a
   lat/lon grid; a point is equi-joined with the sensors of its 3x3 cell
   block and keeps the best candidate when it is provably closer than
   anything outside the block.  Points left over go to a grid with cells
-  twice as large, until one cell spans the globe.  The replicated sensor
+  eight times as large, until one cell spans the globe.  The replicated sensor
   side is broadcast only under a checked row bound; otherwise the join
   shuffles on the cell (AQE splits cells that are hot on the point side).
   Each level's output is checkpointed to the shared checkpoint folder, so
@@ -111,7 +111,7 @@ def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, pa
 
 
 # ---------------------------------------------------------------------------- grid strategy
-LEVEL_GROWTH = 4  # each fallback level has cells this many times larger
+LEVEL_GROWTH = 8  # each fallback level has cells this many times larger
 
 
 def _tile(c: float) -> float:
@@ -153,24 +153,29 @@ def _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, p
     idx = rep.groupBy("lv", "cy", "cx").agg(F.sort_array(F.collect_set("s")).alias("c"))
     # bounded by the checked entry count (9 x sensors x levels): broadcast
     idx = F.broadcast(idx)
+    li = idx.select(F.col("lv").alias("__lv"), F.col("cy").alias("__iy"), F.col("cx").alias("__ix"),
+                    F.col("c").alias("__c"))
+    tmp = ["__py", "__px", "__lv", "__iy", "__ix", "__c", "__ds"]
     out = points
     for i, c in enumerate(levels):
         last = i == len(levels) - 1
-        li = idx.select(F.col("lv").alias("__lv"), F.col("cy").alias("__iy"), F.col("cx").alias("__ix"),
-                        F.col("c").alias("__c"))
-        out = out.withColumn("__py", _cell_y(plat, c)).withColumn("__px", _cell_x(plon, c))
+        out = out.withColumns({"__py": _cell_y(plat, c), "__px": _cell_x(plon, c)})
         cond = (F.col("__lv") == F.lit(i)) & (F.col("__py") == F.col("__iy")) & (F.col("__px") == F.col("__ix"))
         if i > 0:
             cond = cond & ~F.col("__ok")  # settled points skip the coarser lookups
         out = out.join(li, cond, "left")
-        out = _with_closest(out, "__c", "__nb", plat, plon)
-        ok = F.lit(True) if last else F.coalesce(F.col("__nb.d") <= _safe_radius_km(plat, plon, c), F.lit(False))
+        # only the distance runs in the lambda; its array is a column of its own
+        out = out.withColumn("__ds", F.transform(F.col("__c"), lambda x: haversine_km(plat, plon, x["lat"], x["lon"])))
+        dmin = F.array_min("__ds")
+        nb = F.when(dmin.isNotNull(), F.struct(dmin.alias("d"), F.element_at(
+            F.col("__c"), F.array_position("__ds", dmin).cast("int")).alias("s")))
+        ok = F.lit(True) if last else F.coalesce(dmin <= _safe_radius_km(plat, plon, c), F.lit(False))
         if i == 0:
-            out = out.withColumn("__ok", ok).withColumnRenamed("__nb", "__b")
+            out = out.withColumns({"__b": nb, "__ok": ok})
         else:
-            out = (out.withColumn("__b", F.when(F.col("__ok"), F.col("__b")).otherwise(F.col("__nb")))
-                      .withColumn("__ok", F.col("__ok") | ok).drop("__nb"))
-        out = out.drop("__py", "__px", "__lv", "__iy", "__ix", "__c")
+            out = out.withColumns({"__b": F.when(F.col("__ok"), F.col("__b")).otherwise(nb),
+                                   "__ok": F.col("__ok") | ok})
+        out = out.drop(*tmp)
     return _unpack(out.drop("__ok"), "__b", payload, prefix)
 
 
