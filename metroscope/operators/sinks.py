@@ -34,13 +34,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def insert_if_absent(new: DataFrame, target_path: str, key_cols: Sequence[str], order_cols: Sequence[str],
-                     key_exprs: dict | None = None, partition_cols: Sequence[str] = ()) -> dict:
+                     key_exprs: dict | None = None, partition_cols: Sequence[str] = (),
+                     range_col: str | None = None) -> dict:
     """Append the rows of ``new`` whose key is not yet in the target.
 
     Within the batch the first row per key (by ``order_cols``) wins; rows whose
     key already exists are skipped.  ``key_exprs`` adds computed key columns
     (e.g. a NULL-safe journey key) that are not stored.  Returns
     ``{"total": n_in, "inserted": n_written}``; an empty batch writes nothing.
+
+    ``range_col`` names a key column holding the event time: only target rows
+    between the batch's min and max of it can collide, so the target is read
+    with that range as a predicate (parquet min/max statistics and, for a
+    target partitioned by date, partition pruning) instead of whole.
     """
     spark = new.sparkSession
     key_exprs = key_exprs or {}
@@ -52,6 +58,9 @@ def insert_if_absent(new: DataFrame, target_path: str, key_cols: Sequence[str],
     firsts = first_per_key(batch, list(key_cols), list(order_cols))
     if _exists(spark, target_path):
         existing = spark.read.parquet(target_path)
+        if range_col is not None:
+            lo, hi = new.agg(F.min(range_col), F.max(range_col)).first()
+            existing = existing.filter(F.col(range_col).between(F.lit(lo), F.lit(hi)))
         for k, e in key_exprs.items():
             existing = existing.withColumn(k, e)
         firsts = firsts.join(existing.select(*key_cols).distinct(), list(key_cols), "left_anti")

@@ -100,10 +100,10 @@ def q_project_sink(spark, d):
     return facts.stop_visit_rows(A.stop_visits_raw(spark, d)).select(*VISIT_COLS)
 
 
-def _load_twice(spark, rows, keys, order, key_exprs=None):
+def _load_twice(spark, rows, keys, order, key_exprs=None, range_col=None):
     path = sinks.scratch_path(spark, "load")
-    first = sinks.insert_if_absent(rows, path, keys, order, key_exprs)
-    second = sinks.insert_if_absent(rows, path, keys, order, key_exprs)
+    first = sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
+    second = sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
     stored = spark.read.parquet(path).count()
     return spark.createDataFrame([(first["total"], first["inserted"], second["inserted"], stored)],
                                  "total long, inserted long, inserted_again long, stored long")
@@ -117,7 +117,7 @@ def q_load_visits(spark, d):
     """Insert-if-absent twice: the second load inserts nothing."""
     rows = _silver(spark, d).withColumn("input_pos", F.col("recorded_at"))
     return _load_twice(spark, rows, ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"], ["input_pos"],
-                       {"vehicle_journey_key": mb.vehicle_journey_key()})
+                       {"vehicle_journey_key": mb.vehicle_journey_key()}, range_col="recorded_at")
 
 
 SQL_AIR_E = A.with_event_id(A.SQL_AIR)
@@ -142,7 +142,7 @@ FROM air WHERE event_id % 50 <> 0 AND event_id % 41 <> 0""", air=SQL_AIR_E))
 def q_load_air(spark, d):
     a = s_air.scan_air(B.air_feed(spark, d), keep=("event_id",))
     rows = facts.air_rows(a).withColumn("input_pos", F.col("measured_at"))
-    return _load_twice(spark, rows, ["station_id", "measured_at"], ["input_pos"])
+    return _load_twice(spark, rows, ["station_id", "measured_at"], ["input_pos"], range_col="measured_at")
 
 
 SQL_WX_E = A.with_event_id(A.SQL_WEATHER)
@@ -169,7 +169,7 @@ def q_load_weather(spark, d):
     fc, aq = B.weather_feeds(spark, d)
     w = s_weather.scan_weather(fc, aq)
     rows = facts.weather_rows(w, keep=("fetch_id",)).withColumnRenamed("fetch_id", "input_pos")
-    return _load_twice(spark, rows, ["point_id", "observed_at"], ["input_pos"])
+    return _load_twice(spark, rows, ["point_id", "observed_at"], ["input_pos"], range_col="observed_at")
 
 
 LINE_COLS = ["line_id", "short_name", "long_name", "transport_mode", "transport_submode", "network_name",

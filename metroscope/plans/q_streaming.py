@@ -44,7 +44,8 @@ def q_stream_dedupe(spark, d):
     p, visits = _visit_stream(spark, d, "stream-dedupe")
     rows = visits.withColumn("input_pos", F.col("recorded_at"))
     L.stream_insert_if_absent(rows, p["out"], ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"],
-                              ["input_pos"], p["ckpt"], {"vehicle_journey_key": mb.vehicle_journey_key()})
+                              ["input_pos"], p["ckpt"], {"vehicle_journey_key": mb.vehicle_journey_key()},
+                              range_col="recorded_at")
     return spark.read.parquet(p["out"]).select("stop_id", "line_id", "recorded_at")
 
 

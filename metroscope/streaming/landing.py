@@ -45,12 +45,12 @@ def run_available(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoin
 
 # ------------------------------------------------------------------ R2 dedupe
 def stream_insert_if_absent(df: DataFrame, target: str, key_cols: Sequence[str], order_cols: Sequence[str],
-                            checkpoint: str, key_exprs: dict | None = None) -> None:
+                            checkpoint: str, key_exprs: dict | None = None, range_col: str | None = None) -> None:
     """Exact streaming dedupe: each micro-batch goes through the batch
     insert-if-absent sink, so the table equals a batch load of all input,
     whatever the batch boundaries or lateness."""
     def fn(batch: DataFrame, _bid: int) -> None:
-        sinks.insert_if_absent(batch, target, key_cols, order_cols, key_exprs)
+        sinks.insert_if_absent(batch, target, key_cols, order_cols, key_exprs, range_col=range_col)
     run_available(df, fn, checkpoint)
 
 
