@@ -78,10 +78,9 @@ def fact_block_air(snapshot: DataFrame, zones: DataFrame, as_of=None) -> DataFra
     st = snapshot.select("station_id", "station_name", "aqi", "pm25", "pm10", "no2", "measured_at", "attribution")
     z = zones.select("zone").distinct()
     named = substring_matches(z.filter(F.col("zone").isNotNull()), "zone", st, ["station_name"])
-    # the all-stations request joins every station once (a one-row key side)
-    all_req = z.filter(F.col("zone").isNull()).select(F.lit(1).alias("__k"))
-    everyone = st.withColumn("__k", F.lit(1)).join(F.broadcast(all_req), "__k").drop("__k").withColumn(
-        "zone", F.lit(None).cast("string"))
+    # an all-stations request (NULL zone) keeps every station: a filter on a scalar subquery, no join
+    wants_all = z.select(F.count_if(F.col("zone").isNull()) > 0).scalar()
+    everyone = st.filter(wants_all).withColumn("zone", F.lit(None).cast("string"))
     matched = named.unionByName(everyone)
     parts = F.concat_ws(", ",
                         F.concat(F.lit("AQI="), F.when(F.coalesce(F.col("aqi"), F.lit(0)) == 0, F.lit("?"))
@@ -118,9 +117,8 @@ def fact_block_weather(snapshot: DataFrame, points: DataFrame, as_of=None) -> Da
                          "wind_speed_ms", "observed_at")
     p = points.select("point").distinct()
     named = substring_matches(p.filter(F.col("point").isNotNull()), "point", st, ["point_name", "point_id"])
-    all_req = p.filter(F.col("point").isNull()).select(F.lit(1).alias("__k"))
-    everyone = st.withColumn("__k", F.lit(1)).join(F.broadcast(all_req), "__k").drop("__k").withColumn(
-        "point", F.lit(None).cast("string"))
+    wants_all = p.select(F.count_if(F.col("point").isNull()) > 0).scalar()
+    everyone = st.filter(wants_all).withColumn("point", F.lit(None).cast("string"))
     matched = named.unionByName(everyone)
     parts = F.concat_ws(", ",
                         F.when(F.col("temperature_c").isNotNull(), _fmt("{}°C", fm.fmt_fixed("temperature_c", 1))),
