@@ -129,12 +129,37 @@ def _cell_levels(start: float) -> list[float]:
     return levels
 
 
+HOT_CELL_MAX_LOCATIONS = 64  # distinct sensor locations allowed in one start cell
+MAX_HALVINGS = 16
+
+
 def _sensor_stats(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
-    return _choose_start_cell(sensors.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")), "lat", "lon")
+    """(start cell, sensor count).  The start cell is about 3/4 of the mean
+    spacing, then halved while some cell holds more than
+    ``HOT_CELL_MAX_LOCATIONS`` distinct locations, so a dense cluster does
+    not give long candidate lists; sparse areas fall through to coarser
+    levels instead.  Each check is one small aggregate over the sensors."""
+    locs = sensors.select(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    start, n = _choose_start_cell(locs, "lat", "lon")
+    if n == 0:
+        return start, n
+    locs = locs.distinct()
+    for _ in range(MAX_HALVINGS):
+        worst = (locs.groupBy(_cell_y(F.col("lat"), start).alias("y"), _cell_x(F.col("lon"), start).alias("x"))
+                 .count().agg(F.max("count")).first()[0])
+        if worst <= HOT_CELL_MAX_LOCATIONS or start <= MIN_CELL_DEG / 1000:
+            break
+        start /= 2
+    return start, n
 
 
 def _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix, start):
-    sens = sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
+    # Sensors at identical coordinates: only the smallest id can ever win (ties
+    # go to the smallest id), so one copy per location is kept.  A location
+    # holding a third of all sensors is reduced map-side (partial aggregate).
+    sens = (sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
+            .groupBy(F.col("s.lat").alias("__la"), F.col("s.lon").alias("__lo")).agg(F.min("s").alias("s"))
+            .select("s"))
     plat, plon = F.col(point_lat), F.col(point_lon)
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     levels = _cell_levels(start)
@@ -187,8 +212,8 @@ def _choose_start_cell(sensors: DataFrame, lat: str, lon: str) -> tuple[float, i
     n = st["n"] or 0
     if n == 0:
         return GLOBAL_CELL_DEG, 0
-    area = max((st["b"] - st["a"]) * (st["d"] - st["c"]), MIN_CELL_DEG ** 2)
-    return max(0.75 * math.sqrt(area / n), MIN_CELL_DEG), n
+    area = max((st["b"] - st["a"]) * (st["d"] - st["c"]), (MIN_CELL_DEG / 1000) ** 2)
+    return max(0.75 * math.sqrt(area / n), MIN_CELL_DEG / 1000), n
 
 
 def _cell_y(latc: Column, c: float) -> Column:
@@ -228,8 +253,11 @@ def _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, p
                   start_cell_deg):
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
-    sens = sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s")).checkpoint(eager=True)
-    start, n = _choose_start_cell(sens.select("s.lat", "s.lon"), "lat", "lon")
+    # one copy per location (the smallest id wins every tie there), materialized once
+    sens = (sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
+            .groupBy(F.col("s.lat").alias("__la"), F.col("s.lon").alias("__lo")).agg(F.min("s").alias("s"))
+            .select("s").checkpoint(eager=True))
+    start, n = _sensor_stats(sens.select("s.lat", "s.lon"), "lat", "lon")
     if start_cell_deg:
         start = start_cell_deg
     levels = _cell_levels(start)

@@ -66,3 +66,19 @@ def test_within_radius_matches_brute_force(spark, radius):
     got = sorted((r.pid, r.s_id) for r in spatial.within_radius(P, S, radius).collect())
     want = sorted((pid, sid) for pid, a, b in pts for sid, c, d in sens if hav(a, b, c, d) <= radius)
     assert got == want
+
+
+@pytest.mark.parametrize("strategy", ["cells", "grid"])
+def test_nearest_with_hot_location_and_dense_cluster(spark, strategy):
+    # a third of the sensors share one location, another third sit in a 100 m cluster
+    rnd = random.Random(5)
+    sens = [(f"c{j:04d}", 48.8, 2.3) for j in range(200)]
+    sens += [(f"d{j:04d}", 48.9 + rnd.uniform(0, 0.001), 2.4 + rnd.uniform(0, 0.001)) for j in range(200)]
+    sens += [(f"u{j:04d}", 48 + rnd.uniform(0, 2), 1.5 + rnd.uniform(0, 2)) for j in range(200)]
+    pts = [(i, 48 + rnd.uniform(0, 2), 1.5 + rnd.uniform(0, 2)) for i in range(300)]
+    pts += [(1000 + i, 48.9 + rnd.uniform(-0.01, 0.01), 2.4 + rnd.uniform(-0.01, 0.01)) for i in range(50)]
+    pts += [(2000, 48.8, 2.3)]
+    P = spark.createDataFrame(pts, "pid int, latitude double, longitude double")
+    S = spark.createDataFrame(sens, "sensor_id string, latitude double, longitude double")
+    got = {r.pid: r.n_id for r in spatial.nearest(P, S, ["pid"], prefix="n_", strategy=strategy).collect()}
+    assert got == _brute(pts, sens)
