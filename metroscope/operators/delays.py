@@ -23,9 +23,10 @@ def recent_arrivals(visits: DataFrame, as_of=None, hours: float = 24) -> DataFra
     return v.withColumn("delay_sec", arrival_delay_seconds())
 
 
-def traffic_kpis(visits: DataFrame, as_of=None) -> DataFrame:
-    """One row: visits, distinct lines, mean delay and % late (> 60 s), 24 h."""
-    r = recent_arrivals(visits, as_of, 24)
+def traffic_kpis(visits: DataFrame, as_of=None, hours: float = 24) -> DataFrame:
+    """One row: visits, distinct lines, mean delay and % late (> 60 s) over the
+    trailing window (24 h in the dashboard)."""
+    r = recent_arrivals(visits, as_of, hours)
     n = F.count(F.lit(1))
     row = r.agg(n.alias("total_visits"), F.count_distinct("line_id").alias("active_lines"),
                 F.avg("delay_sec").alias("avg_delay_sec"),
@@ -46,12 +47,12 @@ def _with_lines(r: DataFrame, lines: DataFrame, mode: str | None) -> DataFrame:
     return j
 
 
-def top_delayed(visits: DataFrame, lines: DataFrame, as_of=None, limit: int = 10, mode: str | None = None) -> DataFrame:
-    """League of lines by mean arrival delay over 24 h (>= 5 visits), top N.
-
-    Ties on the mean are broken by line id so the cut is deterministic.
-    """
-    j = _with_lines(recent_arrivals(visits, as_of, 24), lines, mode)
+def top_delayed(visits: DataFrame, lines: DataFrame, as_of=None, limit: int = 10, mode: str | None = None,
+                hours: float = 24) -> DataFrame:
+    """League of lines by mean arrival delay over the trailing window (24 h in
+    the dashboard; >= 5 visits), top N.  Ties on the mean are broken by line
+    id so the cut is deterministic."""
+    j = _with_lines(recent_arrivals(visits, as_of, hours), lines, mode)
     g = (j.groupBy("line_id", "short_name", "transport_mode")
          .agg(F.count(F.lit(1)).alias("visits"), F.avg("delay_sec").alias("avg_delay_sec"))
          .filter(F.col("visits") >= MIN_LINE_VISITS))
@@ -68,9 +69,11 @@ def top_delayed_display(top: DataFrame) -> DataFrame:
             .orderBy("delay_min", "line_id"))
 
 
-def delay_heatmap(visits: DataFrame, lines: DataFrame, as_of=None, mode: str | None = None) -> DataFrame:
-    """Mean arrival delay and count by day of week (0 = Sunday) x hour, 7 days."""
-    r = recent_arrivals(visits, as_of, 24 * 7)
+def delay_heatmap(visits: DataFrame, lines: DataFrame, as_of=None, mode: str | None = None,
+                  hours: float = 24 * 7) -> DataFrame:
+    """Mean arrival delay and count by day of week (0 = Sunday) x hour over the
+    trailing window (7 days in the dashboard)."""
+    r = recent_arrivals(visits, as_of, hours)
     if mode:
         r = _with_lines(r, lines, mode)
     return (r.groupBy((F.dayofweek("recorded_at") - 1).alias("day_of_week"), F.hour("recorded_at").alias("hour"))

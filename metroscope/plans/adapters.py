@@ -294,3 +294,34 @@ def with_views(sql: str, **views: str) -> str:
 def with_event_id(sql: str) -> str:
     """The same view with the source event id as first column."""
     return sql.replace("SELECT ", "SELECT event_id, ", 1)
+
+
+
+# --------------------------------------------------------------------------- large stop visits
+# Order lines as stop visits: the line is the part, the stop the supplier,
+# planned arrival the order date, actual arrival the ship date.
+AS_OF_LARGE = "2000-01-01 00:00:00"
+
+
+def stop_visits_large_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                  F.col("l_shipdate").cast("timestamp").alias("ship"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+                                              F.col("o_orderdate").cast("timestamp").alias("od"))
+    j = li.join(o, "l_orderkey")
+    return j.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("stop_id"),
+        F.concat(F.lit("STIF:Line::C"), F.col("l_partkey").cast("string"), F.lit(":")).alias("line_id"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias(
+            "vehicle_journey_id"),
+        F.lit("unknown").alias("transport_mode"),
+        F.col("od").alias("aimed_arrival"), F.col("ship").alias("expected_arrival"),
+        F.col("od").alias("recorded_at"), F.lit("prim").alias("source"))
+
+
+SQL_STOP_VISITS_LARGE = """
+SELECT 'S' || CAST(l.l_suppkey AS VARCHAR) AS stop_id, 'STIF:Line::C' || CAST(l.l_partkey AS VARCHAR) || ':' AS line_id,
+       CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS vehicle_journey_id,
+       'unknown' AS transport_mode, o.o_orderdate AS aimed_arrival, l.l_shipdate AS expected_arrival,
+       o.o_orderdate AS recorded_at, 'prim' AS source
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey"""

@@ -382,3 +382,52 @@ def q_format_age(spark, d):
 def q_scan_project(spark, d):
     """Dimension scan reading three columns (the parquet scan prunes the rest)."""
     return A.lines(spark, d).select("line_id", "short_name", "transport_mode")
+
+
+
+# ---------------------------------------------------------------- large fact table (order lines as visits)
+ALL_TIME_H = 24 * 365 * 30
+LARGE = {"stop_visits": A.SQL_STOP_VISITS_LARGE, "lines": A.SQL_LINES}
+ARR_L = "(epoch_us(expected_arrival) - epoch_us(aimed_arrival)) / 1000000.0"
+RECENT_L = (f"SELECT *, {ARR_L} AS delay_sec FROM stop_visits WHERE recorded_at >= TIMESTAMP '{A.AS_OF_LARGE}' - "
+            f"INTERVAL {ALL_TIME_H} HOUR AND aimed_arrival IS NOT NULL AND expected_arrival IS NOT NULL")
+
+
+def _large(spark, d):
+    from metroscope.operators.facts import stop_visit_rows
+    return stop_visit_rows(A.stop_visits_large_raw(spark, d))
+
+
+@register("traffic_kpis_large", A.with_views(f"""
+SELECT count(*) AS total_visits, count(DISTINCT line_id) AS active_lines,
+       {sql_r6('coalesce(avg(delay_sec), 0.0)')} AS avg_delay_sec,
+       {sql_r6('coalesce(CAST(count(*) FILTER (WHERE delay_sec > 60) AS DOUBLE) * 100.0 / CAST(nullif(count(*), 0) AS DOUBLE), 0.0)')}
+         AS pct_late
+FROM ({RECENT_L})""", **LARGE))
+def q_traffic_kpis_large(spark, d):
+    """KPIs over the order-line fact table (every row in the window)."""
+    k = delays.traffic_kpis(_large(spark, d), A.AS_OF_LARGE, hours=ALL_TIME_H)
+    return k.select("total_visits", "active_lines", r6("avg_delay_sec").alias("avg_delay_sec"),
+                    r6("pct_late").alias("pct_late"))
+
+
+@register("top_delayed_large", A.with_views(f"""
+SELECT line_id, line_name, transport_mode, visits, {sql_r6('avg_delay_sec')} AS avg_delay_sec FROM (
+  SELECT r.line_id, coalesce(l.short_name, r.line_id) AS line_name, coalesce(l.transport_mode, 'Inconnu') AS transport_mode,
+         count(*) AS visits, avg(r.delay_sec) AS avg_delay_sec
+  FROM ({RECENT_L}) r LEFT JOIN lines l ON r.line_id = l.line_id
+  GROUP BY r.line_id, l.short_name, l.transport_mode HAVING count(*) >= 5
+  ORDER BY avg_delay_sec DESC, r.line_id LIMIT 10)""", **LARGE))
+def q_top_delayed_large(spark, d):
+    """League table over the order-line fact table, joined with the line dimension."""
+    t = delays.top_delayed(_large(spark, d), A.lines(spark, d), A.AS_OF_LARGE, hours=ALL_TIME_H)
+    return _top_out(t)
+
+
+@register("delay_heatmap_large", A.with_views(f"""
+SELECT CAST(dayofweek(recorded_at) AS INTEGER) AS day_of_week, CAST(hour(recorded_at) AS INTEGER) AS hour,
+       {sql_r6('avg(delay_sec)')} AS avg_delay_sec, count(*) AS visits
+FROM ({RECENT_L}) GROUP BY 1, 2""", **LARGE))
+def q_delay_heatmap_large(spark, d):
+    h = delays.delay_heatmap(_large(spark, d), A.lines(spark, d), A.AS_OF_LARGE, hours=ALL_TIME_H)
+    return h.select("day_of_week", "hour", r6("avg_delay_sec").alias("avg_delay_sec"), "visits")

@@ -21,7 +21,12 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
 def register(name: str, oracle: str | None):
     def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = (fn, oracle)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # every feed time is UTC; pin the session zone whatever session the caller built
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+        REGISTRY[name] = (run, oracle)
         return fn
     return deco
 
