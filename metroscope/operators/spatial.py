@@ -138,18 +138,24 @@ def _sensor_stats(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
     spacing, then halved while some cell holds more than
     ``HOT_CELL_MAX_LOCATIONS`` distinct locations, so a dense cluster does
     not give long candidate lists; sparse areas fall through to coarser
-    levels instead.  Each check is one small aggregate over the sensors."""
+    levels instead.  All candidate sizes are checked in one small aggregate
+    over the distinct sensor locations (one result row per size)."""
     locs = sensors.select(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     start, n = _choose_start_cell(locs, "lat", "lon")
     if n == 0:
         return start, n
-    locs = locs.distinct()
-    for _ in range(MAX_HALVINGS):
-        worst = (locs.groupBy(_cell_y(F.col("lat"), start).alias("y"), _cell_x(F.col("lon"), start).alias("x"))
-                 .count().agg(F.max("count")).first()[0])
-        if worst <= HOT_CELL_MAX_LOCATIONS or start <= MIN_CELL_DEG / 1000:
+    # occupancy of the densest cell for every candidate size, in one job
+    sizes = [start / (2 ** k) for k in range(MAX_HALVINGS + 1)]
+    lv = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(sizes)]))
+    occ = (locs.distinct().select("lat", "lon", lv.alias("L"))
+           .groupBy(F.col("L.k").alias("k"), F.floor((F.col("lat") + F.lit(90.0)) / F.col("L.c")).alias("y"),
+                    F.floor((F.col("lon") + F.lit(180.0)) / F.col("L.c")).alias("x"))
+           .count().groupBy("k").agg(F.max("count").alias("m")).collect())
+    worst = {r["k"]: r["m"] for r in occ}
+    for k, c in enumerate(sizes):
+        start = c
+        if worst.get(k, 0) <= HOT_CELL_MAX_LOCATIONS:
             break
-        start /= 2
     return start, n
 
 
