@@ -146,6 +146,10 @@ def compare_journeys(scored: DataFrame, group_col: str = "comparison_id", pos_co
 
 def rank_journeys(scored: DataFrame, group_col: str = "comparison_id", pos_col: str = "input_pos") -> DataFrame:
     """1-based rank of each journey in its comparison by descending score,
-    ties in listing order; distributed even for a very large comparison."""
+    ties in listing order; distributed even for a very large comparison.
+
+    The ranking reads its input three times (range bounds, slice sizes,
+    numbering), so the scored journeys (one row per journey) are written once
+    to the checkpoint folder first instead of being re-scored each time."""
     from metroscope.operators.ranking import rank_within
-    return rank_within(scored, [group_col], [F.col("overall_score").desc(), F.col(pos_col)])
+    return rank_within(materialize(scored), [group_col], [F.col("overall_score").desc(), F.col(pos_col)])
