@@ -65,3 +65,16 @@ def test_cleanup_and_retention(spark):
                                 ("L", dt.datetime(2024, 5, 1, 10, 0), 99)], "line_id string, ts timestamp, d int")
     r = sinks.retention_rollup(ev, "ts", ["line_id"], ["d"], "2024-05-02 00:00:00", days=90).collect()
     assert [(x.hour, x.n_rows, x.avg_d, x.min_d, x.max_d) for x in r] == [(dt.datetime(2024, 1, 1, 10), 2, 20.0, 10, 30)]
+
+
+def test_insert_with_range_bound_still_finds_repeats(spark):
+    path = sinks.scratch_path(spark, "t-range")
+    schema = "k string, ts timestamp, v int, pos int"
+    a = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 10), 1, 1), ("b", dt.datetime(2024, 1, 1, 12), 2, 2)], schema)
+    assert sinks.insert_if_absent(a, path, ["k", "ts"], ["pos"], range_col="ts") == {"total": 2, "inserted": 2}
+    # a later batch repeating one earlier key (inside its own time range) plus new rows
+    b = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 10), 9, 1), ("c", dt.datetime(2024, 1, 1, 11), 3, 2),
+                               ("c", dt.datetime(2024, 1, 1, 11), 4, 3)], schema)
+    assert sinks.insert_if_absent(b, path, ["k", "ts"], ["pos"], range_col="ts") == {"total": 3, "inserted": 1}
+    got = sorted((r.k, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 1), ("b", 2), ("c", 3)]
