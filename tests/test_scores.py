@@ -110,3 +110,11 @@ def test_fixed_formatting_matches_python(spark):
     for digits in (0, 1, 2):
         got = [r[0] for r in df.select(fm.fmt_fixed("x", digits)).collect()]
         assert got == [f"{v:.{digits}f}" for v in vals]
+
+
+def test_grade_palettes(spark):
+    df = spark.createDataFrame([("A",), ("b",), ("E",), ("Z",)], "g string")
+    got = [tuple(r) for r in df.select(fm.grade_color("g"), fm.grade_color("g", "ui"), fm.grade_advice("g")).collect()]
+    assert [g[0] for g in got] == ["#1B7E3D", None, "#E40520", None]      # service palette: exact grades
+    assert [g[1] for g in got] == ["#10B981", "#84CC16", "#EF4444", "#9CA3AF"]  # UI palette: any case, grey default
+    assert got[0][2].startswith("🟢 Excellent trajet")
