@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metroscope.llm import exact_dedup, packing, runtime, token_store
+from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, packing, quality, runtime, substring_dedup, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,36 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     path = runtime.scratch(spark, "token-store")
     token_store.write(documents(spark, d), path, tokenizer_path(), end_id=2)
     return token_store.Store(spark, path).documents()
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
+@register("op5_quality")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
+@register("op6_lm_bloom")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return lm_bloom.score(documents(spark, d))
+
+
+@register("op8_decontamination")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")))
+
+
+@register("op9_license_scan")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan(documents(spark, d))
+
+
+@register("op10_substring_dedup")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, d))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -73,3 +73,80 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
 def doc_text(docs: DataFrame) -> DataFrame:
     """The two columns most operators read: ``doc_id`` (long) and ``text`` (null stays null)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+# ------------------------------------------------------------------ chunks
+CHUNK = "chunk long, data binary"
+
+
+def chunk_table(docs: DataFrame, name: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id`` and ``text`` of all rows in chunks of at most ``limit`` text bytes (or one row), stored once.
+
+    A chunk is one row: its number and its rows as a compressed Arrow stream.
+    Hash messages to other tasks then go by chunk instead of by word, and a
+    lost task re-reads the stored table, so chunk numbers never change.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+        task, k = TaskContext.get().partitionId(), 0
+        for waiting in gather(blocks(batches, limit=limit), limit):
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([pack_rows(waiting)], pa.binary())], ["chunk", "data"])
+            k += 1
+
+    def gather(parts, limit):
+        rows, size = [], 0
+        for b in parts:
+            n = string_column(b, "text").nbytes
+            if rows and size + n > limit:
+                yield rows
+                rows, size = [], 0
+            rows.append(b)
+            size += n
+        if rows:
+            yield rows
+
+    path = scratch(docs.sparkSession, name)
+    doc_text(docs).mapInArrow(run, CHUNK).write.option("compression", "uncompressed").parquet(path)
+    return docs.sparkSession.read.schema(CHUNK).parquet(path)
+
+
+def pack_rows(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(data: bytes) -> tuple[list, pa.StringArray]:
+    """(doc_ids, texts) of a chunk; null texts are empty."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    batch = table.to_batches()[0]
+    return batch.column("doc_id").to_pylist(), string_column(batch, "text")
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches as dicts, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: b.column(c)[i].as_py() for c in b.schema.names}
+
+
+def slice_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Slice 0..n-1 of each 64-bit hash, in ascending hash order."""
+    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def slice_bounds(h: np.ndarray, n: int) -> np.ndarray:
+    """For sorted hashes: first position of each slice, and the end."""
+    return np.searchsorted(slice_of(h, n), np.arange(n + 1))
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def spread_out(data: bytes, dtype) -> np.ndarray:
+    import zstandard
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
