@@ -2,8 +2,9 @@
 
 1. Voters.  Lexicon voters are words and word beginnings that stand out in the
    labelled training rows; pattern voters look at insults addressed to a
-   reader, shouting and the like; a last voter speaks for clean text when no
-   lexicon voter fires.
+   reader and the like; one voter speaks for clean text when no lexicon voter
+   fires; the given label is a voter too, whose accuracy is estimated like the
+   others', so a wrong label can be outvoted.
 2. Label model.  Expectation maximisation estimates for each voter how often
    it fires on toxic and on clean text.  Voters that still fire together given
    the posterior label are correlated: the evidence of each is divided by the
@@ -111,10 +112,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, weight: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row of boolean ``votes``, and each voter's tie count.
 
-    ``start`` is the first guess of the posteriors.  Ties are the voters whose
+    ``start`` is the first guess of the posteriors, ``weight`` what each row
+    counts.  Ties are the voters whose
     residual (vote minus its expectation given the posterior) correlates
     above one half.
     """
@@ -122,8 +124,8 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     v = votes.astype(np.float32)
     ties = np.ones(votes.shape[1])
     for step in range(rounds):
-        p1 = (post @ v + 0.5) / (post.sum() + 1)
-        p0 = ((1 - post) @ v + 0.5) / ((1 - post).sum() + 1)
+        on1, on0 = weight * post, weight * (1 - post)
+        p1, p0 = (on1 @ v + 0.5) / (on1.sum() + 1), (on0 @ v + 0.5) / (on0.sum() + 1)
         if step % 8 == 0:
             rest = v - (post[:, None] * p1 + (1 - post)[:, None] * p0).astype(np.float32)
             sd = np.sqrt((rest ** 2).mean(0)) + 1e-9
@@ -137,6 +139,18 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return post, ties
 
 
+def copy_weights(rows: np.ndarray, features: np.ndarray, n: int, smallest: int = 4) -> np.ndarray:
+    """1 over the number of rows with the same few smallest feature hashes: copies of a text count about once."""
+    order = np.lexsort((features, rows))
+    at = np.searchsorted(rows[order], np.arange(n + 1))
+    key = np.zeros((n, smallest), np.uint64)
+    for k in range(smallest):
+        has = at[:-1] + k < at[1:]
+        key[has, k] = features[order][at[:-1][has] + k]
+    _, back, size = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+    return 1.0 / size[back.ravel()]
+
+
 def _group(rows: np.ndarray, cols: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
     return np.bincount(cols, weight[rows], n)
 
@@ -149,16 +163,23 @@ def fit(rows: np.ndarray, features: np.ndarray, votes: np.ndarray, y: np.ndarray
     if n == 0 or y.min() == y.max():
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))) if n else 0.0)
     names, col = np.unique(features, return_inverse=True)
-    docs = np.bincount(col, minlength=len(names))
+    weight = copy_weights(rows, features, n)
+    docs = _group(rows, col, len(names), weight)
     keep = docs >= MIN_DOCS
-
-    def odds(target: np.ndarray) -> np.ndarray:
-        t1 = _group(rows, col, len(names), target)
-        return np.log((t1 + 0.5) / (target.sum() + 1)) - np.log((docs - t1 + 0.5) / (n - target.sum() + 1))
-
-    # lexicon voters: entries of high odds that many toxic rows have
-    value = odds(y)
-    worth = np.where(keep & (value > 1.5), value * np.sqrt(docs), -np.inf)
+    n_eff = weight.sum()
+
+    def evidence(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds ratio of each feature, and its likelihood-ratio statistic (0 below MIN_DOCS)."""
+        a, t = _group(rows, col, len(names), target * weight), (target * weight).sum()
+        odds = np.log((a + 0.5) / (t + 1)) - np.log((docs - a + 0.5) / (n_eff - t + 1))
+        own = lambda k, total, p: k * np.log(np.maximum(k, 1e-12) / (total * p)) + (total - k) * np.log(np.maximum(total - k, 1e-12) / (total * (1 - p)))
+        p = np.clip(docs / n_eff, 1e-9, 1 - 1e-9)
+        return odds, np.where(keep, 2 * (own(a, t, p) + own(docs - a, n_eff - t, p)), 0)
+
+    # lexicon voters: entries that toxic rows have far more often than chance among all features explains
+    odds, worth = evidence(y)
+    sure = 2 * np.log(max(2, int(keep.sum())))
+    worth = np.where((odds > 1.5) & (worth > sure), worth, -np.inf)
     chosen = np.argsort(-worth, kind="stable")[:LEXICON]
     chosen = chosen[np.isfinite(worth[chosen])]
     where = np.full(len(names), -1)
@@ -166,14 +187,13 @@ def fit(rows: np.ndarray, features: np.ndarray, votes: np.ndarray, y: np.ndarray
     lexicon = np.zeros((n, len(chosen)), bool)
     hit = where[col] >= 0
     lexicon[rows[hit], where[col[hit]]] = True
-    every = np.column_stack([lexicon, votes, ~lexicon.any(1)])
+    every = np.column_stack([lexicon, votes, ~lexicon.any(1), y > 0.5])
     every = every[:, every.any(0)]
-    post, _ = label_model(every, share, np.clip(y, 0.02, 0.98))
+    post, _ = label_model(every, share, np.clip(y, 0.02, 0.98), weight)
     # classifier on posterior labels
-    value = odds(post)
-    worth = np.where(keep, np.abs(value) * np.sqrt(docs), -np.inf)
-    used = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-    used = used[keep[used]]
+    _, worth = evidence(post)
+    used = np.argsort(-worth, kind="stable")[:FEATURES]
+    used = np.sort(used[worth[used] > sure])
     where = np.full(len(names), -1)
     where[used] = np.arange(len(used))
     hit = where[col] >= 0
@@ -182,8 +202,8 @@ def fit(rows: np.ndarray, features: np.ndarray, votes: np.ndarray, y: np.ndarray
     gw, gb = np.full(len(used), 1e-6), 1e-6
     for _ in range(ROUNDS):
         p = _sigmoid(b + np.bincount(r, w[c], n))
-        err = p - post
-        dw, db = np.bincount(c, err[r], len(used)) / n + 1e-5 * w, err.mean()
+        err = weight * (p - post)
+        dw, db = np.bincount(c, err[r], len(used)) / n_eff + 1e-5 * w, err.sum() / n_eff
         gw, gb = gw + dw ** 2, gb + db ** 2
         w, b = w - 0.5 * dw / np.sqrt(gw), b - 0.5 * db / np.sqrt(gb)
     return Model(names[used], w, float(b))
