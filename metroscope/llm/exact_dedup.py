@@ -65,7 +65,8 @@ class DigestIndex:
 
         Returns the appended rows (digest, keep_id, group_size).
         """
-        groups = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # stored first: the optimizer would push the anti-join below the aggregate, onto all copies of a hot text
+        groups = stored(keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
         fresh = stored(groups.join(self.bucketed().select("digest").hint("merge"), "digest", "left_anti"), "fresh-digests")
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
