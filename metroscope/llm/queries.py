@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, packing, quality, runtime, substring_dedup, token_store, toxicity
+from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return token_store.Store(spark, path).documents()
 
 
+@register("op3_near_dedup")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, d))
+
+
 @register("op4_toxicity")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
