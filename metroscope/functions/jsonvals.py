@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metroscope.functions.text import strip
+
 _INT_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
@@ -28,30 +30,55 @@ def vtype(v) -> Column:
     return F.substring_index(F.substring_index(F.schema_of_variant(_c(v)), "<", 1), "(", 1)
 
 
-def json_value(v, depth: int = 2) -> Column:
-    """Polymorphic feed value as trimmed text.
+# Texts of a VARIANT that may come from a number or a literal instead of a string.
+_BARE = r"^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false)$"
+# A chain of opening wrappers (lists, value objects) and the string they hold.
+_CHAIN = r'^(?:\[|\{"value":)+("(?:[^"\\]|\\.)*")'
+
+
+def _text(s: Column) -> Column:
+    """Stripped text; blank -> NULL."""
+    t = strip(s)
+    return F.when(t != "", t)
+
+
+def _nested(v, depth: int) -> Column:
+    """``json_value`` by type tests, ``depth`` levels deep."""
+    kind = vtype(v)
+    as_text = F.when(kind == "STRING", _text(vget(v, "$", "string")))
+    if depth <= 0:
+        return as_text
+    elems = F.transform(vget(v, "$", "array<variant>"), lambda e: _nested(e, depth - 1))
+    return (F.when(kind == "OBJECT", _nested(vget(v, "$.value"), depth - 1))
+            .when(kind == "ARRAY", F.get(F.filter(elems, lambda e: e.isNotNull()), 0))
+            .otherwise(as_text))
+
+
+def json_value(v, depth: int = 3) -> Column:
+    """Polymorphic feed value as stripped text.
 
-    A string gives itself trimmed (blank -> NULL); an object gives its
-    ``value`` member, read the same way; an array gives the first element
-    that yields a value; anything else gives NULL.  Nesting is followed
-    ``depth`` levels deep: a string, a value object, a list of strings or of
-    value objects, a value object holding a list -- every shape the feeds use.
+    A string gives itself without white space at its ends (blank -> NULL); an
+    object gives its ``value`` member, read the same way; an array gives the
+    first element that yields a value; anything else gives NULL.
+
+    Plain strings and value objects holding a string are read directly; only
+    lists and ambiguous texts (numbers, literals) take the type tests.
+    Nesting is followed ``depth`` levels; deeper, a chain of lists and value
+    objects whose first leaf is a string is read at any depth, other shapes
+    give NULL (a visit that loses a mandatory member so is rejected).
 
     Pass a column that already holds the member's VARIANT (not an expression
     re-reading the document): the member is referenced several times.
     """
     v = _c(v)
-    kind = vtype(v)
-    text = F.trim(vget(v, "$", "string"))
-    as_text = F.when(text != "", text)
-    if depth <= 0:
-        return F.when(kind == "STRING", as_text)
-    inner = json_value(vget(v, "$.value"), depth - 1)
-    elems = F.transform(vget(v, "$", "array<variant>"), lambda e: json_value(e, depth - 1))
-    first = F.get(F.filter(elems, lambda e: e.isNotNull()), 0)
-    return (F.when(kind == "STRING", as_text)
-            .when(kind == "OBJECT", inner)
-            .when(kind == "ARRAY", first))
+    s, inner = vget(v, "$", "string"), vget(v, "$.value", "string")
+    opens = lambda t: t.startswith("{") | t.startswith("[")
+    chain = F.regexp_extract(s, _CHAIN, 1)
+    deep = F.when(chain != "", _text(vget(F.try_parse_json(chain), "$", "string")))
+    return (F.when(s.isNull(), F.lit(None).cast("string"))
+            .when(~opens(s) & ~s.rlike(_BARE), _text(s))
+            .when(s.startswith("{") & inner.isNotNull() & ~opens(inner) & ~inner.rlike(_BARE), _text(inner))
+            .otherwise(F.coalesce(_nested(v, depth), deep)))
 
 
 def parse_iso_ts(s) -> Column:
@@ -60,7 +87,7 @@ def parse_iso_ts(s) -> Column:
     Minute-precision times get ``:00`` seconds first (the engine's cast needs
     seconds when an offset follows); unparseable text -> NULL.
     """
-    t = F.replace(F.trim(_c(s)), F.lit("Z"), F.lit("+00:00"))
+    t = F.replace(strip(s), F.lit("Z"), F.lit("+00:00"))
     t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+-]\d{2}:?\d{2})?$", "$1:00$2")
     return F.when(t != "", t.try_cast("timestamp"))
 
@@ -72,13 +99,13 @@ def json_num(v, member: str = "v") -> Column:
 
 
 def json_loose_int(v) -> Column:
-    """Integer or integer text (``-`` sentinel and decimals give NULL)."""
+    """Integer or integer text (``-`` sentinel, decimals and values beyond 32 bits give NULL)."""
     v = _c(v)
     kind = vtype(v)
     text = vget(v, "$", "string")
     return (F.when(kind.isin(*_INT_TYPES), vget(v, "$", "bigint"))
             .when((kind == "STRING") & text.rlike(r"^-?[0-9]+$"), text.try_cast("bigint"))
-            .cast("int"))
+            .try_cast("int"))
 
 
 def safe_double(v) -> Column:
@@ -87,12 +114,12 @@ def safe_double(v) -> Column:
 
 
 def safe_int(v) -> Column:
-    """Integer; decimals truncate; integer text only; else NULL."""
+    """Integer; decimals truncate; integer text only; else NULL (also beyond 64 bits)."""
     v = _c(v)
     kind = vtype(v)
     text = vget(v, "$", "string")
     return (F.when(kind.isin(*_INT_TYPES, "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), vget(v, "$", "bigint"))
-            .when((kind == "STRING") & text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).cast("bigint")))
+            .when((kind == "STRING") & text.rlike(r"^\s*[+-]?[0-9]+\s*$"), strip(text).try_cast("bigint")))
 
 
 def safe_bool(v) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metroscope.functions.text import strip
+
 # Line codes known to be RER lines when no mode is published.
 KNOWN_RER_CODES = ("C01742", "C01743", "C01727", "C01728", "C01729")
 # Published vehicle mode (lower case) -> fact mode.
@@ -23,11 +25,11 @@ def _seconds_truncated(later: Column, earlier: Column) -> Column:
 
 def delay_seconds(aimed_arrival="aimed_arrival", expected_arrival="expected_arrival",
                   aimed_departure="aimed_departure", expected_departure="expected_departure") -> Column:
-    """Stored delay: the arrival pair if both are known, else the departure pair."""
+    """Stored delay: the arrival pair if both are known, else the departure pair (NULL beyond 32 bits)."""
     aa, ea, ad, ed = map(_c, (aimed_arrival, expected_arrival, aimed_departure, expected_departure))
     return (F.when(aa.isNotNull() & ea.isNotNull(), _seconds_truncated(ea, aa))
             .when(ad.isNotNull() & ed.isNotNull(), _seconds_truncated(ed, ad))
-            .cast("int"))
+            .try_cast("int"))
 
 
 def arrival_delay_seconds(aimed="aimed_arrival", expected="expected_arrival") -> Column:
@@ -47,7 +49,7 @@ def short_line_code(line_id) -> Column:
 
 
 def blank_to_null(x) -> Column:
-    t = F.trim(_c(x))
+    t = strip(x)
     return F.when(t != "", t)
 
 
@@ -93,7 +95,7 @@ def build_line_id(raw_id) -> Column:
 
 def normalize_color(raw) -> Column:
     """Trim, drop leading '#', upper-case; exactly 6 characters or NULL."""
-    cleaned = F.upper(F.regexp_replace(F.trim(_c(raw)), r"^#+", ""))
+    cleaned = F.upper(F.regexp_replace(strip(raw), r"^#+", ""))
     return F.when(F.length(cleaned) == 6, F.concat(F.lit("#"), cleaned))
 
 

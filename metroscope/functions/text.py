@@ -58,6 +58,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# White space of any kind (Unicode).
+WHITE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+         "\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(x) -> Column:
+    """The text without white space of any kind at its ends (a bare ``F.trim`` removes spaces only)."""
+    return F.trim(_c(x), F.lit(WHITE))
+
+
 def extract_zone(question, zones: list[str] | None = None) -> Column:
     """First zone of the ordered list contained in the lower-cased text."""
     q = F.lower(_c(question))
@@ -81,9 +91,9 @@ def extract_line(question, patterns: list[tuple[str, str]] | None = None) -> Col
 
 
 def clean_reply(reply) -> Column:
-    """Strip spaces, surrounding back-ticks and a leading ``json\\n`` tag."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(_c(reply)), r"^`+", ""), r"`+$", "")
-    return F.when(t.startswith("json\n"), F.substring(t, 6, 1 << 30)).otherwise(t)
+    """Strip white space of any kind, surrounding back-ticks and a leading ``json\\n`` tag."""
+    t = F.regexp_replace(F.regexp_replace(strip(reply), r"^`+", ""), r"`+$", "")
+    return F.when(t.startswith("json\n"), F.substring(t, F.lit(6), F.length(t))).otherwise(t)
 
 
 def normalize_intent(reply) -> tuple[Column, Column]:

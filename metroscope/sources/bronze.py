@@ -1,26 +1,37 @@
-"""Landed raw responses: one JSON document per file, read as text."""
+"""Raw responses: landed files, and the archive partitioned by source and date."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    """``(source_file, raw)`` rows, one per landed file; no schema inference."""
-    return (spark.read.option("wholetext", "true").text(path)
+    """``(source_file, raw)`` rows, one per landed file (a whole, possibly
+    indented JSON document each); no schema inference."""
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw")))
 
 
 def write_bronze(df: DataFrame, path: str, partition_cols=("source", "ingest_date")) -> None:
-    """Archive raw responses as text, partitioned by source and ingest date.
+    """Archive raw JSON responses, one document a line, partitioned by source
+    and ingest date; appends never rewrite earlier partitions.
 
-    ``df`` holds ``raw`` plus the partition columns; appends never rewrite
-    earlier partitions.
+    Line breaks between members become spaces (inside JSON strings they are
+    escaped already), so millions of small responses share few files.
     """
-    df.select("raw", *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
+    one_line = F.regexp_replace("raw", r"[\r\n]+", " ").alias("raw")
+    df.select(one_line, *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
 
 
-def archive_name(stop_id, ts):
-    """File stem of an archived stop response: ``:`` -> ``_`` in the stop id."""
-    return F.concat(F.replace(stop_id, F.lit(":"), F.lit("_")), F.lit("_"), F.date_format(ts, "yyyyMMdd_HHmmss"))
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """``(raw, source, ingest_date)``: the documents ``write_bronze`` stored."""
+    return (spark.read.option("recursiveFileLookup", "false").text(path)
+            .select(F.col("value").alias("raw"), "source", F.col("ingest_date").cast("string").alias("ingest_date")))
+
+
+def archive_name(stop_id, ts) -> Column:
+    """File name of an archived stop response: ``prim_``, the stop id with ``:``
+    as ``_`` and no ``_`` at its ends, the time, ``.json``."""
+    stop = F.trim(F.replace(stop_id, F.lit(":"), F.lit("_")), F.lit("_"))
+    return F.concat(F.lit("prim_"), stop, F.lit("_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(".json"))

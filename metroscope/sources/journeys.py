@@ -16,7 +16,7 @@ def parse_journey_specs(specs: DataFrame, spec: str = "spec"):
     failing the job.
     """
     parts = F.split(F.col(spec), ":")
-    pts = F.slice(parts, 3, 1 << 20)
+    pts = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
     parsed = specs.select(F.col(spec), F.get(parts, 0).alias("journey_id"), F.get(parts, 1).alias("journey_label"),
                           F.size(parts).alias("n_parts"), pts.alias("pts"))
     bad_point = F.exists("pts", lambda p: ~p.rlike(POINT_RE))

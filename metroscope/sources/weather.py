@@ -60,7 +60,7 @@ def scan_weather(forecast: DataFrame, air_quality: DataFrame | None = None, raw:
         safe_double(vget("fv", "$.elevation")).alias("elevation_m"),
         *[safe_double(vget(cur, f"$.{k}")).alias(c) for k, c in CURRENT_COLUMNS.items()],
         safe_bool(vget(cur, "$.is_day")).alias("is_day"),
-        safe_int(vget(cur, "$.weather_code")).cast("short").alias("weather_code"),
+        safe_int(vget(cur, "$.weather_code")).try_cast("short").alias("weather_code"),
         *[safe_double(vget(air_obj, f"$.{k}")).alias(c) for k, c in AIR_COLUMNS.items()],
         t.alias("observed_at"), F.current_timestamp().alias("recorded_at"), F.lit("open-meteo").alias("source"),
         (vtype(cur) == "OBJECT").alias("_cur"),

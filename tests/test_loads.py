@@ -23,9 +23,9 @@ def test_insert_if_absent_first_wins_and_idempotent(spark):
     path = sinks.scratch_path(spark, "t-load")
     v = _visits(spark)
     first = sinks.insert_if_absent(v, path, KEY, ["input_pos"], {"vehicle_journey_key": mb.vehicle_journey_key()})
-    assert first == {"total": 5, "inserted": 4}  # two RER B visits share the load key
-    kept = spark.read.parquet(path).filter(F.col("line_id") == "STIF:Line::C01742:").collect()
-    assert [r.delay_seconds for r in kept] == [150]  # the earlier one on the board wins
+    assert first == {"total": 5, "inserted": 4}  # the two tram visits share the load key
+    kept = spark.read.parquet(path).filter(F.col("line_id") == "STIF:Line::C02205:").collect()
+    assert [r.delay_seconds for r in kept] == [50]  # the earlier one on the board wins
     again = sinks.insert_if_absent(v, path, KEY, ["input_pos"], {"vehicle_journey_key": mb.vehicle_journey_key()},
                                    range_col="recorded_at")
     assert again == {"total": 5, "inserted": 0}

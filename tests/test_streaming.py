@@ -18,7 +18,7 @@ def _doc(minute_shift):
     for deliv in sd["StopMonitoringDelivery"]:
         for v in deliv["MonitoredStopVisit"]:
             if "RecordedAtTime" in v:
-                v["RecordedAtTime"] = f"2026-04-27T{10 + minute_shift // 60:02d}:{minute_shift % 60:02d}:00Z"
+                v["RecordedAtTime"] = f"2031-09-03T{6 + minute_shift // 60:02d}:{minute_shift % 60:02d}:00Z"
     return dumps(d)
 
 
@@ -34,11 +34,11 @@ def test_stream_dedupe_and_hourly_equal_batch(spark):
     batch = s_visits.scan_stop_visits(spark.createDataFrame([(f"f{i}", d) for i, d in enumerate(docs)],
                                                             "source_file string, raw string"))
     want = batch.select("stop_id", "line_id", F.coalesce("vehicle_journey_id", F.lit("")), "recorded_at").distinct().count()
-    # 4 keys at 10:00 (one visit falls back to the response time in every document), 3 at 10:30, 3 at 11:30
+    # 3 keys at 06:00, one visit at the response time of every document, 3 at 06:30, 3 at 07:30
     assert spark.read.parquet(p["out"]).count() == want == 10
 
     p2 = L.scratch(spark, "t-stream-h")
     stream2 = facts.stop_visit_rows(s_visits.scan_stop_visits(L.stream_scan(spark, p["landing"], max_files_per_trigger=1)))
     L.write_versions(L.hourly_counts(stream2, "recorded_at", delay="1 day"), p2["out"], p2["ckpt"])
     got = sorted((r.hour, r["count"]) for r in L.read_versions(spark, p2["out"], ["hour"]).collect())
-    assert got == [(dt.datetime(2026, 4, 27, 10, 0), 16), (dt.datetime(2026, 4, 27, 11, 0), 4)]
+    assert got == [(dt.datetime(2031, 9, 3, 6, 0), 16), (dt.datetime(2031, 9, 3, 7, 0), 4)]
