@@ -10,13 +10,15 @@ probability Jaccard similarity of the texts.
 
 1. Equal word sequences are one node.
 2. ``BANDS`` bands of ``ROWS`` components; the nodes of a band bucket are
-   linked to the bucket's smallest node (a star, never all pairs).
+   linked to the bucket's centre (a star, never all pairs), the node whose
+   buckets hold most nodes: in a family of edited copies that is the text the
+   others were made from.
 3. Candidate links whose signatures agree well enough are verified exactly on
    the shingles; links of a similarity of ``SIMILARITY`` or more stay.
 4. Connected components (large star, small star) give the classes.
 5. Buckets that still hold several classes are compared again, the members of
-   their largest class only with the others, in blocks of bounded size, and
-   new links are verified and joined until none is found: a link is not lost
+   their largest class only with the others, in blocks of bounded size and each
+   pair in the first bucket it shares, and new links are verified and joined until none is found: a link is not lost
    because its ends were compared with a third text only.
 
 Signatures miss a link of similarity 0.8 with a probability of about 3e-5 by
@@ -44,7 +46,7 @@ from metroscope.llm.words import Words, inside_text, mix, split, windows
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 20
-PARTS = ROWS * BANDS
+PARTS = 2 * ROWS * BANDS  # the bands use the first half; all serve to estimate
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / PARTS) ** 0.5  # four standard deviations below
 BLOCK = 1000  # members of a bucket compared in one task at a time
 
@@ -106,7 +108,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit bucket for each band of each signature."""
     n = len(signature)
     out = np.zeros((n, BANDS), np.uint64)
-    cut = signature.reshape(n, BANDS, ROWS).astype(np.uint64)
+    cut = signature[:, :ROWS * BANDS].reshape(n, BANDS, ROWS).astype(np.uint64)
     for r in range(ROWS):
         out = mix(out ^ cut[:, :, r], 5 + r)
     return mix(out + np.arange(BANDS, dtype=np.uint64), 9)
@@ -254,10 +256,13 @@ def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame
         root = np.unique(np.array([m[1].hex() for m in members]), return_inverse=True)[1]
         guest = np.array([m[0] for m in members])
         sig = np.frombuffer(b"".join(m[3] for m in members), np.uint32).reshape(len(members), PARTS)
+        keys = bands(sig)
+        here = int(np.flatnonzero(keys[0].view(np.int64) == key[0].as_py())[0])
         found = []
         for i in np.flatnonzero(guest).tolist():  # guests come after hosts
             others = np.flatnonzero(root[:i] != root[i])
             near = others[(sig[others] == sig[i]).mean(1) >= AGREE]
+            near = near[(keys[near] == keys[i]).argmax(1) == here]
             found += [(max(node[i], node[j]), min(node[i], node[j])) for j in near.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -271,9 +276,12 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stored(worded.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"),
                                               F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), "node")
-    least = buckets.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    shared = stored(buckets.join(least, "band"), "shared-buckets")
-    stars = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(buckets.join(sizes, "band"), "shared-buckets")
+    fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
+    centre = shared.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
+    stars = (shared.join(centre, "band").filter("node <> c")
+             .select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct())
     tried = stored(agreeing(stars, nodes), "candidates")
     links = verified(tried, docs, nodes)
     roots = components(links)
