@@ -27,6 +27,14 @@ AIR_NONE_ZONE = "[NO_DATA] Aucune mesure récente pour la zone '{}'."
 WX_HEADER = "[DATA] Météo actuelle :"
 WX_NONE = "[NO_DATA] Aucune observation météo disponible (< 3h)."
 WX_NONE_POINT = "[NO_DATA] Aucune observation pour '{}'."
+TRAFFIC_UNKNOWN = ("[NO_DATA] Aucune ligne nommée '{}' trouvée dans le référentiel IDFM. Essayez avec le nom court exact "
+                   "(ex: 'T2', 'RER A', '258').")
+TRAFFIC_NONE_LINE = "[NO_DATA] Aucune mesure récente pour la ligne {} sur les 2 dernières heures."
+TRAFFIC_LINE = ("[DATA] Ligne {} ({}, {}) : {} passages observés sur les 2 dernières heures, retard moyen {} min "
+                "(source: PRIM IDFM, dernier {}).")
+TRAFFIC_NONE = "[NO_DATA] Aucun passage capté sur les 2 dernières heures."
+TRAFFIC_ALL = ("[DATA] Vue d'ensemble du trafic IDF (2 dernières heures) : {} passages observés sur {} lignes distinctes, "
+               "retard moyen {} secondes (source: PRIM IDFM, dernier {}).")
 JOURNEY_HEADER = "[DATA] Score santé du trajet '{}' :"
 COMPARE_HEADER = "[DATA] Comparaison de trajets :"
 COMPARE_TOO_FEW = "[NO_DATA] Il faut au moins 2 trajets à comparer."
@@ -140,6 +148,29 @@ def fact_block_weather(snapshot: DataFrame, points: DataFrame, as_of=None) -> Da
     return misses.unionByName(heads).unionByName(body)
 
 
+def fact_block_traffic(line_facts: DataFrame, overview: DataFrame, as_of=None) -> DataFrame:
+    """Traffic fact text per requested line name, and for the whole network
+    (``name`` NULL): ``(name, text)``.
+
+    ``line_facts`` are ``delays.line_stats`` rows, ``overview`` the one row of
+    ``delays.traffic_overview``.
+    """
+    now = as_of_value(as_of)
+    text = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    per_line = line_facts.select("name", F.when(~F.col("matched"), _fmt(TRAFFIC_UNKNOWN, F.col("name")))
+                                 .when(F.col("samples") == 0, _fmt(TRAFFIC_NONE_LINE, F.col("short_name")))
+                                 .otherwise(_fmt(TRAFFIC_LINE, F.col("short_name"), text("transport_mode", "?"),
+                                                 text("network_name", "?"), F.col("samples").cast("string"),
+                                                 fm.fmt_fixed(F.col("avg_delay") / F.lit(60.0), 1),
+                                                 fm.format_age_short("latest", now))).alias("text"))
+    whole = overview.select(F.lit(None).cast("string").alias("name"),
+                            F.when(F.col("total_samples") == 0, F.lit(TRAFFIC_NONE))
+                            .otherwise(_fmt(TRAFFIC_ALL, F.col("total_samples").cast("string"),
+                                            F.col("distinct_lines").cast("string"), fm.fmt_fixed("overall_avg_delay", 0),
+                                            fm.format_age_short("latest", now))).alias("text"))
+    return per_line.unionByName(whole)
+
+
 def route_tools(intents: DataFrame, intent_col: str = "intent") -> DataFrame:
     """One row per (question, tool) the intent calls; intents calling no tool
     keep one row with a NULL tool."""

@@ -181,15 +181,21 @@ def air_kpis(snapshot: DataFrame) -> DataFrame:
                         F.avg("pm25").alias("mean_pm25"), F.max("measured_at").alias("latest"))
 
 
-def enrich_visits(visits: DataFrame, lines: DataFrame) -> DataFrame:
-    """Facts LEFT JOIN the line dimension: display name and mode fall back to
-    the fact's own values; newest first."""
-    dim = broadcast_if_small(lines.select("line_id", F.col("short_name").alias("dim_short_name"),
-                                          F.col("transport_mode").alias("dim_mode"), "network_name", "color_web_hex"))
-    j = visits.join(dim, "line_id", "left")
-    return (j.withColumn("display_line_name", F.coalesce("dim_short_name", "line_name", "line_id"))
-             .withColumn("display_mode", F.coalesce("dim_mode", "transport_mode"))
-             .orderBy(F.col("recorded_at").desc(), "stop_id", "line_id"))
+def enrich_visits(visits: DataFrame, lines: DataFrame, as_of=None, hours: float | None = 24) -> DataFrame:
+    """Recent facts LEFT JOIN the line dimension: display name and mode fall
+    back to the fact's own values; newest first.
+
+    Only the trailing window is joined and ordered; ``hours=None`` enriches
+    every row and leaves them unordered (ordering a whole fact table is no
+    report).
+    """
+    dim = lines.select("line_id", F.col("short_name").alias("dim_short_name"), F.col("transport_mode").alias("dim_mode"),
+                       "network_name", "color_web_hex")
+    recent = visits if hours is None else trailing(visits, "recorded_at", as_of, hours=hours)
+    j = (recent.join(dim, "line_id", "left")
+         .withColumn("display_line_name", F.coalesce("dim_short_name", "line_name", "line_id"))
+         .withColumn("display_mode", F.coalesce("dim_mode", "transport_mode")))
+    return j if hours is None else j.orderBy(F.col("recorded_at").desc(), "stop_id", "line_id")
 
 
 def known_lines(visits: DataFrame, lines: DataFrame) -> DataFrame:

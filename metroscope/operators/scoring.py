@@ -103,17 +103,35 @@ def score_journeys(journeys: DataFrame, waypoints: DataFrame, air: DataFrame, we
                .withColumn("weights", F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])))
 
 
+REJECT_EMPTY = "Le trajet doit avoir au moins un waypoint"
+REJECT_SAME = "Le départ et l'arrivée sont identiques — choisis 2 zones différentes."
+REJECT_ALONE = "[NO_DATA] Il faut au moins 2 trajets à comparer."
+
+
 def invalid_journeys(journeys: DataFrame, waypoints: DataFrame) -> DataFrame:
-    """Journeys that cannot be scored (no waypoint), with the reason."""
-    return (journeys.join(waypoints.select("journey_id").distinct(), "journey_id", "left_anti")
-            .withColumn("reason", F.lit("Le trajet doit avoir au moins un waypoint")))
+    """Journeys that cannot be scored, with the reason: no waypoint, or a
+    start equal to the end (first and last of several waypoints)."""
+    at = lambda p: F.struct(F.col(p + ".latitude"), F.col(p + ".longitude"))
+    row = F.struct("pos", "latitude", "longitude")
+    ends = (waypoints.groupBy("journey_id").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("a"), F.max(row).alias("b"))
+            .select("journey_id", ((F.col("n") > 1) & (at("a") == at("b"))).alias("same")))
+    return (journeys.join(ends, "journey_id", "left")
+            .withColumn("reason", F.when(F.col("same").isNull(), F.lit(REJECT_EMPTY)).when(F.col("same"), F.lit(REJECT_SAME)))
+            .filter(F.col("reason").isNotNull()).drop("same"))
+
+
+def invalid_comparisons(journeys: DataFrame, group_col: str = "comparison_id") -> DataFrame:
+    """Comparisons of fewer than two journeys, with the reason."""
+    return (journeys.groupBy(group_col).agg(F.count(F.lit(1)).alias("n_journeys")).filter("n_journeys < 2")
+            .withColumn("reason", F.lit(REJECT_ALONE)))
 
 
 def nest_journeys(scored: DataFrame, exposures: DataFrame) -> DataFrame:
     """Nested result: each journey with its ordered list of waypoint exposures.
 
-    The list holds one struct per waypoint of that journey, so its size is the
-    journey's length (bounded by the request, not by the data volume).
+    The list holds one struct per waypoint of that journey: it is meant for
+    journeys a person requests.  For journeys of unbounded length read the
+    exposures themselves, one row per waypoint.
     """
     cols = ["latitude", "longitude", "pollution_score", "weather_score", "traffic_score", "overall_score",
             "air_id", "air_distance_km", "air_pm25", "air_no2", "air_aqi", "wx_id", "wx_distance_km",

@@ -50,48 +50,50 @@ def insert_if_absent(new: DataFrame, target_path: str, key_cols: Sequence[str],
     """
     spark = new.sparkSession
     key_exprs = key_exprs or {}
-    stored = [c for c in new.columns if c not in order_cols]
-    n_in = Observation("batch")
-    batch = new.observe(n_in, F.count(F.lit(1)).alias("n"))
+    kept = [c for c in new.columns if c not in order_cols]
+    # parsed once: counts, bounds, dedupe and write all read the stored batch
+    path = scratch_path(spark, "batch")
+    new.write.parquet(path)
+    batch = spark.read.schema(new.schema).parquet(path)
+    bounds = [F.min(range_col), F.max(range_col)] if range_col is not None else []
+    total, *span = batch.agg(F.count(F.lit(1)), *bounds).first()
+    if not total:
+        return {"total": 0, "inserted": 0}
     for k, e in key_exprs.items():
         batch = batch.withColumn(k, e)
     firsts = first_per_key(batch, list(key_cols), list(order_cols))
     if _exists(spark, target_path):
         existing = spark.read.parquet(target_path)
-        if range_col is not None:
-            lo, hi = new.agg(F.min(range_col), F.max(range_col)).first()
-            existing = existing.filter(F.col(range_col).between(F.lit(lo), F.lit(hi)))
+        if span:
+            existing = existing.filter(F.col(range_col).between(F.lit(span[0]), F.lit(span[1])))
         for k, e in key_exprs.items():
             existing = existing.withColumn(k, e)
-        firsts = firsts.join(existing.select(*key_cols).distinct(), list(key_cols), "left_anti")
+        firsts = firsts.join(existing.select(*key_cols), list(key_cols), "left_anti")
     n_out = Observation("inserted")
-    out = firsts.select(*[c for c in stored]).observe(n_out, F.count(F.lit(1)).alias("n"))
-    if new.isEmpty():
-        return {"total": 0, "inserted": 0}
-    w = out.write.mode("append")
+    w = firsts.select(*kept).observe(n_out, F.count(F.lit(1)).alias("n")).write.mode("append")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     w.parquet(target_path)
-    return {"total": int(n_in.get["n"]), "inserted": int(n_out.get["n"])}
+    return {"total": int(total), "inserted": int(n_out.get["n"])}
 
 
-def upsert_dimension(new: DataFrame, current: DataFrame | None, out_path: str, key: str = "line_id",
-                     order_cols: Sequence[str] = (), as_of=None, stamp_col: str = "last_refreshed_at") -> DataFrame:
+def upsert_dimension(new: DataFrame, current: DataFrame | None, out_path: str, key: str, order_cols: Sequence[str],
+                     as_of=None, stamp_col: str = "last_refreshed_at") -> DataFrame:
     """Insert-or-update by key: every attribute of an incoming row replaces the
     stored one (NULL too), the stamp is set to ``as_of``; rows absent from the
-    batch are kept; nothing is deleted.  Within the batch the LAST row per key
-    wins (rows are applied in order).  Written to ``out_path`` (a new
-    version); returns it read back."""
+    batch are kept; nothing is deleted.
+
+    Within the batch the LAST row per key by ``order_cols`` (arrival order,
+    not stored) wins, as if rows were applied one by one; without an order a
+    repeated key would have no defined winner, so it must be given.  Written
+    to ``out_path`` (a new version); returns it read back."""
+    if not order_cols:
+        raise ValueError("order_cols must give the arrival order of the rows")
     spark = new.sparkSession
-    incoming = new
-    if order_cols:
-        neg = {c: F.col(c) for c in order_cols}
-        ranked = incoming
-        for c in order_cols:
-            ranked = ranked.withColumn(f"__neg_{c}", -neg[c])
-        incoming = first_per_key(ranked, [key], [f"__neg_{c}" for c in order_cols]).drop(
-            *[f"__neg_{c}" for c in order_cols], *order_cols)
-    incoming = incoming.withColumn(stamp_col, as_of_value(as_of))
+    payload = [c for c in new.columns if c != key and c not in order_cols]
+    last = F.max(F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)], F.struct(*payload).alias("row")))
+    incoming = (new.groupBy(key).agg(last.alias("__l")).select(key, "__l.row.*")
+                .withColumn(stamp_col, as_of_value(as_of)))
     merged = incoming
     if current is not None:
         kept = current.join(incoming.select(key), key, "left_anti")
@@ -118,12 +120,26 @@ def retention_split(df: DataFrame, ts: str, as_of=None, days: int = 90) -> tuple
     return df.filter(F.col(ts) >= bound), df.filter(F.col(ts) < bound)
 
 
+def retention_union(df: DataFrame, ts: str, keys: Sequence[str], measures: Sequence[str], as_of=None,
+                    days: int = 90) -> DataFrame:
+    """One hourly table over hot and cold data: rolled-up rows for everything
+    older than the retention window, and the same aggregates computed from the
+    raw rows inside it (``tier`` tells which)."""
+    hot, cold = retention_split(df, ts, as_of, days)
+    return (_hourly(cold, ts, keys, measures).withColumn("tier", F.lit("cold"))
+            .unionByName(_hourly(hot, ts, keys, measures).withColumn("tier", F.lit("hot"))))
+
+
+def _hourly(df: DataFrame, ts: str, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for m in measures:
+        aggs += [F.avg(m).alias(f"avg_{m}"), F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}")]
+    return df.groupBy(*keys, F.date_trunc("hour", ts).alias("hour")).agg(*aggs)
+
+
 def retention_rollup(df: DataFrame, ts: str, keys: Sequence[str], measures: Sequence[str], as_of=None,
                      days: int = 90) -> DataFrame:
     """Cold rows (older than the retention window) rolled up per key and hour:
     row count, and mean / min / max of every measure."""
     _, cold = retention_split(df, ts, as_of, days)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for m in measures:
-        aggs += [F.avg(m).alias(f"avg_{m}"), F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}")]
-    return cold.groupBy(*keys, F.date_trunc("hour", ts).alias("hour")).agg(*aggs)
+    return _hourly(cold, ts, keys, measures)

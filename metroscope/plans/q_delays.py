@@ -214,10 +214,21 @@ SELECT v.stop_id, v.line_id, v.recorded_at, coalesce(l.short_name, v.line_name,
        coalesce(l.transport_mode, v.transport_mode) AS display_mode, l.network_name
 FROM stop_visits v LEFT JOIN lines l ON l.line_id = v.line_id"""))
 def q_enrich_visits(spark, d):
-    e = delays.enrich_visits(visits(spark, d), A.lines(spark, d))
+    """Every visit with its line's name and mode."""
+    e = delays.enrich_visits(visits(spark, d), A.lines(spark, d), hours=None)
     return e.select("stop_id", "line_id", "recorded_at", "display_line_name", "display_mode", "network_name")
 
 
+@register("recent_visits", q(f"""
+SELECT v.recorded_at, v.stop_id, v.line_id, v.delay_seconds, coalesce(l.short_name, v.line_name, v.line_id) AS display_line_name,
+       coalesce(l.transport_mode, v.transport_mode) AS display_mode, l.color_web_hex
+FROM stop_visits v LEFT JOIN lines l ON l.line_id = v.line_id WHERE v.recorded_at >= {AS_OF_SQL} - INTERVAL 24 HOUR"""))
+def q_recent_visits(spark, d):
+    """Enriched visits of the last 24 hours, newest first."""
+    e = delays.enrich_visits(visits(spark, d), A.lines(spark, d), AS_OF)
+    return e.select("recorded_at", "stop_id", "line_id", "delay_seconds", "display_line_name", "display_mode", "color_web_hex")
+
+
 @register("known_lines", q("SELECT stop_id, line_id, recorded_at FROM stop_visits v "
                            "WHERE EXISTS (SELECT 1 FROM lines l WHERE l.line_id = v.line_id)"))
 def q_known_lines(spark, d):

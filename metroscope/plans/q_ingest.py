@@ -10,6 +10,7 @@ from metroscope.plans import adapters as A
 from metroscope.plans import adapters_bronze as B
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
 from metroscope.sources import air as s_air
+from metroscope.sources import bronze as s_bronze
 from metroscope.sources import journeys as s_journeys
 from metroscope.sources import lines as s_lines
 from metroscope.sources import stations as s_stations
@@ -100,24 +101,32 @@ def q_project_sink(spark, d):
     return facts.stop_visit_rows(A.stop_visits_raw(spark, d)).select(*VISIT_COLS)
 
 
+ARRIVAL = ["event_id", "delivery_pos", "visit_pos"]  # fetch, delivery and visit position
+
+
 def _load_twice(spark, rows, keys, order, key_exprs=None, range_col=None):
+    """The stored table after loading the same batch twice (the second load must add nothing)."""
     path = sinks.scratch_path(spark, "load")
-    first = sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
-    second = sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
-    stored = spark.read.parquet(path).count()
-    return spark.createDataFrame([(first["total"], first["inserted"], second["inserted"], stored)],
-                                 "total long, inserted long, inserted_again long, stored long")
+    for _ in range(2):
+        sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
+    return spark.read.parquet(path)
 
 
-@register("load_visits", A.with_views(f"""
-SELECT count(*) AS total, count(DISTINCT (stop_id, line_id, '', recorded_at)) AS inserted, 0 AS inserted_again,
-       count(DISTINCT (stop_id, line_id, '', recorded_at)) AS stored
-FROM raw WHERE event_id % 89 <> 0""", raw=RAW_E))
+def _first_rows(cols: str, table: str, keys: str, where: str = "true") -> str:
+    return (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY event_id) AS rn "
+            f"FROM {table} WHERE {where}) WHERE rn = 1")
+
+
+@register("load_visits", A.with_views(_first_rows(
+    f"stop_id, line_id, recorded_at, direction, operator, aimed_arrival, expected_departure, {DELAY_SQL} AS delay_seconds",
+    "raw", "stop_id, line_id, recorded_at", "event_id % 89 <> 0"), raw=RAW_E))
 def q_load_visits(spark, d):
-    """Insert-if-absent twice: the second load inserts nothing."""
-    rows = _silver(spark, d).withColumn("input_pos", F.col("recorded_at"))
-    return _load_twice(spark, rows, ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"], ["input_pos"],
-                       {"vehicle_journey_key": mb.vehicle_journey_key()}, range_col="recorded_at")
+    """Insert-if-absent, twice: the stored rows are the first arrivals of every load key."""
+    rows = facts.stop_visit_rows(_scanned(spark, d), keep=ARRIVAL)
+    out = _load_twice(spark, rows, ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"], ARRIVAL,
+                      {"vehicle_journey_key": mb.vehicle_journey_key()}, range_col="recorded_at")
+    return out.select("stop_id", "line_id", "recorded_at", "direction", "operator", "aimed_arrival", "expected_departure",
+                      "delay_seconds")
 
 
 SQL_AIR_E = A.with_event_id(A.SQL_AIR)
@@ -135,14 +144,14 @@ def q_scan_air(spark, d):
                     "attribution", "source")
 
 
-@register("load_air", A.with_views("""
-SELECT count(*) AS total, count(DISTINCT (station_id, measured_at)) AS inserted, 0 AS inserted_again,
-       count(DISTINCT (station_id, measured_at)) AS stored
-FROM air WHERE event_id % 50 <> 0 AND event_id % 41 <> 0""", air=SQL_AIR_E))
+@register("load_air", A.with_views(_first_rows(
+    "station_id, measured_at, station_name, aqi, pm25, no2, humidity_pct", "air", "station_id, measured_at",
+    "event_id % 50 <> 0 AND event_id % 41 <> 0"), air=SQL_AIR_E))
 def q_load_air(spark, d):
-    a = s_air.scan_air(B.air_feed(spark, d), keep=("event_id",))
-    rows = facts.air_rows(a).withColumn("input_pos", F.col("measured_at"))
-    return _load_twice(spark, rows, ["station_id", "measured_at"], ["input_pos"], range_col="measured_at")
+    """Insert-if-absent, twice: the first measurement that arrived for every station and time."""
+    rows = facts.air_rows(s_air.scan_air(B.air_feed(spark, d), keep=("event_id",)), keep=("event_id",))
+    out = _load_twice(spark, rows, ["station_id", "measured_at"], ["event_id"], range_col="measured_at")
+    return out.select("station_id", "measured_at", "station_name", "aqi", "pm25", "no2", "humidity_pct")
 
 
 SQL_WX_E = A.with_event_id(A.SQL_WEATHER)
@@ -162,14 +171,15 @@ def q_scan_weather(spark, d):
     return w.select("fetch_id", *WX_COLS, "pm25", "cloud_cover_pct")
 
 
-@register("load_weather", A.with_views("""
-SELECT count(*) AS total, count(DISTINCT (point_id, observed_at)) AS inserted, 0 AS inserted_again,
-       count(DISTINCT (point_id, observed_at)) AS stored FROM weather""", weather=SQL_WX_E))
+@register("load_weather", A.with_views(_first_rows(
+    "point_id, observed_at, point_name, temperature_c, precipitation_mm, weather_code", "weather", "point_id, observed_at"),
+    weather=SQL_WX_E))
 def q_load_weather(spark, d):
+    """Insert-if-absent, twice: the first observation that arrived for every point and time."""
     fc, aq = B.weather_feeds(spark, d)
-    w = s_weather.scan_weather(fc, aq)
-    rows = facts.weather_rows(w, keep=("fetch_id",)).withColumnRenamed("fetch_id", "input_pos")
-    return _load_twice(spark, rows, ["point_id", "observed_at"], ["input_pos"], range_col="observed_at")
+    rows = facts.weather_rows(s_weather.scan_weather(fc, aq), keep=("fetch_id",))
+    out = _load_twice(spark, rows, ["point_id", "observed_at"], ["fetch_id"], range_col="observed_at")
+    return out.select("point_id", "observed_at", "point_name", "temperature_c", "precipitation_mm", "weather_code")
 
 
 LINE_COLS = ["line_id", "short_name", "long_name", "transport_mode", "transport_submode", "network_name",
@@ -192,16 +202,24 @@ def q_scan_lines(spark, d):
     return s_lines.scan_lines(B.line_pages(spark, d)).select(*LINE_COLS)
 
 
-@register("upsert_lines", A.with_views(f"SELECT *, {AS_OF_SQL} AS last_refreshed_at FROM line_rows",
-                                       line_rows=SQL_LINE_ROWS))
+@register("upsert_lines", A.with_views(f"""
+SELECT 'STIF:Line::C' || CAST(k AS VARCHAR) || ':' AS line_id,
+       CASE WHEN dup THEN 'DUP' ELSE p_brand END AS short_name, CASE WHEN dup THEN NULL ELSE p_name END AS long_name,
+       CASE WHEN dup THEN NULL ELSE lower(p_type) END AS transport_mode, CASE WHEN dup THEN NULL ELSE 'active' END AS status,
+       CASE WHEN again THEN {AS_OF_SQL} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS last_refreshed_at
+FROM (
+  SELECT *, k % 50 = 0 AND (page % 2 = 1 OR k % 97 = 0) AS dup,
+         (page % 2 = 0 AND k % 97 <> 0) OR (page % 2 = 1 AND k % 50 = 0) AS again
+  FROM (SELECT *, p_partkey AS k, p_partkey // 100 AS page FROM part) WHERE k % 97 <> 0 OR k % 50 = 0)"""))
 def q_upsert_lines(spark, d):
-    """Upsert twice (a first partial load, then everything): every row refreshed."""
-    pages = B.line_pages(spark, d)
-    first = s_lines.scan_lines(pages.filter(F.col("page_offset") % 200 == 0)).select(*LINE_COLS)
-    v1 = sinks.upsert_dimension(first, None, sinks.scratch_path(spark, "lines"), as_of="2024-01-01 00:00:00")
-    allrows = s_lines.scan_lines(pages).select(*LINE_COLS)
-    v2 = sinks.upsert_dimension(allrows, v1, sinks.scratch_path(spark, "lines"), as_of=AS_OF)
-    return v2.select(*LINE_COLS, "last_refreshed_at")
+    """Upsert every page, then the even pages again: rows of odd pages keep their
+    first stamp, repeated line ids take their last record of each batch."""
+    records = s_lines.scan_lines(B.line_pages(spark, d), dedupe=False).select("page_offset", "rec_pos", *LINE_COLS)
+    order = ["page_offset", "rec_pos"]
+    v1 = sinks.upsert_dimension(records, None, sinks.scratch_path(spark, "lines"), "line_id", order, as_of="2024-01-01 00:00:00")
+    again = records.filter(F.col("page_offset") % 200 == 0)
+    v2 = sinks.upsert_dimension(again, v1, sinks.scratch_path(spark, "lines"), "line_id", order, as_of=AS_OF)
+    return v2.select("line_id", "short_name", "long_name", "transport_mode", "status", "last_refreshed_at")
 
 
 @register("discover_stations", A.with_views("""
@@ -259,20 +277,29 @@ def q_bronze_write(spark, d):
     bronze = bronze.select("raw", F.lit("prim").alias("source"),
                            F.date_format("recorded_at", "yyyy-MM-dd").alias("ingest_date"))
     path = sinks.scratch_path(spark, "bronze")
-    from metroscope.sources.bronze import write_bronze
-    write_bronze(bronze, path)
-    back = spark.read.text(path)
-    return back.groupBy("source", F.col("ingest_date").cast("string").alias("ingest_date")).agg(
-        F.count(F.lit(1)).alias("n_files"))
+    s_bronze.write_bronze(bronze, path)
+    return s_bronze.read_archive(spark, path).groupBy("source", "ingest_date").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("bronze_roundtrip", _scan_sql("CAST(NULL AS VARCHAR)"))
+def q_bronze_roundtrip(spark, d):
+    """Archive the responses, read the archive back and scan it: the rows of the direct scan."""
+    bronze = B.stop_monitoring(spark, d).select("event_id", "raw", F.lit("prim").alias("source"),
+                                                F.lit(str(AS_OF)[:10]).alias("ingest_date"))
+    path = sinks.scratch_path(spark, "archive")
+    # documents carry line breaks, as indented responses do
+    indented = bronze.withColumn("raw", F.regexp_replace("raw", "^\\{", "{\n  "))
+    s_bronze.write_bronze(indented, path)
+    back = s_bronze.read_archive(spark, path)
+    return facts.stop_visit_rows(s_visits.scan_stop_visits(back, keep=("ingest_date",))).select(*VISIT_COLS)
 
 
 @register("archive_names", A.with_views("""
-SELECT stop_id, recorded_at, replace(stop_id, ':', '_') || '_' || strftime(recorded_at, '%Y%m%d_%H%M%S') AS file_stem
+SELECT stop_id, recorded_at, 'prim_' || trim(replace(stop_id, ':', '_'), '_') || '_' || strftime(recorded_at, '%Y%m%d_%H%M%S') || '.json' AS file_name
 FROM stop_visits""", **views("stop_visits")))
 def q_archive_names(spark, d):
-    from metroscope.sources.bronze import archive_name
     v = A.stop_visits_raw(spark, d)
-    return v.select("stop_id", "recorded_at", archive_name(F.col("stop_id"), F.col("recorded_at")).alias("file_stem"))
+    return v.select("stop_id", "recorded_at", s_bronze.archive_name(F.col("stop_id"), F.col("recorded_at")).alias("file_name"))
 
 
 @register("cleanup_bbox", A.with_views("""
@@ -291,17 +318,29 @@ def q_cleanup_bbox(spark, d):
                                  "before long, removed long, after long, stored long")
 
 
-@register("retention_rollup", A.with_views(f"""
+def _retention_sql(days, where):
+    return f"""
 SELECT line_id, date_trunc('hour', recorded_at) AS hour, count(*) AS n_rows,
        {sql_r6('avg(delay_seconds)')} AS avg_delay_seconds, min(delay_seconds) AS min_delay_seconds,
-       max(delay_seconds) AS max_delay_seconds
-FROM stop_visits WHERE recorded_at < {AS_OF_SQL} - INTERVAL 7 DAY GROUP BY 1, 2""", **views("stop_visits")))
+       max(delay_seconds) AS max_delay_seconds, CASE WHEN recorded_at < {AS_OF_SQL} - INTERVAL {days} DAY THEN 'cold' ELSE 'hot' END AS tier
+FROM stop_visits WHERE {where} GROUP BY line_id, hour, tier"""
+
+
+@register("retention_rollup", A.with_views(_retention_sql(7, f"recorded_at < {AS_OF_SQL} - INTERVAL 7 DAY"), **views("stop_visits")))
 def q_retention_rollup(spark, d):
-    """Rows older than the retention window rolled up per line and hour."""
+    """Rows older than a week rolled up per line and hour."""
     from metroscope.plans.queries import visits
     r = sinks.retention_rollup(visits(spark, d), "recorded_at", ["line_id"], ["delay_seconds"], AS_OF, days=7)
     return r.select("line_id", "hour", "n_rows", r6("avg_delay_seconds").alias("avg_delay_seconds"),
-                    "min_delay_seconds", "max_delay_seconds")
+                    "min_delay_seconds", "max_delay_seconds", F.lit("cold").alias("tier"))
+
+
+@register("retention_union", A.with_views(_retention_sql(90, "true"), **views("stop_visits")))
+def q_retention_union(spark, d):
+    """Hourly rows over everything: 90 days from raw rows, older ones rolled up."""
+    from metroscope.plans.queries import visits
+    r = sinks.retention_union(visits(spark, d), "recorded_at", ["line_id"], ["delay_seconds"], AS_OF)
+    return r.withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
 
 
 @register("unknown_line_report", A.with_views("""

@@ -212,27 +212,77 @@ def q_journey_midpoint(spark, d):
                                        r6(F.avg("longitude")).alias("mid_longitude"))
 
 
+SQL_SHORT_TRIPS = """
+SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS journey_id, i AS pos,
+       48.0 + CAST((o_orderkey * (CASE i WHEN 0 THEN 7 ELSE 5 END)) % 6 AS DOUBLE) AS latitude,
+       2.0 + CAST(o_orderkey % 2 AS DOUBLE) AS longitude
+FROM orders, (VALUES (0), (1)) t(i) WHERE o_orderkey % 53 <> 0 AND (i = 0 OR o_orderkey % 7 <> 0)"""
+
+
+def _short_trips(spark, d):
+    """Journeys of up to two grid points, some without a point (stand-in input)."""
+    k = F.col("o_orderkey")
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    journeys = o.select(F.concat(F.lit("O"), k.cast("string")).alias("journey_id"), F.concat(F.lit("T"), k.cast("string")).alias("journey_label"),
+                        F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")).alias("comparison_id"))
+    point = lambda i, m: F.struct(F.lit(i).alias("pos"), (F.lit(48.0) + (k * m % 6).cast("double")).alias("latitude"),
+                                  (F.lit(2.0) + (k % 2).cast("double")).alias("longitude"))
+    points = F.when(k % 7 != 0, F.array(point(0, 7), point(1, 5))).otherwise(F.array(point(0, 7)))
+    wps = (o.filter(k % 53 != 0).select(F.concat(F.lit("O"), k.cast("string")).alias("journey_id"), F.explode(points).alias("p"))
+           .select("journey_id", "p.*"))
+    return journeys, wps
+
+
 @register("journey_valid", A.with_views("""
-SELECT journey_id, journey_label, 'Le trajet doit avoir au moins un waypoint' AS reason
-FROM journeys j WHERE NOT EXISTS (SELECT 1 FROM waypoints w WHERE w.journey_id = j.journey_id)""",
-                                        **views("journeys", "waypoints")))
+SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS journey_id, 'T' || CAST(o_orderkey AS VARCHAR) AS journey_label,
+       CASE WHEN n IS NULL THEN 'Le trajet doit avoir au moins un waypoint'
+            ELSE 'Le départ et l''arrivée sont identiques — choisis 2 zones différentes.' END AS reason
+FROM orders LEFT JOIN (
+  SELECT journey_id, count(*) AS n, arg_min(latitude, pos) = arg_max(latitude, pos) AND arg_min(longitude, pos) = arg_max(longitude, pos) AS same
+  FROM trips GROUP BY journey_id) e ON e.journey_id = 'O' || CAST(o_orderkey AS VARCHAR)
+WHERE n IS NULL OR (n > 1 AND same)""", trips=SQL_SHORT_TRIPS))
 def q_journey_valid(spark, d):
-    """Journeys rejected by the guard (no waypoint)."""
-    return scoring.invalid_journeys(A.journeys(spark, d), A.waypoints(spark, d)).select(
-        "journey_id", "journey_label", "reason")
+    """Journeys rejected by the guards: no waypoint, or start equal to end."""
+    return scoring.invalid_journeys(*_short_trips(spark, d)).select("journey_id", "journey_label", "reason")
 
 
-@register("journey_nested", None)
-def q_journey_nested(spark, d):
-    """Nested journey result (ordered exposures, weights map, evaluation time)."""
+@register("comparison_valid", """
+SELECT 'C' || CAST(o_custkey AS VARCHAR) || o_orderpriority AS comparison_id, count(*) AS n_journeys,
+       '[NO_DATA] Il faut au moins 2 trajets à comparer.' AS reason FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) < 2""")
+def q_comparison_valid(spark, d):
+    """Comparisons rejected for having fewer than two journeys."""
+    return scoring.invalid_comparisons(_short_trips(spark, d)[0])
+
+
+def _nested(spark, d):
     air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF))
     wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF))
-    ex = scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF))
+    # scored once, read for the totals and for the nested lists
+    ex = scoring.materialize(scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF)))
     scored = scoring.score_journeys(A.journeys(spark, d), None, A.air_raw(spark, d), A.weather_raw(spark, d),
                                     visits(spark, d), AS_OF, exposures=ex)
     return scoring.nest_journeys(scored, ex)
 
 
+@register("journey_nested", None)
+def q_journey_nested(spark, d):
+    """Nested journey result (ordered exposures, weights map, evaluation time)."""
+    return _nested(spark, d)
+
+
+@register("journey_nested_rows", A.with_views("""
+SELECT j.journey_id, j.comparison_id, CAST(row_number() OVER (PARTITION BY w.journey_id ORDER BY w.pos) - 1 AS INTEGER) AS idx,
+       w.air_id, w.wx_id, round(1e-9 + w.pollution_score, 6) AS pollution_score, round(1e-9 + w.weather_score, 6) AS weather_score,
+       CAST(0.6 AS DOUBLE) AS w_pollution, CAST(0.3 AS DOUBLE) AS w_weather, CAST(0.1 AS DOUBLE) AS w_traffic
+FROM journeys j JOIN scored_wp w USING (journey_id)""", **SCORING_VIEWS))
+def q_journey_nested_rows(spark, d):
+    """The nested journey result flattened again: list order, scores and weights."""
+    n = _nested(spark, d).select("journey_id", "comparison_id", "weights", F.posexplode("waypoints").alias("idx", "e"))
+    return n.select("journey_id", "comparison_id", "idx", F.col("e.air_id").alias("air_id"), F.col("e.wx_id").alias("wx_id"),
+                    r6("e.pollution_score").alias("pollution_score"), r6("e.weather_score").alias("weather_score"),
+                    *[F.col("weights")[k].alias(f"w_{k}") for k in ("pollution", "weather", "traffic")])
+
+
 @register("score_grid", A.with_views(f"""
 SELECT station_id, measured_at, round(1e-9 + {X.pollution('pm25', 'no2', 'aqi')}, 6) AS pollution_score,
        {X.grade(X.pollution('pm25', 'no2', 'aqi'))} AS grade

@@ -17,60 +17,62 @@ from metroscope.sources import stop_visits as s_visits
 from metroscope.streaming import landing as L
 
 AS_OF = A.AS_OF
+LOAD_KEY = ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"]
+ARRIVAL = ["source_file", "delivery_pos", "visit_pos"]  # landed file, delivery and visit position
+# Documents land in files of mixed event times; a micro-batch takes some of them.
+LANDED_FILES, FILES_PER_TRIGGER = 6, 2
 
 
-def _visit_stream(spark, d, name):
+def _journey_key():
+    return {"vehicle_journey_key": mb.vehicle_journey_key()}
+
+
+def _landed(spark, name, docs):
     p = L.scratch(spark, name)
-    L.land(B.stop_monitoring(spark, d), p["landing"])
-    stream = L.stream_scan(spark, p["landing"])
-    return p, facts.stop_visit_rows(s_visits.scan_stop_visits(stream))
+    L.land(docs.repartition(LANDED_FILES, F.xxhash64("event_id")), p["landing"])
+    return p, L.stream_scan(spark, p["landing"], FILES_PER_TRIGGER)
+
+
+def _visit_stream(spark, d, name, keep=()):
+    p, stream = _landed(spark, name, B.stop_monitoring(spark, d))
+    return p, facts.stop_visit_rows(s_visits.scan_stop_visits(stream), keep=keep)
 
 
 @register("stream_scan", _scan_sql("CAST(NULL AS VARCHAR)"))
 def q_stream_scan(spark, d):
-    """R1: landing-folder stream -> parsed silver visits (appended)."""
+    """R1: landing-folder stream -> parsed silver visits, one folder per micro-batch."""
     p, visits = _visit_stream(spark, d, "stream-scan")
-
-    def fn(batch, _bid):
-        batch.select(*VISIT_COLS).write.mode("append").parquet(p["out"])
-    L.run_available(visits, fn, p["ckpt"])
-    return spark.read.parquet(p["out"])
+    L.append_batches(visits.select(*VISIT_COLS), p["out"], p["ckpt"])
+    return spark.read.parquet(p["out"]).drop("batch_id")
 
 
 @register("stream_dedupe", A.with_views("SELECT DISTINCT stop_id, line_id, recorded_at FROM raw WHERE event_id % 89 <> 0",
                                         raw=RAW_E))
 def q_stream_dedupe(spark, d):
     """R2: exact streaming insert-if-absent (each batch through the batch sink)."""
-    p, visits = _visit_stream(spark, d, "stream-dedupe")
-    rows = visits.withColumn("input_pos", F.col("recorded_at"))
-    L.stream_insert_if_absent(rows, p["out"], ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"],
-                              ["input_pos"], p["ckpt"], {"vehicle_journey_key": mb.vehicle_journey_key()},
-                              range_col="recorded_at")
+    p, rows = _visit_stream(spark, d, "stream-dedupe", ARRIVAL)
+    L.stream_insert_if_absent(rows, p["out"], LOAD_KEY, ARRIVAL, p["ckpt"], _journey_key(), range_col="recorded_at")
     return spark.read.parquet(p["out"]).select("stop_id", "line_id", "recorded_at")
 
 
 @register("stream_dedupe_watermark", A.with_views(
     "SELECT DISTINCT stop_id, line_id, recorded_at FROM raw WHERE event_id % 89 <> 0", raw=RAW_E))
 def q_stream_dedupe_watermark(spark, d):
-    """R2 (bounded state): dropDuplicatesWithinWatermark on the load key."""
-    p, visits = _visit_stream(spark, d, "stream-dedupe-wm")
-    v = visits.withColumn("vehicle_journey_key", mb.vehicle_journey_key())
-    dd = L.dedupe_within_watermark(v, "recorded_at", ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"])
-
-    def fn(batch, _bid):
-        batch.select("stop_id", "line_id", "recorded_at").write.mode("append").parquet(p["out"])
-    L.run_available(dd, fn, p["ckpt"])
-    return spark.read.parquet(p["out"])
+    """R2 (bounded look-back): on-time rows deduped as they come, late rows set aside and merged."""
+    p, rows = _visit_stream(spark, d, "stream-dedupe-wm", ARRIVAL)
+    L.stream_insert_bounded(rows, p["out"], p["late"], "recorded_at", "1 DAY", LOAD_KEY, ARRIVAL, p["ckpt"], _journey_key())
+    L.merge_late(spark, p["late"], p["out"], LOAD_KEY, ARRIVAL, _journey_key(), range_col="recorded_at")
+    return spark.read.parquet(p["out"]).select("stop_id", "line_id", "recorded_at")
 
 
 @register("stream_hourly", A.with_views("""
 SELECT date_trunc('hour', recorded_at) AS hour, count(*) AS count FROM raw WHERE event_id % 89 <> 0 GROUP BY 1""",
                                         raw=RAW_E))
 def q_stream_hourly(spark, d):
-    """R3: hourly visit counts, watermarked tumbling windows, versioned sink."""
+    """R3: hourly visit counts, partial counts per micro-batch merged on reading."""
     p, visits = _visit_stream(spark, d, "stream-hourly")
-    L.write_versions(L.hourly_counts(visits, "recorded_at"), p["out"], p["ckpt"])
-    return L.read_versions(spark, p["out"], ["hour"])
+    L.write_partials(visits, lambda b: L.hourly_partials(b, "recorded_at"), p["out"], p["ckpt"])
+    return L.merge_hourly(spark.read.parquet(p["out"]))
 
 
 @register("stream_rolling", A.with_views(f"""
@@ -82,8 +84,8 @@ FROM (SELECT s.*, time_bucket(INTERVAL 30 MINUTE, recorded_at) - k * INTERVAL 30
 def q_stream_rolling(spark, d):
     """R4: 2 h windows sliding by 30 min: mean stored delay and samples."""
     p, visits = _visit_stream(spark, d, "stream-rolling")
-    L.write_versions(L.rolling_delay(visits), p["out"], p["ckpt"])
-    out = L.read_versions(spark, p["out"], ["window_start"])
+    L.write_partials(visits, L.rolling_partials, p["out"], p["ckpt"])
+    out = L.merge_rolling(spark.read.parquet(p["out"]))
     return out.withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
 
 
@@ -94,12 +96,11 @@ SELECT station_id, station_name, latitude, longitude, aqi, pm25, no2, measured_a
     air=SQL_AIR_E))
 def q_stream_latest(spark, d):
     """R5: live latest row per station; the reader applies the 6 h expiry."""
-    p = L.scratch(spark, "stream-latest")
-    L.land(B.air_feed(spark, d), p["landing"])
-    air = s_air.scan_air(L.stream_scan(spark, p["landing"]))
+    p, stream = _landed(spark, "stream-latest", B.air_feed(spark, d))
+    air = s_air.scan_air(stream)
     cols = ["station_id", "station_name", "latitude", "longitude", "aqi", "pm25", "no2", "measured_at"]
-    L.write_versions(L.live_latest(air, ["station_id"], "measured_at", cols), p["out"], p["ckpt"])
-    latest = L.read_versions(spark, p["out"], ["station_id"])
+    L.write_partials(air, lambda b: L.live_latest(b, ["station_id"], "measured_at", cols), p["out"], p["ckpt"])
+    latest = L.live_latest(spark.read.parquet(p["out"]).drop("batch_id"), ["station_id"], "measured_at", cols)
     return latest.filter(F.col("measured_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 6 HOURS"))
 
 

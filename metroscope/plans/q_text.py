@@ -82,7 +82,7 @@ def _replies(spark, d):
     reply = (F.when(t == 0, F.concat(F.lit("```json\n"), body, F.lit("```")))
              .when(t == 1, body)
              .when(t == 2, F.concat(F.lit('  {"intent": "unknown_'), ik, F.lit('", "language": "en"}  ')))
-             .when(t == 3, F.substring("text", 1, 30))
+             .when(t == 3, F.col("text"))
              .when(t == 4, F.concat(F.lit('{"intent": "'), ik, F.lit('"}')))
              .otherwise(F.lit('["weather"]')))
     return c.select("conv_id", "turn", reply.alias("reply"))
@@ -302,38 +302,96 @@ def q_comparison_summary(spark, d):
     return assistant.comparison_summary_lines(s, cmp_, ranked)
 
 
+# ---------------------------------------------------------------- traffic facts
+SQL_TRAFFIC_NAMES = (f"SELECT upper(p_brand) AS name FROM part UNION SELECT line FROM (SELECT "
+                     f"{_sql_line('question', QUERY_LINE_PATTERNS)} AS line FROM ({SQL_QUESTIONS})) WHERE line IS NOT NULL")
+SQL_RECENT = f"SELECT * FROM stop_visits WHERE recorded_at >= {AS_OF_SQL} - INTERVAL 2 HOUR AND delay_seconds IS NOT NULL"
+TRAFFIC_VIEWS = {
+    **views("stop_visits", "lines"), "names": SQL_TRAFFIC_NAMES, "recent": SQL_RECENT,
+    "pairs": """SELECT n.name, l.line_id, l.short_name, l.transport_mode, l.network_name
+                FROM names n LEFT JOIN lines l ON lower(n.name) = lower(l.short_name)""",
+    "facts": f"""
+SELECT i.name, CASE
+  WHEN i.line_id IS NULL THEN '[NO_DATA] Aucune ligne nommée ''' || i.name || ''' trouvée dans le référentiel IDFM. Essayez avec le nom court exact (ex: ''T2'', ''RER A'', ''258'').'
+  WHEN st.n IS NULL THEN '[NO_DATA] Aucune mesure récente pour la ligne ' || i.short_name || ' sur les 2 dernières heures.'
+  ELSE '[DATA] Ligne ' || i.short_name || ' (' || coalesce(nullif(i.transport_mode, ''), '?') || ', ' || coalesce(nullif(i.network_name, ''), '?') || ') : ' ||
+       CAST(st.n AS VARCHAR) || ' passages observés sur les 2 dernières heures, retard moyen ' || printf('%.1f', st.a / 60.0) ||
+       ' min (source: PRIM IDFM, dernier ' || {_age_short_sql('st.latest')} || ').' END AS text
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY line_id) AS rn FROM pairs) WHERE rn = 1) i
+LEFT JOIN (SELECT p.name, count(*) AS n, avg(CAST(v.delay_seconds AS DOUBLE)) AS a, max(v.recorded_at) AS latest
+           FROM recent v JOIN pairs p ON p.line_id = v.line_id GROUP BY p.name) st ON st.name = i.name
+UNION ALL
+SELECT NULL, CASE WHEN count(*) = 0 THEN '[NO_DATA] Aucun passage capté sur les 2 dernières heures.'
+  ELSE '[DATA] Vue d''ensemble du trafic IDF (2 dernières heures) : ' || CAST(count(*) AS VARCHAR) || ' passages observés sur ' ||
+       CAST(count(DISTINCT line_id) AS VARCHAR) || ' lignes distinctes, retard moyen ' || printf('%.0f', avg(CAST(delay_seconds AS DOUBLE))) ||
+       ' secondes (source: PRIM IDFM, dernier ' || {_age_short_sql('max(recorded_at)')} || ').' END FROM recent""",
+}
+
+
+def _traffic_facts(spark, d):
+    asked = _questions(spark, d).select(tx.extract_line("question", QUERY_LINE_PATTERNS).alias("name")).filter("name IS NOT NULL")
+    names = asked.unionByName(A.table(spark, d, "part").select(F.upper("p_brand").alias("name")))
+    v = visits(spark, d)
+    return assistant.fact_block_traffic(delays.line_stats(v, A.lines(spark, d), names, AS_OF), delays.traffic_overview(v, AS_OF), AS_OF)
+
+
+@register("fact_block_traffic", A.with_views("SELECT name, text FROM facts", **TRAFFIC_VIEWS))
+def q_fact_block_traffic(spark, d):
+    """Traffic fact text for every line the questions mention or the reference lists, and for the network."""
+    return _traffic_facts(spark, d)
+
+
+_SQL_ASKED_ZONE = _sql_zone("q.question", QUERY_ZONES)
+
+
 @register("has_real_data", A.with_views(f"""
 SELECT i.conv_id, i.turn, i.intent,
-       coalesce(bool_or(CASE WHEN r.tool = 'list_capabilities' THEN true
-                             WHEN r.tool = 'get_current_air_quality' THEN az.has_data
-                             ELSE false END), false) AS has_real_data
+       coalesce(bool_or(CASE r.tool WHEN 'list_capabilities' THEN true WHEN 'get_current_air_quality' THEN az.has_data
+                        WHEN 'get_current_weather' THEN wz.has_data WHEN 'get_current_traffic' THEN starts_with(f.text, '[DATA]')
+                        ELSE false END), false) AS has_real_data
 FROM i LEFT JOIN r USING (intent)
 LEFT JOIN q ON q.conv_id = i.conv_id AND q.turn = i.turn
-LEFT JOIN az ON az.zone IS NOT DISTINCT FROM (CASE WHEN i.intent = 'air_quality' THEN {_sql_zone('q.question', QUERY_ZONES)} END)
+LEFT JOIN az ON az.zone IS NOT DISTINCT FROM (CASE WHEN i.intent = 'air_quality' THEN {_SQL_ASKED_ZONE} END)
+LEFT JOIN wz ON wz.zone IS NOT DISTINCT FROM {_SQL_ASKED_ZONE}
+LEFT JOIN facts f ON f.name IS NOT DISTINCT FROM {_sql_line('q.question', QUERY_LINE_PATTERNS)}
 GROUP BY i.conv_id, i.turn, i.intent""",
-    i=SQL_INTENTS + " WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user') AND role = 'user'",
-    r=SQL_ROUTES, q=SQL_QUESTIONS, air=A.SQL_AIR, s=SQL_AIR6_FULL,
+    i=SQL_INTENTS + " WHERE role = 'user'", r=SQL_ROUTES, q=SQL_QUESTIONS, air=A.SQL_AIR, s=SQL_AIR6_FULL,
     az=f"""SELECT z.zone, count(s.station_id) > 0 AS has_data FROM ({SQL_ZONES}) z
-           LEFT JOIN s ON z.zone IS NULL OR contains(lower(coalesce(s.station_name, '')), lower(z.zone)) GROUP BY z.zone"""))
+           LEFT JOIN s ON z.zone IS NULL OR contains(lower(coalesce(s.station_name, '')), lower(z.zone)) GROUP BY z.zone""",
+    weather=A.SQL_WEATHER,
+    ws=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY observed_at DESC) AS rn
+           FROM weather WHERE observed_at >= {AS_OF_SQL} - INTERVAL 3 HOUR) WHERE rn = 1""",
+    wz=f"""SELECT z.zone, count(ws.point_id) > 0 AS has_data FROM ({SQL_ZONES}) z
+           LEFT JOIN ws ON z.zone IS NULL OR contains(lower(coalesce(ws.point_name, '')), lower(z.zone))
+             OR contains(lower(coalesce(ws.point_id, '')), lower(z.zone)) GROUP BY z.zone""",
+    **TRAFFIC_VIEWS))
 def q_has_real_data(spark, d):
     """Per user question: does any gathered context carry real data?
 
-    Contexts come from the routed tools: the capabilities text is data; the
-    air tool answers with the zone's fact block (data when stations match);
-    other tools are counted as no data here."""
-    from metroscope.operators.snapshots import latest_air
-    q = _questions(spark, d)
-    it = _intents(spark, d).join(q.select("conv_id", "turn"), ["conv_id", "turn"])
-    routed = assistant.route_tools(it)
-    zq = q.select("conv_id", "turn", tx.extract_zone("question", QUERY_ZONES).alias("q_zone"))
-    routed = routed.join(zq, ["conv_id", "turn"], "left").withColumn(
-        "zone", F.when(F.col("intent") == "air_quality", F.col("q_zone")))
-    s = latest_air(A.air_raw(spark, d), AS_OF, cols=["station_id", "station_name", "latitude", "longitude", "aqi",
-                                                     "pm25", "pm10", "no2", "measured_at", "attribution"])
-    blocks = assistant.fact_block_air(s, _zones(spark, d), AS_OF).filter(F.col("line_no") == 0)
-    heads = blocks.select(F.col("zone").alias("__bz"), F.col("text").alias("air_head"))
-    routed = routed.join(heads, F.col("zone").eqNullSafe(F.col("__bz")), "left").drop("__bz")
+    Contexts come from all routed tools: the capabilities text; the air and
+    weather blocks of the zone asked for (journey questions ask for all
+    stations); the traffic text of the line asked for, or of the network; the
+    guide text, which is no data."""
+    questions = _questions(spark, d)
+    it = _intents(spark, d).join(questions.select("conv_id", "turn"), ["conv_id", "turn"])
+    asked = questions.select("conv_id", "turn", tx.extract_zone("question", QUERY_ZONES).alias("asked_zone"),
+                             tx.extract_line("question", QUERY_LINE_PATTERNS).alias("asked_line"))
+    routed = assistant.route_tools(it).join(asked, ["conv_id", "turn"], "left")
+    routed = routed.withColumn("air_zone", F.when(F.col("intent") == "air_quality", F.col("asked_zone")))
+    air = snapshots.latest_air(A.air_raw(spark, d), AS_OF, cols=["station_id", "station_name", "latitude", "longitude", "aqi",
+                                                                 "pm25", "pm10", "no2", "measured_at", "attribution"])
+    wx = snapshots.latest_weather(A.weather_raw(spark, d), AS_OF, cols=[
+        "point_id", "point_name", "latitude", "longitude", "temperature_c", "humidity_pct", "precipitation_mm",
+        "wind_speed_ms", "uv_index", "observed_at"])
+    first = lambda block, key, out: block.filter("line_no = 0").select(F.col(key).alias(f"{out}_key"), F.col("text").alias(out))
+    heads = [(first(assistant.fact_block_air(air, _zones(spark, d), AS_OF), "zone", "air_text"), "air_zone"),
+             (first(assistant.fact_block_weather(wx, _points(spark, d), AS_OF), "point", "wx_text"), "asked_zone"),
+             (_traffic_facts(spark, d).select(F.col("name").alias("traffic_text_key"), F.col("text").alias("traffic_text")), "asked_line")]
+    for facts, key in heads:
+        routed = routed.join(facts, F.col(key).eqNullSafe(F.col(facts.columns[0])), "left")
     ctx = (F.when(F.col("tool") == "list_capabilities", F.lit("[DATA] Capacités"))
-           .when(F.col("tool") == "get_current_air_quality", F.col("air_head")))
+           .when(F.col("tool") == "get_current_air_quality", F.col("air_text"))
+           .when(F.col("tool") == "get_current_weather", F.col("wx_text"))
+           .when(F.col("tool") == "get_current_traffic", F.col("traffic_text")))
     g = routed.groupBy("conv_id", "turn", "intent").agg(F.collect_list(ctx).alias("contexts"))
     return g.select("conv_id", "turn", "intent", tx.has_real_data("contexts").alias("has_real_data"))

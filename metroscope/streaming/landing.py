@@ -2,11 +2,13 @@
 
 Responses land as JSON lines (one document per line) in a folder; a stream
 reads new files with a fixed text schema (no inference), runs the same scan
-functions as the batch path, and writes through ``foreachBatch`` so every
-sink is the batch sink (idempotent insert, versioned appends).  Windowed
-aggregates use update mode with a watermark (bounded state); each
-micro-batch appends its updated rows with the batch id, and readers take
-the latest version per key, which equals the batch aggregate.
+functions as the batch path, and writes through ``foreachBatch``.
+
+Every sink is safe against replay: a micro-batch writes its own
+``batch_id=N`` folder and overwrites it when it runs again, or goes through
+the idempotent batch insert.  Aggregates keep no state and no watermark: each
+micro-batch stores partial sums that readers merge, so a row counts however
+late it comes; ``compact`` folds many batches into one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metroscope.operators import sinks
-from metroscope.operators.common import broadcast_if_small
 from metroscope.operators.snapshots import latest_per_key
 
 
@@ -54,45 +55,86 @@ def stream_insert_if_absent(df: DataFrame, target: str, key_cols: Sequence[str],
     run_available(df, fn, checkpoint)
 
 
-def dedupe_within_watermark(df: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """Bounded-state dedupe: keys seen within the watermark delay are dropped."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-
+def stream_insert_bounded(df: DataFrame, target: str, late: str, ts: str, delay: str, key_cols: Sequence[str],
+                          order_cols: Sequence[str], checkpoint: str, key_exprs: dict | None = None) -> None:
+    """Dedupe that looks back a bounded time only.
 
-# ------------------------------------------------------------------ versioned update sinks
-def write_versions(df: DataFrame, out: str, checkpoint: str) -> None:
-    """Update-mode aggregate -> appended versions ``(..., batch_id)``."""
+    Rows within ``delay`` of the latest event time seen so far are inserted if
+    absent, comparing with target rows of the batch's own time range.  Older
+    rows are set aside in ``late`` (one folder per micro-batch, so they can be
+    counted) and join the target with ``merge_late``.
+    """
     def fn(batch: DataFrame, bid: int) -> None:
-        batch.withColumn("batch_id", F.lit(bid)).write.mode("append").parquet(out)
-    run_available(df, fn, checkpoint, output_mode="update")
+        spark = batch.sparkSession
+        batch = batch.persist()  # one parse for both outputs
+        seen = [batch.agg(F.max(ts).alias("t"))]
+        if sinks._exists(spark, target):
+            seen.append(spark.read.parquet(target).agg(F.max(ts).alias("t")))
+        newest = max((r.t for s in seen for r in s.collect() if r.t is not None), default=None)
+        if newest is not None:
+            on_time = F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {delay}")
+            write_batch(batch.filter(~on_time | F.col(ts).isNull()), late, bid)
+            sinks.insert_if_absent(batch.filter(on_time), target, key_cols, order_cols, key_exprs, range_col=ts)
+        batch.unpersist()
+    run_available(df, fn, checkpoint)
+
+
+def merge_late(spark: SparkSession, late: str, target: str, key_cols: Sequence[str], order_cols: Sequence[str],
+               key_exprs: dict | None = None, range_col: str | None = None) -> dict:
+    """Insert the rows set aside that are still absent; returns the sink's counts."""
+    if not sinks._exists(spark, late):
+        return {"total": 0, "inserted": 0}
+    rows = spark.read.parquet(late).drop("batch_id")
+    return sinks.insert_if_absent(rows, target, key_cols, order_cols, key_exprs, range_col=range_col)
+
+
+# ------------------------------------------------------------------ replay-safe sinks
+def write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
+    """Store a micro-batch under its id; running it again replaces it."""
+    batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
 
+def append_batches(df: DataFrame, out: str, checkpoint: str) -> None:
+    """R1: every micro-batch under its id."""
+    run_available(df, lambda batch, bid: write_batch(batch, out, bid), checkpoint)
 
-def read_versions(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Latest version of every key."""
-    v = spark.read.parquet(out)
-    return latest_per_key(v, list(keys), "batch_id").drop("batch_id")
 
+def write_partials(df: DataFrame, aggregate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Store ``aggregate(micro-batch)`` under the batch's id."""
+    run_available(df, lambda batch, bid: write_batch(aggregate(batch), out, bid), checkpoint)
 
-def hourly_counts(df: DataFrame, ts: str, delay: str = "2 hours", label: str | None = None) -> DataFrame:
-    """R3: rows per hour (tumbling event-time window)."""
-    g = df.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("count"))
-    g = g.select(F.col("w.start").alias("hour"), "count")
-    return g.withColumn("source", F.lit(label)) if label else g
 
+def compact(spark: SparkSession, out: str, new_out: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold all partials of ``out`` into one batch of ``new_out`` (``merge`` must return the partials' columns)."""
+    write_batch(merge(spark.read.parquet(out).drop("batch_id")), new_out, 0)
 
-def rolling_delay(df: DataFrame, ts: str = "recorded_at", length: str = "2 hours", slide: str = "30 minutes",
-                  delay: str = "2 hours") -> DataFrame:
-    """R4: sliding-window mean stored delay and sample count."""
-    v = df.filter(F.col("delay_seconds").isNotNull()).withWatermark(ts, delay)
-    g = v.groupBy(F.window(ts, length, slide).alias("w")).agg(
-        F.avg(F.col("delay_seconds").cast("double")).alias("avg_delay_seconds"), F.count(F.lit(1)).alias("samples"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "avg_delay_seconds",
-                    "samples")
+
+def hourly_partials(df: DataFrame, ts: str) -> DataFrame:
+    """R3: rows per hour, as sums that can be merged."""
+    return df.groupBy(F.date_trunc("hour", ts).alias("hour")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def merge_hourly(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("hour").agg(F.sum("count").alias("count"))
+
+
+def rolling_partials(df: DataFrame, ts: str = "recorded_at", length: str = "2 hours", slide: str = "30 minutes") -> DataFrame:
+    """R4: per sliding window the sum and number of stored delays."""
+    v = df.filter(F.col("delay_seconds").isNotNull())
+    g = v.groupBy(F.window(ts, length, slide).alias("w")).agg(F.sum(F.col("delay_seconds").cast("long")).alias("delay_sum"),
+                                                               F.count(F.lit(1)).alias("samples"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "delay_sum", "samples")
+
+
+def merge_rolling(partials: DataFrame) -> DataFrame:
+    """Mean stored delay and sample count of every window."""
+    g = partials.groupBy("window_start", "window_end").agg(F.sum("delay_sum").alias("s"), F.sum("samples").alias("samples"))
+    return g.select("window_start", "window_end", (F.col("s") / F.col("samples")).alias("avg_delay_seconds"), "samples")
 
 
 def live_latest(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
-    """R5: latest row per key, one state row per key (update mode); expiry
-    (6 h / 3 h) is applied by the reader with a trailing filter."""
+    """R5: latest row per key of a micro-batch, or of all stored partials (the
+    same expression merges them); expiry (6 h / 3 h) is the reader's trailing filter."""
     return latest_per_key(df, list(keys), ts, list(cols))
 
 
@@ -100,18 +142,17 @@ def live_latest(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
 def stream_enrich(df: DataFrame, lines_path: str, out: str, checkpoint: str) -> None:
     """Stream-static join with the line dimension, re-read every micro-batch
     so a refreshed dimension is picked up without restarting."""
-    def fn(batch: DataFrame, _bid: int) -> None:
+    def fn(batch: DataFrame, bid: int) -> None:
         spark = batch.sparkSession
         dim = spark.read.parquet(lines_path).select("line_id", F.col("short_name").alias("dim_short_name"),
                                                     F.col("transport_mode").alias("dim_mode"))
-        j = batch.join(broadcast_if_small(dim), "line_id", "left")
-        (j.withColumn("display_line_name", F.coalesce("dim_short_name", "line_name", "line_id"))
-          .withColumn("display_mode", F.coalesce("dim_mode", "transport_mode"))
-          .write.mode("append").parquet(out))
+        j = batch.join(dim, "line_id", "left")  # broadcast where the planner measures the dimension small
+        write_batch(j.withColumn("display_line_name", F.coalesce("dim_short_name", "line_name", "line_id"))
+                     .withColumn("display_mode", F.coalesce("dim_mode", "transport_mode")), out, bid)
     run_available(df, fn, checkpoint)
 
 
 def scratch(spark: SparkSession, name: str) -> dict[str, str]:
     """Fresh landing / output / checkpoint folders under the shared checkpoint folder."""
     base = sinks.scratch_path(spark, name)
-    return {k: os.path.join(base, k) for k in ("landing", "out", "ckpt", "dim")}
+    return {k: os.path.join(base, k) for k in ("landing", "out", "ckpt", "dim", "late")}

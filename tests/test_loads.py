@@ -44,10 +44,11 @@ def test_insert_dated_keeps_all_and_empty_batch(spark):
 
 def test_upsert_dimension(spark):
     cur = spark.createDataFrame([("L1", "a", "x"), ("L2", "b", "y")], "line_id string, short_name string, color string")
-    v1 = sinks.upsert_dimension(cur, None, sinks.scratch_path(spark, "t-dim"), as_of="2024-01-01 00:00:00")
+    v1 = sinks.upsert_dimension(cur.selectExpr("*", "1 AS pos"), None, sinks.scratch_path(spark, "t-dim"), "line_id", ["pos"],
+                                as_of="2024-01-01 00:00:00")
     new = spark.createDataFrame([("L2", None, "z", 1), ("L3", "c", "w", 2), ("L3", "c2", "w2", 3)],
                                 "line_id string, short_name string, color string, pos int")
-    v2 = sinks.upsert_dimension(new, v1, sinks.scratch_path(spark, "t-dim"), order_cols=["pos"], as_of="2024-02-01 00:00:00")
+    v2 = sinks.upsert_dimension(new, v1, sinks.scratch_path(spark, "t-dim"), "line_id", ["pos"], as_of="2024-02-01 00:00:00")
     r = {x.line_id: x for x in v2.collect()}
     assert (r["L1"].short_name, r["L1"].last_refreshed_at) == ("a", dt.datetime(2024, 1, 1))
     assert (r["L2"].short_name, r["L2"].color) == (None, "z")  # NULL overwrites too

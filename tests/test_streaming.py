@@ -39,6 +39,44 @@ def test_stream_dedupe_and_hourly_equal_batch(spark):
 
     p2 = L.scratch(spark, "t-stream-h")
     stream2 = facts.stop_visit_rows(s_visits.scan_stop_visits(L.stream_scan(spark, p["landing"], max_files_per_trigger=1)))
-    L.write_versions(L.hourly_counts(stream2, "recorded_at", delay="1 day"), p2["out"], p2["ckpt"])
-    got = sorted((r.hour, r["count"]) for r in L.read_versions(spark, p2["out"], ["hour"]).collect())
+    L.write_partials(stream2, lambda b: L.hourly_partials(b, "recorded_at"), p2["out"], p2["ckpt"])
+    got = sorted((r.hour, r["count"]) for r in L.merge_hourly(spark.read.parquet(p2["out"])).collect())
     assert got == [(dt.datetime(2031, 9, 3, 6, 0), 16), (dt.datetime(2031, 9, 3, 7, 0), 4)]
+    L.compact(spark, p2["out"], p2["dim"], L.merge_hourly)
+    assert sorted((r.hour, r["count"]) for r in spark.read.parquet(p2["dim"]).drop("batch_id").collect()) == got
+
+
+HOURS = [[9, 10], [10, 11, 12], [13], [1, 2, 9], [14, 3]]  # late rows in the last two files
+
+
+def _events(spark, name):
+    p = L.scratch(spark, name)
+    for i, hours in enumerate(HOURS):
+        rows = [(f"k{h}", dt.datetime(2031, 9, 3, h), h * 10, f"f{i}", j) for j, h in enumerate(hours)]
+        (spark.createDataFrame(rows, "k string, recorded_at timestamp, delay_seconds int, source_file string, pos int")
+         .coalesce(1).write.mode("append").parquet(p["landing"]))
+    schema = spark.read.parquet(p["landing"]).schema
+    return p, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(p["landing"])
+
+
+def test_late_rows_are_set_aside_and_counted_once_merged(spark):
+    p, stream = _events(spark, "t-late")
+    L.stream_insert_bounded(stream, p["out"], p["late"], "recorded_at", "2 HOURS", ["k", "recorded_at"],
+                            ["source_file", "pos"], p["ckpt"])
+    late = spark.read.parquet(p["late"])
+    assert sorted(r.k for r in late.collect()) == ["k1", "k2", "k3", "k9"]
+    L.merge_late(spark, p["late"], p["out"], ["k", "recorded_at"], ["source_file", "pos"], range_col="recorded_at")
+    assert sorted(r.k for r in spark.read.parquet(p["out"]).collect()) == sorted({f"k{h}" for hs in HOURS for h in hs})
+
+
+def test_windows_count_late_rows_and_a_replayed_batch_changes_nothing(spark):
+    p, stream = _events(spark, "t-roll")
+    L.write_partials(stream, L.rolling_partials, p["out"], p["ckpt"])
+    key = lambda df: sorted((r.window_start, r.window_end, r.avg_delay_seconds, r.samples) for r in df.collect())
+    want = key(L.merge_rolling(L.rolling_partials(spark.read.parquet(p["landing"]))))
+    assert key(L.merge_rolling(spark.read.parquet(p["out"]))) == want
+    assert len(spark.read.parquet(p["out"]).select("batch_id").distinct().collect()) == len(HOURS)
+    first = spark.read.parquet(p["out"]).filter("batch_id = 0").drop("batch_id").collect()
+    again = spark.createDataFrame(first, spark.read.parquet(p["out"]).drop("batch_id").schema)
+    L.write_batch(again, p["out"], 0)  # the batch runs again after a failure
+    assert key(L.merge_rolling(spark.read.parquet(p["out"]))) == want
