@@ -91,6 +91,8 @@ def weighted_shingles(t, k=5):
 
 
 def probability_jaccard(a, b):
+    if {*a.values(), *b.values()} == {1.0}:  # equal weights: the plain Jaccard similarity
+        return len(a.keys() & b.keys()) / len(a.keys() | b.keys())
     return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
 
 
