@@ -18,8 +18,10 @@ probability Jaccard similarity of the texts.
 4. Connected components (large star, small star) give the classes.
 5. Buckets that still hold several classes are compared again, the members of
    their largest class only with the others, in blocks of bounded size and each
-   pair in the first bucket it shares, and new links are verified and joined until none is found: a link is not lost
-   because its ends were compared with a third text only.
+   pair in the first bucket it shares: first each text's best pairs, then all
+   that still lie between classes.  New links are verified and joined until
+   none is found: a link is not lost because its ends were compared with a
+   third text only.
 
 Signatures miss a link of similarity 0.8 with a probability of about 3e-5 by
 banding and 3e-5 by the agreement bound.
@@ -48,6 +50,7 @@ SIMILARITY = 0.8
 ROWS, BANDS = 4, 20
 PARTS = 2 * ROWS * BANDS  # the bands use the first half; all serve to estimate
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / PARTS) ** 0.5  # four standard deviations below
+FIRST = 8     # pairs of a bucket's text that are tried before all others
 BLOCK = 1000  # members of a bucket compared in one task at a time
 
 
@@ -178,8 +181,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                  *(pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary()) for x in (shingle, weight.astype(np.float32)))],
                 ["node", "shingle", "weight"])
 
-    # texts are fetched by doc_id; a row may repeat an id, so nodes are computed again and matched
-    texts = doc_text(docs).join(wanted.select("first_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    # texts are fetched by doc_id; a row may repeat an id, so nodes are computed again and matched.  The ids are
+    # stored first: their file size tells the planner whether a broadcast spares the shuffle of all texts.
+    ids = stored(wanted.select("first_id").distinct(), "wanted-ids")
+    texts = doc_text(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     bags = stored(texts.mapInArrow(run, "node binary, shingle binary, weight binary").dropDuplicates(["node"]), "shingles")
     left = bags.select(F.col("node").alias("a"), F.col("shingle").alias("xa"), F.col("weight").alias("wa"))
     right = bags.select(F.col("node").alias("b"), F.col("shingle").alias("xb"), F.col("weight").alias("wb"))
@@ -225,8 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Agreeing pairs (a, b) of different classes that meet in a bucket.
+def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, best: int | None = None) -> DataFrame:
+    """Agreeing pairs (a, b) of different classes that meet in a bucket; with
+    ``best`` only each guest's so many most agreeing ones (of a block).
 
     The members of a bucket's largest class are compared with the other
     members, and those among themselves; blocks of BLOCK members meet in one task.
@@ -261,8 +267,9 @@ def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame
         found = []
         for i in np.flatnonzero(guest).tolist():  # guests come after hosts
             others = np.flatnonzero(root[:i] != root[i])
-            near = others[(sig[others] == sig[i]).mean(1) >= AGREE]
-            near = near[(keys[near] == keys[i]).argmax(1) == here]
+            agree = (sig[others] == sig[i]).mean(1)
+            near = others[np.argsort(-agree, kind="stable")][:int((agree >= AGREE).sum())]
+            near = near[(keys[near] == keys[i]).argmax(1) == here][:best]
             found += [(max(node[i], node[j]), min(node[i], node[j])) for j in near.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -285,15 +292,17 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = stored(agreeing(stars, nodes), "candidates")
     links = verified(tried, docs, nodes)
     roots = components(links)
+    best = FIRST  # most links are found among the best pairs; then every remaining pair is tried
     while True:
-        more = stored(crossing(shared, roots, nodes).join(tried, ["a", "b"], "left_anti"), "crossing")
-        if not more.limit(1).count():
+        more = stored(crossing(shared, roots, nodes, best).join(tried, ["a", "b"], "left_anti"), "crossing")
+        new = verified(more, docs, nodes) if more.limit(1).count() else more
+        found, last, best = new.limit(1).count(), best is None, None
+        tried = tried.unionByName(more)
+        if found:
+            links = links.unionByName(new)
+            roots = components(links)
+        elif last:
             break
-        new = verified(more, docs, nodes)
-        if not new.limit(1).count():
-            break
-        tried, links = tried.unionByName(more), links.unionByName(new)
-        roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     counts = worded.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     whole = (named.join(counts, "node").groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")))
