@@ -16,12 +16,12 @@ probability Jaccard similarity of the texts.
 3. Candidate links whose signatures agree well enough are verified exactly on
    the shingles; links of a similarity of ``SIMILARITY`` or more stay.
 4. Connected components (large star, small star) give the classes.
-5. Buckets that still hold several classes are compared again, the members of
-   their largest class only with the others, in blocks of bounded size and each
-   pair in the first bucket it shares: first each text's best pairs, then all
-   that still lie between classes.  New links are verified and joined until
-   none is found: a link is not lost because its ends were compared with a
-   third text only.
+5. Buckets that still hold several classes are compared inside tasks, the
+   members of their largest class only with the others, in blocks of bounded
+   size, each pair in the first bucket it shares.  The tasks report one link
+   for each pair of classes, which is verified and joined like the others: a
+   link is not lost because its ends were compared with a third text only, and
+   the many pairs that fall short leave no rows.
 
 Signatures miss a link of similarity 0.8 with a probability of about 3e-5 by
 banding and 3e-5 by the agreement bound.
@@ -50,7 +50,6 @@ SIMILARITY = 0.8
 ROWS, BANDS = 4, 20
 PARTS = 2 * ROWS * BANDS  # the bands use the first half; all serve to estimate
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / PARTS) ** 0.5  # four standard deviations below
-FIRST = 8     # pairs of a bucket's text that are tried before all others
 BLOCK = 1000  # members of a bucket compared in one task at a time
 
 
@@ -165,37 +164,40 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of at least SIMILARITY, computed on the shingles of the whole texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes, "node").select("node", "first_id")
-
+def bags(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingle, weight) of the wanted nodes, from their whole texts; stored once.  ``weight`` is null where all are 1."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in blocks(batches):
             w = split(string_column(b, "text"), "alnum")
             h = w.hashes()
             text, shingle, weight = shingles(w, h)
             at = np.searchsorted(text, np.arange(b.num_rows + 1))
+            parts = [(shingle[at[i]:at[i + 1]].tobytes(), weight[at[i]:at[i + 1]]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sequences(w, h), pa.binary()),
-                 *(pa.array([x[at[i]:at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary()) for x in (shingle, weight.astype(np.float32)))],
-                ["node", "shingle", "weight"])
+                [pa.array(sequences(w, h), pa.binary()), pa.array([x for x, _ in parts], pa.binary()),
+                 pa.array([None if (v == 1).all() else v.tobytes() for _, v in parts], pa.binary())], ["node", "shingle", "weight"])
 
     # texts are fetched by doc_id; a row may repeat an id, so nodes are computed again and matched.  The ids are
     # stored first: their file size tells the planner whether a broadcast spares the shuffle of all texts.
-    ids = stored(wanted.select("first_id").distinct(), "wanted-ids")
+    ids = stored(wanted.join(nodes, "node").select("first_id").distinct(), "wanted-ids")
     texts = doc_text(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    bags = stored(texts.mapInArrow(run, "node binary, shingle binary, weight binary").dropDuplicates(["node"]), "shingles")
-    left = bags.select(F.col("node").alias("a"), F.col("shingle").alias("xa"), F.col("weight").alias("wa"))
-    right = bags.select(F.col("node").alias("b"), F.col("shingle").alias("xb"), F.col("weight").alias("wb"))
+    found = texts.mapInArrow(run, "node binary, shingle binary, weight binary").filter("node is not null").dropDuplicates(["node"])
+    return stored(found, "shingles")
+
+
+def _bag(shingle: bytes, weight: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(shingle, np.uint64)
+    return h, np.ones(len(h)) if weight is None else np.frombuffer(weight, np.float64)
+
+
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) of at least SIMILARITY, computed on the shingles ``own`` of their whole texts."""
+    left = own.select(F.col("node").alias("a"), F.col("shingle").alias("xa"), F.col("weight").alias("wa"))
+    right = own.select(F.col("node").alias("b"), F.col("shingle").alias("xb"), F.col("weight").alias("wb"))
 
     def check(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keep = []
-            for r in each_row([b]):
-                x = (np.frombuffer(r["xa"], np.uint64), np.frombuffer(r["wa"], np.float32))
-                y = (np.frombuffer(r["xb"], np.uint64), np.frombuffer(r["wb"], np.float32))
-                keep.append(similarity(x, y) >= SIMILARITY)
+            keep = [similarity(_bag(r["xa"], r["wa"]), _bag(r["xb"], r["wb"])) >= SIMILARITY for r in each_row([b])]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(pairs.join(left, "a").join(right, "b").mapInArrow(check, "a binary, b binary"), "links")
@@ -230,12 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, best: int | None = None) -> DataFrame:
-    """Agreeing pairs (a, b) of different classes that meet in a bucket; with
-    ``best`` only each guest's so many most agreeing ones (of a block).
+def mixed_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, node, root, guest, hosts, guests) of the buckets that hold several classes.
 
-    The members of a bucket's largest class are compared with the other
-    members, and those among themselves; blocks of BLOCK members meet in one task.
+    ``guest`` marks members outside the bucket's largest class; ``hosts`` and
+    ``guests`` are the numbers of blocks of BLOCK members of either kind.
     """
     named = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     sizes = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -244,9 +245,19 @@ def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, best: int |
              .select("band", F.col("top.root").alias("host"),
                      F.ceil(F.col("top.n") / BLOCK).cast("int").alias("hosts"),
                      F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("guests")))
-    rows = named.join(mixed, "band").withColumn("guest", F.col("root") != F.col("host"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts"))).cast("int")
-    rows = rows.withColumn("own", own)
+    return stored(named.join(mixed, "band").withColumn("guest", F.col("root") != F.col("host")).drop("host"), "mixed-buckets")
+
+
+def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """Links (a, b) between different classes that meet in a bucket, compared inside the tasks.
+
+    The members of a bucket's largest class are compared with the guests, and
+    the guests among themselves; blocks of BLOCK members meet in one task, a
+    pair in the first bucket it shares.  The similarity is that of the
+    shingles cut to 32 bits; a class pair is reported by its first link only.
+    """
+    spread = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts"))).cast("int")
+    rows = members.withColumn("own", spread)
     # tasks: ("h", host block, guest block) and ("g", guest block, later guest block)
     hosts = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda g: F.struct(F.lit("h").alias("kind"), F.col("own").alias("x"), g.alias("y")))
     guests = F.concat(
@@ -254,26 +265,62 @@ def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, best: int |
         F.transform(F.sequence(F.lit(0), F.col("guests") - 1),
                     lambda g: F.struct(F.lit("g").alias("kind"), F.least(g, "own").alias("x"), F.greatest(g, "own").alias("y"))))
     rows = rows.withColumn("task", F.explode(F.when(F.col("guest"), guests).otherwise(hosts)))
-    rows = rows.join(nodes.select("node", "signature"), "node").select("band", "task.kind", "task.x", "task.y", "node", "root", "guest", "signature")
+
+    def shorten(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            short = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() if v is None else x
+                     for x, v in zip(b.column("shingle").to_pylist(), b.column("weight").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(short, pa.binary()), b.column("weight")], ["node", "shingle", "weight"])
+
+    small = own.mapInArrow(shorten, "node binary, shingle binary, weight binary")
+    rows = (rows.join(nodes.select("node", "bands").join(small, "node"), "node")
+            .select("band", "task.kind", "task.x", "task.y", "node", "root", "guest", "bands", "shingle", "weight"))
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = sorted(((r["guest"], r["root"], r["node"], r["signature"]) for r in each_row(batches)), key=lambda m: m[:3])
-        node = [m[2] for m in members]
-        root = np.unique(np.array([m[1].hex() for m in members]), return_inverse=True)[1]
-        guest = np.array([m[0] for m in members])
-        sig = np.frombuffer(b"".join(m[3] for m in members), np.uint32).reshape(len(members), PARTS)
-        keys = bands(sig)
-        here = int(np.flatnonzero(keys[0].view(np.int64) == key[0].as_py())[0])
+        members = sorted(each_row(batches), key=lambda r: (r["guest"], r["root"], r["node"]))
+        keys = np.array([r["bands"] for r in members])
+        here = int(np.flatnonzero(keys[0] == key[0].as_py())[0])
+        plain = np.array([r["weight"] is None for r in members])
+        short = [np.frombuffer(r["shingle"], np.uint32) if p else (np.frombuffer(r["shingle"], np.uint64) >> np.uint64(32)).astype(np.uint32)
+                 for r, p in zip(members, plain)]
+        size = np.array([len(x) for x in short])
+        flat, first = np.concatenate(short), np.concatenate([[0], np.cumsum(size)])
+        ids, root = np.unique(np.array([r["root"].hex() for r in members]), return_inverse=True)
         found = []
-        for i in np.flatnonzero(guest).tolist():  # guests come after hosts
-            others = np.flatnonzero(root[:i] != root[i])
-            agree = (sig[others] == sig[i]).mean(1)
-            near = others[np.argsort(-agree, kind="stable")][:int((agree >= AGREE).sum())]
-            near = near[(keys[near] == keys[i]).argmax(1) == here][:best]
-            found += [(max(node[i], node[j]), min(node[i], node[j])) for j in near.tolist()]
+        for i in [i for i, r in enumerate(members) if r["guest"]]:  # guests come after hosts
+            near = np.flatnonzero(root[:i] != root[i])
+            near = near[(keys[near] == keys[i]).argmax(1) == here] if len(near) else near
+            # a similarity of SIMILARITY needs sizes within that ratio, where no weights are involved
+            fits = ~(plain[near] & plain[i]) | (np.minimum(size[near], size[i]) >= SIMILARITY * np.maximum(size[near], size[i]) - 1)
+            near = near[fits]
+            if not len(near):
+                continue
+            at = np.concatenate([np.arange(first[j], first[j + 1]) for j in near.tolist()])
+            place = np.minimum(np.searchsorted(short[i], flat[at]), size[i] - 1) if plain[i] else None
+            common = (np.add.reduceat((short[i][place] == flat[at]).astype(np.int64), np.cumsum(size[near]) - size[near])
+                      if plain[i] else np.zeros(len(near), np.int64))
+            for j, c in zip(near.tolist(), common.tolist()):
+                if root[j] == root[i]:
+                    continue  # joined meanwhile
+                if plain[i] and plain[j]:
+                    s = c / (size[i] + size[j] - c)
+                else:
+                    s = similarity(_short(members[i]), _short(members[j]))
+                if s >= SIMILARITY - 0.002:
+                    found.append((max(members[i]["node"], members[j]["node"]), min(members[i]["node"], members[j]["node"])))
+                    root[root == root[j]] = root[i]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return rows.groupBy("band", "kind", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    return stored(rows.groupBy("band", "kind", "x", "y").applyInArrow(compare, "a binary, b binary").distinct(), "crossing")
+
+
+def _short(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A member's shingles cut to 32 bits, with weights."""
+    if r["weight"] is None:
+        h = np.frombuffer(r["shingle"], np.uint32)
+        return h, np.ones(len(h))
+    h, at = np.unique((np.frombuffer(r["shingle"], np.uint64) >> np.uint64(32)).astype(np.uint32), return_index=True)
+    return h, np.frombuffer(r["weight"], np.float64)[at]
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -290,18 +337,22 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = (shared.join(centre, "band").filter("node <> c")
              .select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct())
     tried = stored(agreeing(stars, nodes), "candidates")
-    links = verified(tried, docs, nodes)
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = verified(tried, bags(ends(tried), docs, nodes))
     roots = components(links)
-    best = FIRST  # most links are found among the best pairs; then every remaining pair is tried
+    members = mixed_members(shared, roots)
+    own = bags(members.select("node").distinct(), docs, nodes)  # classes only grow: later rounds need no other texts
     while True:
-        more = stored(crossing(shared, roots, nodes, best).join(tried, ["a", "b"], "left_anti"), "crossing")
-        new = verified(more, docs, nodes) if more.limit(1).count() else more
-        found, last, best = new.limit(1).count(), best is None, None
-        tried = tried.unionByName(more)
+        more = crossing(members, nodes, own)
+        new = verified(more, own)
+        found, wanted = new.count(), more.count()
         if found:
             links = links.unionByName(new)
             roots = components(links)
-        elif last:
+        if found == wanted:  # every other pair was compared, or lies in a class that is joined now
+            break
+        members = mixed_members(shared, roots)
+        if not found:
             break
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     counts = worded.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
