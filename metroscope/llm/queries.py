@@ -22,6 +22,9 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -80,7 +83,20 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return lm_bloom.score(documents(spark, d))
 
 
-@register("op8_decontamination")
+@register("op8_decontamination", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+     items AS (SELECT item_id, array_to_string(w[s:s + 9], ' ') AS g, least(10, len(w)) AS n
+               FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM b WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT n FROM items),
+     grams AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, n, unnest(range(1, greatest(0, len(w) - n + 1) + 1)) AS s FROM d, sizes)),
+     hits AS (SELECT doc_id, s, n, g FROM grams SEMI JOIN items USING (g, n)),
+     words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+     found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits JOIN items USING (g, n)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")))
 
@@ -90,7 +106,16 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.scan(documents(spark, d))
 
 
-@register("op10_substring_dedup")
+@register("op10_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS g
+             FROM (SELECT doc_id, w, unnest(range(1, greatest(0, len(w) - 49) + 1)) AS s FROM d)),
+     first AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN first USING (g) WHERE first_id < doc_id),
+     word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, d))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
