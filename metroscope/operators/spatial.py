@@ -169,8 +169,8 @@ def _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, p
     plat, plon = F.col(point_lat), F.col(point_lon)
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     levels = _cell_levels(start)
-    # One index for every level: (level, cell) -> candidate array.  Built by a
-    # single aggregate and broadcast once; each level's join reuses it.
+    # One index for every level: (level, cell) -> candidate array.  Each level's
+    # join broadcasts the rows of its level.
     lv = F.explode(F.array(*[F.struct(F.lit(i).alias("lv"), F.lit(c).alias("c"),
                                        F.lit(math.ceil(360.0 / c)).alias("n")) for i, c in enumerate(levels)]))
     base = sens.select("s", lv.alias("L"))  # one pass over the sensors for every level
