@@ -31,8 +31,3 @@ def parse_journey_specs(specs: DataFrame, spec: str = "spec"):
         "journey_id", "pos", F.col("w.latitude").alias("latitude"), F.col("w.longitude").alias("longitude"))
     return journeys, waypoints, parsed.filter(F.col("reason").isNotNull()).select(spec, "reason")
 
-
-def explode_waypoints(journeys: DataFrame, col: str = "waypoints") -> DataFrame:
-    """Array-of-points journeys -> one row per waypoint (``pos`` = list order)."""
-    return journeys.select("journey_id", F.posexplode(col).alias("pos", "w")).select(
-        "journey_id", "pos", F.col("w.latitude").alias("latitude"), F.col("w.longitude").alias("longitude"))

@@ -38,7 +38,3 @@ def scan_lines(pages: DataFrame, raw: str = "raw", page_order: str = "page_offse
         rows = first_per_key(rows, ["line_id"], [page_order, "rec_pos"])
     return rows
 
-
-def pages_needed(total_count, page_size: int = 100):
-    """Number of pages a listing of ``total_count`` records spans."""
-    return F.ceil(total_count / F.lit(page_size))

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from metroscope.plans.queries import REGISTRY
 
 SIDE_EFFECTS = ("load_", "stream_", "upsert_", "cleanup_", "bronze_")
 PAIR_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -12,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if not n.startswith(SIDE_EFFECTS)])
+@pytest.mark.parametrize("name", [n for n in REGISTRY if not n.startswith(SIDE_EFFECTS)])
 def test_no_pair_emitting_join(spark, name):
     plan = _plan(E.queries()[name](spark, "/root/testdata/sf0.001"))
     assert not any(j in plan for j in PAIR_JOINS), name
