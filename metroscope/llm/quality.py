@@ -74,7 +74,7 @@ def statistics(texts: pa.StringArray) -> np.ndarray:
     out = [np.log1p(size), np.log1p(count), mean, np.sqrt(np.maximum(_sums(length ** 2, w.first) / per_word - mean ** 2, 0)), longest]
     at = {}
     for name, lut in _CLASSES.items():
-        total = np.concatenate([[0], np.cumsum(lut[raw], dtype=np.int64)])
+        total = np.concatenate([[0], np.cumsum(lut[raw], dtype=np.int32)])
         at[name] = total
         out.append((total[off[1:]] - total[off[:-1]]) / per_byte)
     distinct, top = _distinct(owner, h, n)
@@ -164,7 +164,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held: int = HELD, **limits) -> Trees:
     """Fit on a bounded sample of labelled rows outside the held-out remainder."""
     def features(batches: Iterator[pa.RecordBatch]):
-        for b in blocks(batches):
+        for b in blocks(batches, limit=1 << 20):  # eight sums over every byte: small blocks
             x = statistics(string_column(b, "text"))
             raw = [r.tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(raw, pa.binary())], ["doc_id", "y", "x"])
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in blocks(batches):
+        for b in blocks(batches, limit=1 << 20):  # eight sums over every byte: small blocks
             s = np.clip(model.score(statistics(string_column(b, "text"))), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 def accept(docs: DataFrame, model: Trees, at_least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` whose text the model accepts, all columns unchanged."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in blocks(batches):
+        for b in blocks(batches, limit=1 << 20):  # eight sums over every byte: small blocks
             s = model.score(statistics(string_column(b, "text")))
             yield b.filter(pa.array(s >= at_least))
 
