@@ -3,15 +3,16 @@
 Training tokens are white-space words with A-Z lower-cased, and one end token
 per text.  Counts of words and of word pairs are summed over the whole
 training part: every chunk sends its distinct hashes with counts to the tasks
-of their hash slices, which add them up.  A slice
+of their hash slices, which add them up.  A slice builds its segment of the
+filter: an n-gram of count c is inserted ``1 + floor(log_B c)`` times, once for
+each quantised level up to its own, with ``BITS_PER_ITEM`` bits for each
+insertion.  It answers each chunk with
 
-* answers each chunk with the exact training counts of the chunk's words
-  (they give the base score), and
-* writes its segment of the filter: an n-gram of count c is inserted
-  ``1 + floor(log_B c)`` times, once for each quantised level up to its own.
-  A segment has ``BITS_PER_ITEM`` bits for each insertion; where that would
-  exceed its share of ``FILTER_BYTES``, n-grams of the smallest counts are left
-  to the smoothing until it fits, so the broadcast has a fixed bound.
+* the exact training counts of the chunk's words (they give the base score), and
+* the levels its segment gives for the chunk's words and pairs.
+
+The number of slices follows the input, so the filter grows with what is
+inserted, no n-gram is left out, and no task ever holds more than one segment.
 
 A count is read back by probing level after level until the filter says no.
 The model interpolates the pair estimate with the word estimate:
@@ -39,12 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metroscope.llm.runtime import chunk_table, each_row, parts_for, scratch, slice_bounds, slice_of, spread_out, squeeze, unpack_rows
+from metroscope.llm.runtime import chunk_table, each_row, parts_for, scratch, slice_bounds, slice_of, spread_out, squeeze, stored, unpack_rows
 from metroscope.llm.words import LOWER, Words, hash_spans, mix, split
 
 MODULUS, HELD = 7, 2
 CHUNK_BYTES = 8 << 20
-FILTER_BYTES = 48 << 20
 BITS_PER_ITEM = 10
 PROBES = 5
 BASE = 1.5                      # quantisation: level j stands for counts from BASE**(j-1)
@@ -106,12 +106,15 @@ def _bit(key: np.ndarray, level, probe: int, bits) -> np.ndarray:
     return ((x & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)
 
 
-def build_segment(grams: list[tuple[np.ndarray, np.ndarray, int]], most_bits: int) -> tuple[np.ndarray, int]:
-    """(packed bits, number of bits) for (hashes, counts, order) lists of one slice."""
+def build_segment(grams: list[tuple[np.ndarray, np.ndarray, int]], most_bits: int | None = None) -> tuple[np.ndarray, int]:
+    """(packed bits, number of bits) for (hashes, counts, order) lists of one slice.
+
+    With ``most_bits`` n-grams of the smallest counts are left out until it fits; the model gives no bound.
+    """
     levels = [level_of(c) for _, c, _ in grams]
     every = np.bincount(np.concatenate([*levels, np.zeros(0, np.int64)]), minlength=LEVELS + 1) * np.arange(LEVELS + 1)
     above = every[::-1].cumsum()[::-1]  # insertions of n-grams at this level or higher
-    least = int(np.flatnonzero(above * BITS_PER_ITEM <= most_bits)[0])
+    least = 0 if most_bits is None else int(np.flatnonzero(above * BITS_PER_ITEM <= most_bits)[0])
     bits = max(64, int(above[least]) * BITS_PER_ITEM)
     field = np.zeros(bits, bool)
     for (h, _, order), own in zip(grams, levels):
@@ -125,18 +128,18 @@ def build_segment(grams: list[tuple[np.ndarray, np.ndarray, int]], most_bits: in
 
 @dataclass
 class Filter:
-    """All segments one after the other, with the totals N and V."""
+    """Segments one after the other, with the totals N and V."""
     data: np.ndarray
     start: np.ndarray   # first byte of each slice's segment
     bits: np.ndarray    # its number of bits
     total: int
     distinct: int
 
-    def counts(self, h: np.ndarray, order: int) -> np.ndarray:
-        """Approximate counts by repeated membership probes."""
+    def levels(self, h: np.ndarray, order: int) -> np.ndarray:
+        """Quantised levels by repeated membership probes."""
         part = slice_of(h, len(self.bits))
         key, start, bits = _key(h, order), self.start[part], self.bits[part]
-        level, live = np.zeros(len(h), np.int64), np.arange(len(h))
+        level, live = np.zeros(len(h), np.uint8), np.arange(len(h))
         for step in range(1, LEVELS):
             for probe in range(PROBES):
                 at = _bit(key[live], step, probe, bits[live])
@@ -145,30 +148,30 @@ class Filter:
             if not len(live):
                 break
             level[live] = step
-        return _VALUES[level]
+        return level
 
-    def estimates(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each token, of the token before it, and of the pair."""
-        kinds, back = np.unique(t.hash, return_inverse=True)
-        word = self.counts(kinds, 1)[back]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[t.first[:-1]] = self.counts(np.array([END], np.uint64), 1)[0]  # as many begins as ends
-        return word, before, np.minimum(self.counts(t.pair, 2), np.minimum(word, before))
+    def counts(self, h: np.ndarray, order: int) -> np.ndarray:
+        """Approximate counts."""
+        return _VALUES[self.levels(h, order)]
 
-    def probabilities(self, word, before, pair, weight: float, add: float) -> np.ndarray:
-        plain = (word + add) / (self.total + add * (self.distinct + 1))
-        return weight * np.where(before > 0, pair / np.maximum(before, 1), 0) + (1 - weight) * np.minimum(plain, 1)
+
+def estimates(first: np.ndarray, word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each token, of the token before it, and of the pair, from the levels of tokens and pairs."""
+    word = _VALUES[word]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[first[:-1]] = word[first[1:] - 1]  # as many begins as ends
+    return word, before, np.minimum(_VALUES[pair], np.minimum(word, before))
 
 
 class Model:
-    """Trained on ``chunks`` (runtime.chunk_table); keeps the slices' answers for the base scores."""
+    """Trained on ``chunks`` (runtime.chunk_table); keeps the levels of all tokens for the scores."""
 
-    def __init__(self, chunks: DataFrame, filter_bytes: int = FILTER_BYTES):
+    def __init__(self, chunks: DataFrame):
         self.chunks, self.spark = chunks, chunks.sparkSession
         self.slices = n = parts_for(chunks, 4 << 20)
-        path, most_bits = scratch(self.spark, "ngram-slices"), filter_bytes * 8 // n
-        schema = "kind string, slice int, chunk long, n int, data binary, bits long, total long, distinct long"
+        path = scratch(self.spark, "ngram-slices")
+        schema = "kind string, slice int, chunk long, seen binary, word binary, pair binary, bits long, total long, distinct long"
 
         def count(batches: Iterator[pa.RecordBatch]):
             for r in each_row(batches):
@@ -177,8 +180,8 @@ class Model:
                 taught = np.repeat(training(ids), np.diff(t.first))
                 word, back = np.unique(t.hash, return_inverse=True)
                 seen = np.bincount(back, taught, len(word)).astype(np.uint32)
-                pair, times = np.unique(t.pair[taught], return_counts=True)
-                times = times.astype(np.uint32)
+                pair, back = np.unique(t.pair, return_inverse=True)
+                times = np.bincount(back, taught, len(pair)).astype(np.uint32)
                 a, b = slice_bounds(word, n), slice_bounds(pair, n)
                 rows = [(i, r["chunk"], word[a[i]:a[i + 1]].tobytes(), squeeze(seen[a[i]:a[i + 1]]),
                          (pair[b[i]:b[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), squeeze(times[b[i]:b[i + 1]]))
@@ -189,85 +192,99 @@ class Model:
 
         def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = list(each_row(batches))
-            word = np.concatenate([np.frombuffer(r["word"], np.uint64) for r in rows])
-            kinds, back = np.unique(word, return_inverse=True)
-            sums = np.bincount(back, np.concatenate([spread_out(r["seen"], np.uint32) for r in rows]), len(kinds)).astype(np.int64)
-            pair, back2 = np.unique(np.concatenate([np.frombuffer(r["pair"], np.uint32) for r in rows]), return_inverse=True)
-            times = np.bincount(back2, np.concatenate([spread_out(r["times"], np.uint32) for r in rows]), len(pair)).astype(np.int64)
-            known = sums > 0
-            segment, bits = build_segment([(kinds[known], sums[known], 1), (pair.astype(np.uint64), times, 2)], most_bits)
-            s, ends = key[0].as_py(), np.cumsum([len(r["word"]) // 8 for r in rows])
-            replies = [squeeze(x) for x in np.split(sums[back], ends[:-1])]
-            k = len(rows)
+
+            def summed(name: str, count: str, dtype):
+                each = [np.frombuffer(r[name], dtype) for r in rows]
+                kinds, back = np.unique(np.concatenate(each), return_inverse=True)
+                sums = np.bincount(back, np.concatenate([spread_out(r[count], np.uint32) for r in rows]), len(kinds)).astype(np.int64)
+                return kinds.astype(np.uint64), sums, np.split(back, np.cumsum([len(x) for x in each])[:-1])
+
+            word, seen, words = summed("word", "seen", np.uint64)
+            pair, times, pairs = summed("pair", "times", np.uint32)
+            known, met = seen > 0, times > 0
+            segment, bits = build_segment([(word[known], seen[known], 1), (pair[met], times[met], 2)])
+            own = Filter(segment, np.zeros(1, np.int64), np.array([bits], np.uint64), 0, 0)
+            levels = own.levels(word, 1), own.levels(pair, 2)
+            s, k = key[0].as_py(), len(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["reply"] * k + ["segment"]), pa.array([s] * (k + 1), pa.int32()), pa.array([*(r["chunk"] for r in rows), None], pa.int64()),
-                 pa.array([*np.diff(ends, prepend=0), len(kinds)], pa.int32()), pa.array([*replies, segment.tobytes()], pa.binary()),
-                 *(pa.array([None] * k + [v], pa.int64()) for v in (bits, int(sums.sum()), int(known.sum())))],
-                ["kind", "slice", "chunk", "n", "data", "bits", "total", "distinct"])
+                 *(pa.array([*(squeeze(x[at]) for at in places), None], pa.binary())
+                   for x, places in ((seen, words), (levels[0], words), (levels[1], pairs))),
+                 *(pa.array([None] * k + [v], pa.int64()) for v in (bits, int(seen.sum()), int(known.sum())))],
+                ["kind", "slice", "chunk", "seen", "word", "pair", "bits", "total", "distinct"])
 
         (chunks.mapInArrow(count, "slice int, chunk long, word binary, seen binary, pair binary, times binary")
          .groupBy("slice").applyInArrow(add, schema).write.partitionBy("kind").parquet(path))
         rows = self.spark.read.schema(schema).parquet(path)
-        self.replies = rows.filter("kind = 'reply'").select("chunk", "slice", "n", "data")
-        self.filter = self._gather(rows.filter("kind = 'segment'"))
-        self.held = self.spark.sparkContext.broadcast(self.filter)
+        sums = rows.filter("kind = 'segment'").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bits", "total", "distinct")]).first()
+        self.bits, self.total, self.distinct = map(int, sums)
+        self.replies = rows.filter("kind = 'reply'").select("chunk", "slice", "seen", "word", "pair")
+        self.levels = self._levels()
         self.weight, self.add = self._tune()
 
-    def _gather(self, segments: DataFrame) -> Filter:
-        """The whole filter on the driver: at most ``filter_bytes`` and 64 bits a slice."""
-        start, bits = np.zeros(self.slices, np.int64), np.full(self.slices, 64, np.uint64)
-        parts, used, total, distinct = [np.zeros(8, np.uint8)], 8, 0, 0
-        for r in segments.select("slice", "data", "bits", "total", "distinct").toLocalIterator():
-            piece = np.frombuffer(r["data"], np.uint8)
-            start[r["slice"]], bits[r["slice"]] = used, r["bits"]
-            parts.append(piece)
-            used, total, distinct = used + len(piece), total + r["total"], distinct + r["distinct"]
-        return Filter(np.concatenate(parts), start, bits, total, distinct)
+    def _probabilities(self):
+        """Function from counts, weight and addend to the probabilities of tokens."""
+        total, distinct = self.total, self.distinct
+
+        def probabilities(word, before, pair, weight: float, add: float) -> np.ndarray:
+            plain = (word + add) / (total + add * (distinct + 1))
+            return weight * np.where(before > 0, pair / np.maximum(before, 1), 0) + (1 - weight) * np.minimum(plain, 1)
+
+        return probabilities
+
+    def _levels(self) -> DataFrame:
+        """Of each chunk, stored once: doc_ids, first token of each text, levels of tokens and pairs, known tokens and base score
+        of each text, and the leave-one-out likelihoods of the grid."""
+        probabilities, rest = self._probabilities(), np.log10(self.total + self.distinct + 1.0)
+        names = ["ids", "first", "word", "pair", "known", "base", "sums"]
+        types = [pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.float64())]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return pa.table([pa.array([], x) for x in types], names)
+            ids, texts = unpack_rows(left.column("data")[0].as_py())
+            t = tokens(texts)
+            answers = sorted(zip(*(right.column(c).to_pylist() for c in ("slice", "seen", "word", "pair"))))
+            seen, word, pair = (np.concatenate([spread_out(a[k], x) for a in answers]) for k, x in ((1, np.int64), (2, np.uint8), (3, np.uint8)))
+            _, back = np.unique(t.hash, return_inverse=True)
+            exact, word = seen[back], word[back]
+            _, back = np.unique(t.pair, return_inverse=True)
+            pair = pair[back]
+            per_text = lambda v: np.add.reduceat(v, t.first[:-1])  # noqa: E731  every text has its end token
+            base = per_text(np.log10(exact + 1.0)) - np.diff(t.first) * rest
+            use = np.repeat(training(ids), np.diff(t.first))
+            others = [np.maximum(x[use] - 1, 0) for x in estimates(t.first, word, pair)]
+            sums = [float(np.log10(probabilities(*others, w, a)).sum()) for w in GRID_L for a in GRID_A]
+            cols = (ids, *map(squeeze, (t.first.astype(np.int64), word, pair, per_text((exact > 0).astype(np.int64)), base)), sums)
+            return pa.table([pa.array([c], x) for c, x in zip(cols, types)], names)
+
+        whole = self.chunks.groupBy("chunk").cogroup(self.replies.groupBy("chunk"))
+        return stored(whole.applyInArrow(run, "ids array<long>, first binary, word binary, pair binary, known binary, base binary, sums array<double>"), "token-levels")
 
     def _tune(self) -> tuple[float, float]:
         """Weight and addend of the highest leave-one-out likelihood over all training tokens."""
-        held = self.held
-
-        def likelihood(batches: Iterator[pa.RecordBatch]):
-            for r in each_row(batches):
-                ids, texts = unpack_rows(r["data"])
-                t, f = tokens(texts), held.value
-                use = np.repeat(training(ids), np.diff(t.first))
-                word, before, pair = (np.maximum(x[use] - 1, 0) for x in f.estimates(t))
-                out = [float(np.log10(f.probabilities(word, before, pair, w, a)).sum()) for w in GRID_L for a in GRID_A]
-                yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["sums"])
-
-        sums = self.chunks.mapInArrow(likelihood, "sums array<double>")
-        best = sums.agg(*[F.sum(F.col("sums")[i]) for i in range(len(GRID_L) * len(GRID_A))]).first()
+        best = self.levels.agg(*[F.sum(F.col("sums")[i]) for i in range(len(GRID_L) * len(GRID_A))]).first()
         k = max(range(len(best)), key=lambda i: -np.inf if best[i] is None else best[i])
         return float(GRID_L[k // len(GRID_A)]), float(GRID_A[k % len(GRID_A)])
 
     def score(self) -> DataFrame:
         """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        held, weight, add = self.held, self.weight, self.add
+        probabilities, total, weight, add = self._probabilities(), self.total, self.weight, self.add
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return pa.table([pa.array([], t) for t in types], names)
-            ids, texts = unpack_rows(left.column("data")[0].as_py())
-            t, f = tokens(texts), held.value
-            answers = sorted(zip(*(right.column(c).to_pylist() for c in ("slice", "n", "data"))))
-            count = np.concatenate([spread_out(d, np.int64) for _, n, d in answers if n])
-            _, back = np.unique(t.hash, return_inverse=True)
-            exact = count[back]
-            per_text = lambda v: np.add.reduceat(v, t.first[:-1])  # noqa: E731  every text has its end token
-            n = np.diff(t.first)
-            base = per_text(np.log10(exact + 1.0)) - n * np.log10(f.total + f.distinct + 1.0)
-            score = per_text(np.log10(f.probabilities(*f.estimates(t), weight, add)))
-            cols = (ids, ~training(ids), n, per_text((exact > 0).astype(np.int64)), np.full(len(ids), f.total), base, score)
-            return pa.table([pa.array(c, x) for c, x in zip(cols, types)], names)
+        def run(batches: Iterator[pa.RecordBatch]):
+            for r in each_row(batches):
+                ids, first = r["ids"], spread_out(r["first"], np.int64)
+                p = probabilities(*estimates(first, spread_out(r["word"], np.uint8), spread_out(r["pair"], np.uint8)), weight, add)
+                cols = (ids, ~training(ids), np.diff(first), spread_out(r["known"], np.int64), np.full(len(ids), total),
+                        spread_out(r["base"], np.float64), np.add.reduceat(np.log10(p), first[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
 
-        return (self.chunks.groupBy("chunk").cogroup(self.replies.groupBy("chunk"))
-                .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        return self.levels.select("ids", "first", "word", "pair", "known", "base").mapInArrow(
+            run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """Train on the training part of ``docs`` and score all rows."""
-    return Model(chunk_table(docs, "lm-chunks", CHUNK_BYTES), filter_bytes).score()
+    return Model(chunk_table(docs, "lm-chunks", CHUNK_BYTES)).score()

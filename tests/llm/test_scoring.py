@@ -133,3 +133,19 @@ def test_filter_never_forgets_and_rarely_invents():
     assert (f.counts(strangers, 1) > 0).mean() < 0.02
     small, few = lm_bloom.build_segment([(h, counts, 1)], 100_000)  # a bound leaves out the rarest, whole
     assert few <= 100_000 and len(small) * 8 <= few + 8
+
+
+def test_the_filter_holds_every_ngram_however_many_slices_share_it(spark, monkeypatch):
+    texts = [(i, "red green " * 500 + f"only{i} here{i}") for i in (0, 1, 3, 5)]
+    want = {r.doc_id: r.score for r in lm_bloom.score(H.awkward(spark, texts)).collect()}
+    monkeypatch.setattr(lm_bloom, "parts_for", lambda *_: 1 << 22)  # a 48 MB filter would leave each of them 96 bits
+    model = lm_bloom.Model(lm_bloom.chunk_table(H.awkward(spark, texts), "t-chunks", lm_bloom.CHUNK_BYTES))
+    got = {r.doc_id: r.score for r in model.score().collect()}
+    assert got == {i: pytest.approx(s, rel=0.02) for i, s in want.items()}
+    words, pairs = Counter(), Counter()
+    for _, t in texts:
+        w = t.split() + ["</s>"]
+        words.update(w)
+        pairs.update(zip(["<s>", *w], w))
+    levels = lm_bloom.level_of(np.array([*words.values(), *pairs.values()]))
+    assert model.bits == np.maximum(64, levels * lm_bloom.BITS_PER_ITEM).sum()  # one n-gram a slice
