@@ -18,10 +18,11 @@ probability Jaccard similarity of the texts.
 4. Connected components (large star, small star) give the classes.
 5. Buckets that still hold several classes are compared inside tasks, the
    members of their largest class only with the others, in blocks of bounded
-   size, each pair in the first bucket it shares.  The tasks report one link
-   for each pair of classes, which is verified and joined like the others: a
-   link is not lost because its ends were compared with a third text only, and
-   the many pairs that fall short leave no rows.
+   size, each pair in the first bucket it shares, and decided on the whole
+   shingles there.  The tasks report one link for each pair of classes: what
+   they skip lies in classes that a true link joins, a link is not lost
+   because its ends were compared with a third text only, and the many pairs
+   that fall short leave no rows.
 
 Signatures miss a link of similarity 0.8 with a probability of about 3e-5 by
 banding and 3e-5 by the agreement bound.
@@ -253,8 +254,8 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
 
     The members of a bucket's largest class are compared with the guests, and
     the guests among themselves; blocks of BLOCK members meet in one task, a
-    pair in the first bucket it shares.  The similarity is that of the
-    shingles cut to 32 bits; a class pair is reported by its first link only.
+    pair in the first bucket it shares.  The similarity is that of the whole
+    shingles, as in ``verified``, so a class pair needs its first link only.
     """
     spread = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("hosts"))).cast("int")
     rows = members.withColumn("own", spread)
@@ -266,14 +267,7 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
                     lambda g: F.struct(F.lit("g").alias("kind"), F.least(g, "own").alias("x"), F.greatest(g, "own").alias("y"))))
     rows = rows.withColumn("task", F.explode(F.when(F.col("guest"), guests).otherwise(hosts)))
 
-    def shorten(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            short = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() if v is None else x
-                     for x, v in zip(b.column("shingle").to_pylist(), b.column("weight").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(short, pa.binary()), b.column("weight")], ["node", "shingle", "weight"])
-
-    small = own.mapInArrow(shorten, "node binary, shingle binary, weight binary")
-    rows = (rows.join(nodes.select("node", "bands").join(small, "node"), "node")
+    rows = (rows.join(nodes.select("node", "bands").join(own, "node"), "node")
             .select("band", "task.kind", "task.x", "task.y", "node", "root", "guest", "bands", "shingle", "weight"))
 
     def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +275,8 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
         keys = np.array([r["bands"] for r in members])
         here = int(np.flatnonzero(keys[0] == key[0].as_py())[0])
         plain = np.array([r["weight"] is None for r in members])
-        short = [np.frombuffer(r["shingle"], np.uint32) if p else (np.frombuffer(r["shingle"], np.uint64) >> np.uint64(32)).astype(np.uint32)
-                 for r, p in zip(members, plain)]
-        size = np.array([len(x) for x in short])
-        flat, first = np.concatenate(short), np.concatenate([[0], np.cumsum(size)])
+        size = np.array([len(r["shingle"]) // 8 for r in members])
+        flat, first = np.frombuffer(b"".join(r["shingle"] for r in members), np.uint64), np.concatenate([[0], np.cumsum(size)])
         ids, root = np.unique(np.array([r["root"].hex() for r in members]), return_inverse=True)
         found = []
         for i in [i for i, r in enumerate(members) if r["guest"]]:  # guests come after hosts
@@ -296,8 +288,9 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
             if not len(near):
                 continue
             at = np.concatenate([np.arange(first[j], first[j + 1]) for j in near.tolist()])
-            place = np.minimum(np.searchsorted(short[i], flat[at]), size[i] - 1) if plain[i] else None
-            common = (np.add.reduceat((short[i][place] == flat[at]).astype(np.int64), np.cumsum(size[near]) - size[near])
+            mine = flat[first[i]:first[i + 1]]
+            place = np.minimum(np.searchsorted(mine, flat[at]), size[i] - 1) if plain[i] else None
+            common = (np.add.reduceat((mine[place] == flat[at]).astype(np.int64), np.cumsum(size[near]) - size[near])
                       if plain[i] else np.zeros(len(near), np.int64))
             for j, c in zip(near.tolist(), common.tolist()):
                 if root[j] == root[i]:
@@ -305,8 +298,8 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
                 if plain[i] and plain[j]:
                     s = c / (size[i] + size[j] - c)
                 else:
-                    s = similarity(_short(members[i]), _short(members[j]))
-                if s >= SIMILARITY - 0.002:
+                    s = similarity(*(_bag(members[k]["shingle"], members[k]["weight"]) for k in (i, j)))
+                if s >= SIMILARITY:
                     found.append((max(members[i]["node"], members[j]["node"]), min(members[i]["node"], members[j]["node"])))
                     root[root == root[j]] = root[i]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
@@ -314,15 +307,6 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
     return stored(rows.groupBy("band", "kind", "x", "y").applyInArrow(compare, "a binary, b binary").distinct(), "crossing")
 
 
-def _short(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A member's shingles cut to 32 bits, with weights."""
-    if r["weight"] is None:
-        h = np.frombuffer(r["shingle"], np.uint32)
-        return h, np.ones(len(h))
-    h, at = np.unique((np.frombuffer(r["shingle"], np.uint64) >> np.uint64(32)).astype(np.uint32), return_index=True)
-    return h, np.frombuffer(r["weight"], np.float64)[at]
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, class_size) of every row; node is null without words."""
     rows = describe(docs)
@@ -341,19 +325,10 @@ def classes(docs: DataFrame) -> DataFrame:
     links = verified(tried, bags(ends(tried), docs, nodes))
     roots = components(links)
     members = mixed_members(shared, roots)
-    own = bags(members.select("node").distinct(), docs, nodes)  # classes only grow: later rounds need no other texts
-    while True:
-        more = crossing(members, nodes, own)
-        new = verified(more, own)
-        found, wanted = new.count(), more.count()
-        if found:
-            links = links.unionByName(new)
-            roots = components(links)
-        if found == wanted:  # every other pair was compared, or lies in a class that is joined now
-            break
-        members = mixed_members(shared, roots)
-        if not found:
-            break
+    own = bags(members.select("node").distinct(), docs, nodes)
+    new = crossing(members, nodes, own)  # every other pair was compared, or lies in a class that is joined now
+    if new.count():
+        roots = components(links.unionByName(new))
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     counts = worded.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     whole = (named.join(counts, "node").groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size")))

@@ -92,6 +92,19 @@ def test_near_classes_equal_brute_force(spark):
             assert (min((x for x in ids if x is not None), default=None), len(ids)) in by_id[i]
 
 
+def test_a_pair_just_below_the_bound_hides_no_link_of_its_classes(spark):
+    bag = lambda lo, hi: (np.arange(lo, hi, dtype=np.uint64) << np.uint64(40)).tobytes()
+    own = {b"a1": bag(0, 900), b"b1": bag(101, 1000), b"a2": bag(2000, 2925), b"b2": bag(2075, 3000)}  # 0.799 and 0.85
+    one = np.ones(1000)
+    assert near_dedup.similarity(*((np.frombuffer(own[k], np.uint64), one[:len(own[k]) // 8]) for k in (b"a1", b"b1"))) == pytest.approx(0.799)
+    members = spark.createDataFrame([(7, k, k[:1], k[:1] == b"b", 1, 1) for k in own],
+                                    "band long, node binary, root binary, guest boolean, hosts int, guests int")
+    nodes = spark.createDataFrame([(k, [7, *range(100 * i, 100 * i + 19)]) for i, k in enumerate(own, 1)], "node binary, bands array<long>")
+    shingles = spark.createDataFrame([(k, v, None) for k, v in own.items()], "node binary, shingle binary, weight binary")
+    links = near_dedup.verified(near_dedup.crossing(members, nodes, shingles), shingles).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in links] == [(b"b2", b"a2")]
+
+
 def test_near_filter_keeps_one_of_each_class_and_wordless_rows(spark):
     docs = H.awkward(spark)
     kept = near_dedup.deduplicate(docs)
