@@ -47,7 +47,9 @@ from metroscope.llm.runtime import blocks, doc_text, each_row, stored, string_co
 from metroscope.llm.words import Words, inside_text, mix, split, windows
 
 SHINGLE = 5
-SIMILARITY = 0.8
+LEAST = (4, 5)  # the smallest similarity that links, as a fraction
+SIMILARITY = LEAST[0] / LEAST[1]
+ROUNDING = 1e-12  # what the sums of a similarity of unequal weights may lose
 ROWS, BANDS = 4, 20
 PARTS = 2 * ROWS * BANDS  # the bands use the first half; all serve to estimate
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / PARTS) ** 0.5  # four standard deviations below
@@ -131,6 +133,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / ((only_a + upto_w) / w + (only_b + after_v) / v)).sum())
 
 
+def enough(common: int, union: int) -> bool:
+    """Whether ``common / union`` is SIMILARITY or more, in integers."""
+    return LEAST[1] * common >= LEAST[0] * union
+
+
+def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two (sorted shingles, weights) have a similarity of SIMILARITY or more."""
+    if all((w == w[0]).all() for _, w in (a, b)):  # equal weights in each: the plain Jaccard similarity
+        common = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return enough(common, len(a[0]) + len(b[0]) - common)
+    return similarity(a, b) >= SIMILARITY - ROUNDING
+
+
 # ------------------------------------------------------------------ Spark steps
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, node, signature, bands) of every row, stored once; the last three are null without words."""
@@ -198,7 +213,7 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keep = [similarity(_bag(r["xa"], r["wa"]), _bag(r["xb"], r["wb"])) >= SIMILARITY for r in each_row([b])]
+            keep = [linked(_bag(r["xa"], r["wa"]), _bag(r["xb"], r["wb"])) for r in each_row([b])]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(pairs.join(left, "a").join(right, "b").mapInArrow(check, "a binary, b binary"), "links")
@@ -296,10 +311,10 @@ def crossing(members: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
                 if root[j] == root[i]:
                     continue  # joined meanwhile
                 if plain[i] and plain[j]:
-                    s = c / (size[i] + size[j] - c)
+                    link = enough(c, size[i] + size[j] - c)
                 else:
-                    s = similarity(*(_bag(members[k]["shingle"], members[k]["weight"]) for k in (i, j)))
-                if s >= SIMILARITY:
+                    link = linked(*(_bag(members[k]["shingle"], members[k]["weight"]) for k in (i, j)))
+                if link:
                     found.append((max(members[i]["node"], members[j]["node"]), min(members[i]["node"], members[j]["node"])))
                     root[root == root[j]] = root[i]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])

@@ -105,6 +105,23 @@ def test_a_pair_just_below_the_bound_hides_no_link_of_its_classes(spark):
     assert [(bytes(r.a), bytes(r.b)) for r in links] == [(b"b2", b"a2")]
 
 
+def test_a_similarity_of_exactly_the_bound_links(spark):
+    for union in range(5, 2000, 5):
+        common = union * 4 // 5
+        a, b = np.arange(common, dtype=np.uint64), np.arange(union, dtype=np.uint64)
+        for weight in (1.0, 1 + np.log(2)):
+            assert near_dedup.linked((a, np.ones(len(a))), (b, np.full(len(b), weight)))
+        assert not near_dedup.linked((a[1:], np.ones(len(a) - 1)), (b, np.ones(len(b))))
+    texts = []
+    for i, n in enumerate((90, 54, 72, 117)):  # two words replaced: n - 10 common shingles of n + 10
+        w = [f"t{i}x{j}" for j in range(n + 4)]
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:20], "new", *w[21:40], "other", *w[41:]]))]
+    want = H.near_classes(texts)
+    assert want[0] == want[1] and want[2] != want[3]
+    got = {r.doc_id: r.class_id for r in near_dedup.groups(H.awkward(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_near_filter_keeps_one_of_each_class_and_wordless_rows(spark):
     docs = H.awkward(spark)
     kept = near_dedup.deduplicate(docs)
