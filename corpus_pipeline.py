@@ -46,7 +46,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), end_id=1)
+    return packing.pack(docs, tokenizer_path(), end_id=1, added=True)
 
 
 STAGES = [

@@ -123,9 +123,9 @@ class Packer:
             total -= size
 
 
-def _windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[list]:
+def _windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, added: bool) -> Iterator[list]:
     """Packed windows of a task, as they are finished."""
-    encoder, done = Encoder(tokenizer), []
+    encoder, done = Encoder(tokenizer, added), []
     packer = Packer(lambda size, pieces: done.append((size, pieces)))
     for batch in blocks(batches):
         ids, off = encoder.encode(string_column(batch, "text"), end_id)
@@ -148,7 +148,7 @@ def _steps(group: list, tier: int) -> list[list]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, with_ids: bool = Fals
                     count["seq"] += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-        for done in _windows(batches, tokenizer, end_id):
+        for done in _windows(batches, tokenizer, end_id, added):
             for size, window in done:
                 group = ready.setdefault(size, [])
                 group.append([Piece(p.length, p.doc, p.start, p.total, p.ids.copy()) for p in window])

@@ -51,13 +51,13 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 
 @register("op2_packing")
 def op2(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(documents(spark, d), tokenizer_path(), end_id=1)
+    return packing.pack(documents(spark, d), tokenizer_path(), end_id=1, added=True)
 
 
 @register("op7_token_store")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     path = runtime.scratch(spark, "token-store")
-    token_store.write(documents(spark, d), path, tokenizer_path(), end_id=2)
+    token_store.write(documents(spark, d), path, tokenizer_path(), end_id=2, added=True)
     return token_store.Store(spark, path).documents()
 
 

@@ -58,7 +58,7 @@ def _train(sample: list[bytes]) -> bytes:
         return b"".join(sample)[:DICT_BYTES]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_type: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_type: str, added: bool = False) -> bytes:
     """Dictionary from the serialized ids of at most SAMPLE_DOCS documents (smallest hashed doc_ids)."""
     chosen = [r[0] for r in docs.select("doc_id").filter("doc_id is not null")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
@@ -66,7 +66,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_type: str)
         return b""
 
     def ids(batches: Iterator[pa.RecordBatch]):
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         for b in blocks(batches):
             flat, off = encoder.encode(string_column(b, "text"), end_id)
             raw = [flat[off[i]:off[i + 1]][:SAMPLE_IDS].astype(id_type).tobytes() for i in range(len(off) - 1)]
@@ -76,11 +76,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_type: str)
     return _train([bytes(r.raw) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.raw)))])
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_type: str = "<u2") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_type: str = "<u2", added: bool = False) -> None:
     """Write the token-id store of ``docs`` to ``path``; ``id_type`` must hold the vocabulary."""
     spark = docs.sparkSession
     docs = doc_text(docs)
-    dictionary = train_dictionary(docs, tokenizer, end_id, id_type)
+    dictionary = train_dictionary(docs, tokenizer, end_id, id_type, added)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, dictionary, int(id_type[-1]))], "dict_sha256 string, dictionary binary, id_bytes int") \
         .coalesce(1).write.parquet(f"{path}/dictionary")
@@ -91,7 +91,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_type:
     def compress(batches: Iterator[pa.RecordBatch]):
         import zstandard
         frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         for b in blocks(batches):
             flat, off = encoder.encode(string_column(b, "text"), end_id)
             flat = flat.astype(id_type)

@@ -4,14 +4,16 @@ A text is cut at places where the pre-tokenizer always starts a new piece (a
 white-space character between visible ones, ASCII punctuation after a Latin
 letter or digit), so pieces can be encoded alone; each distinct piece is
 encoded once per worker and the ids are laid out with NumPy.  The ids are those
-of ``Tokenizer.encode(text, add_special_tokens=False)`` with special-token
-strings treated as ordinary text.
+of ``Tokenizer.encode(text, add_special_tokens=False)``.  With ``added`` texts
+are first split at the file's added tokens, as the library does; without it
+special-token strings are ordinary text (``encode_special_tokens``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from metroscope.llm.runtime import raw_text
@@ -62,9 +64,16 @@ def cut_points(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes blocks of texts; keeps the pieces it has seen in sorted arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        tokens = whole.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t.content: i for i, t in tokens.items()}
+        # the longest token that starts at a place is taken
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if tokens else None
         self.letters = _byte_letters()
         self._forget()
 
@@ -101,6 +110,27 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): each text's ids and then ``end_id``."""
+        marked = set(self._marked(texts))
+        if not marked:
+            return self._parts(texts, end_id)
+        # a marked text is encoded in parts; each but its last ends with the id of the added token after it
+        parts, last, ends = [], [], []
+        for i, t in enumerate(texts.to_pylist()):
+            found = list(self.marks.finditer(t)) if i in marked else []
+            parts += [t[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(t)])]
+            ends += [*(self.added[m.group()] for m in found), end_id]
+            last.append(len(parts))
+        ids, off = self._parts(pa.array(parts, pa.large_string()), end_id)
+        ids[off[1:] - 1] = ends
+        return ids, off[[0, *last]]
+
+    def _marked(self, texts: pa.StringArray) -> list[int]:
+        """Numbers of the texts that hold an added token."""
+        holds = [pc.match_substring(texts, t) for t in self.added]
+        return sorted({i for h in holds for i in np.flatnonzero(h.to_numpy(zero_copy_only=False)).tolist()})
+
+    def _parts(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without added tokens."""
         buf, off = raw_text(texts)
         n = len(off) - 1
         start = cut_points(buf, off)

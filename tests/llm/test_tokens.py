@@ -114,3 +114,16 @@ def test_empty_table(spark):
     path = runtime.scratch(spark, "t-store")
     token_store.write(empty, path, tokenizer_path())
     assert token_store.Store(spark, path).documents().count() == 0
+
+
+def test_added_tokens_are_the_unaltered_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from metroscope.llm import queries
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "none", "", "<|endoftext|><|endoftext|>", "x  <|endoftext|>", "<|endoftext|>'s <|endoftext", "|>"]
+    ids, off = Encoder(tokenizer_path(), added=True).encode(pa.array(texts, pa.string()), 7)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [_ids(plain, t, 7).tolist() for t in texts]
+    H.awkward(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: zlib.crc32(_ids(plain, t, 2).tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in queries.op7(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.doc_tokens for r in queries.op2(spark, str(tmp_path)).collect()} == {i: len(_ids(plain, t, 1)) for i, t in enumerate(texts)}
