@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity
+from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,27 @@ FROM d LEFT JOIN kept USING (doc_id)""")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     found = substring_dedup.remove_repeats(documents(spark, d))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op13_vector_codes", """
+WITH kept AS (
+       SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r,
+              list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w
+       FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     cut AS (SELECT r, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, range(16) AS t(p)),
+     first AS (SELECT p, r - 1 AS e, x AS c FROM cut WHERE r <= 64),
+     near0 AS (SELECT r, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) % 64 AS e FROM cut JOIN first USING (p) GROUP BY r, p),
+     sums0 AS (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM near0 JOIN cut USING (r, p), range(1, 1 + (SELECT max(w) FROM kept)) AS t(i) GROUP BY p, e, i),
+     mean0 AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums0 GROUP BY p, e),
+     books1 AS (SELECT p, e, coalesce(mean0.c, first.c) AS c FROM first LEFT JOIN mean0 USING (p, e)),
+     near1 AS (SELECT r, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) % 64 AS e FROM cut JOIN books1 USING (p) GROUP BY r, p),
+     sums1 AS (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM near1 JOIN cut USING (r, p), range(1, 1 + (SELECT max(w) FROM kept)) AS t(i) GROUP BY p, e, i),
+     mean1 AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums1 GROUP BY p, e),
+     books2 AS (SELECT p, e, coalesce(mean1.c, books1.c) AS c FROM books1 LEFT JOIN mean1 USING (p, e)),
+     near2 AS (SELECT r, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM cut JOIN books2 USING (p) GROUP BY r, p),
+     coded AS (SELECT r, string_agg(lpad(lower(to_hex(CAST(m % 64 AS BIGINT))), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM near2 GROUP BY r),
+     books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), books""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.report(vector_codes.VectorCodes(spark.read.parquet(f"{d}/embeddings.parquet")))
