@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metroscope.llm import decontaminate, exact_dedup, license_scan, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity, vector_codes
+from metroscope.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +121,22 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op12_line_dedup", r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     line AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+     keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+     often AS (SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+              FROM keyed LEFT JOIN often USING (k) WHERE keep IS NULL OR keep = doc_id GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    found = line_dedup.drop_lines(docs, line_dedup.LineIndex(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register("op13_vector_codes", """
 WITH kept AS (
        SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r,

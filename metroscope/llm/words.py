@@ -32,12 +32,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``buf[start:end]`` for every span."""
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of ``buf[start:end]`` for every span; another ``seed`` gives another hash."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
     length = (end - start).astype(np.int64)
-    out = mix(length.astype(np.uint64))
+    out = mix(length.astype(np.uint64), seed)
     live, at, left = np.arange(len(start)), start.astype(np.int64), length
     while len(live):
         keep = left > 0
