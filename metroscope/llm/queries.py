@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metroscope.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity, vector_codes
+from metroscope.llm import decontaminate, divergence, exact_dedup, license_scan, line_dedup, lm_bloom, near_dedup, packing, quality, runtime, substring_dedup, token_store, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +121,30 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op11_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+     tok AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+     grp AS (SELECT DISTINCT lang, source FROM d),
+     cnt AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+     lt AS (SELECT lang, CAST(sum(n) AS BIGINT) AS total, count(*) AS v FROM kept GROUP BY lang),
+     gt AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY lang, source),
+     p AS (SELECT gt.lang, gt.source, kept.term, coalesce(cnt.n, 0) AS n, 1 + 1000000000 * (coalesce(cnt.n, 0) + 1) // (gt.total + lt.v) AS p,
+                  1 + 1000000000 * (kept.n + 1) // (lt.total + lt.v) AS q
+           FROM gt JOIN lt USING (lang) JOIN kept USING (lang) LEFT JOIN cnt ON cnt.lang = gt.lang AND cnt.source = gt.source AND cnt.term = kept.term),
+     sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+               FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(documents(spark, d))
+
+
 @register("op12_line_dedup", r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
      line AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),

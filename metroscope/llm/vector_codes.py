@@ -295,7 +295,7 @@ class VectorCodes:
         rows = usable(table)
         # a bounded number of rows: the first codebooks
         first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).collect()
-        values = np.array([np.floor(np.array(r["vector"], np.float64) * SCALE) for r in first]).reshape(len(first), -1)
+        values = np.array([np.floor(np.array(r["vector"], np.float64) * SCALE) for r in first]).reshape(len(first), len(first[0]["vector"]) if first else 0)
         self.codebooks = _parts(_checked(values, parts, entries), parts)
         self.blocks = tree_blocks(rows, parts, entries)
         for _ in range(rounds if len(first) else 0):

@@ -1,8 +1,8 @@
 """Words of many texts at once, as NumPy arrays over the Arrow byte buffer.
 
-Two word classes are used: runs of bytes other than ASCII white space, and
-runs of digits, letters and non-ASCII characters after lower-casing A-Z.  Both
-are decided byte by byte in UTF-8, so a whole block is split without a Python
+Three word classes are used: runs of bytes other than ASCII white space, and,
+after lower-casing A-Z, runs of letters and non-ASCII characters with or
+without digits.  All are decided byte by byte in UTF-8, so a whole block is split without a Python
 loop.  A word is known by a 64-bit hash that consumes its bytes eight at a
 time; words of up to eight bytes never collide.
 """
@@ -19,8 +19,11 @@ from metroscope.llm.runtime import raw_text
 _byte = np.arange(256)
 NOT_SPACE = ~((_byte == 0x20) | ((_byte >= 0x09) & (_byte <= 0x0D)))
 ALNUM = ((_byte >= 0x30) & (_byte <= 0x39)) | ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
+LETTERS = ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
 LOWER = np.where((_byte >= 0x41) & (_byte <= 0x5A), _byte + 32, _byte).astype(np.uint8)
 
+_CLASSES = {"space": NOT_SPACE, "alnum": ALNUM, "letters": LETTERS}
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -89,11 +92,11 @@ def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def split(texts: pa.StringArray, kind: str) -> Words:
-    """Words of each text; ``kind`` is "space" (white-space words, unchanged) or "alnum" (lower-cased)."""
+    """Words of each text; ``kind`` is "space" (white-space words, unchanged), "alnum" or "letters" (both lower-cased)."""
     buf, off = raw_text(texts)
-    if kind == "alnum":
+    if kind != "space":
         buf = LOWER[buf]
-    start, end = _runs((ALNUM if kind == "alnum" else NOT_SPACE)[buf], off)
+    start, end = _runs(_CLASSES[kind][buf], off)
     return Words(buf, start, end, np.searchsorted(start, off))
 
 
