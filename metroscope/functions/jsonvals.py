@@ -32,8 +32,8 @@ def vtype(v) -> Column:
 
 # Texts of a VARIANT that may come from a number or a literal instead of a string.
 _BARE = r"^(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false)$"
-# A chain of opening wrappers (lists, value objects) and the string they hold.
-_CHAIN = r'^(?:\[|\{"value":)+("(?:[^"\\]|\\.)*")'
+# A JSON string, and every character that is not a bracket.
+_QUOTED, _NO_BRACKET = r'"(?:[^"\\]|\\.)*"', r"[^\[\]{}]"
 
 
 def _text(s: Column) -> Column:
@@ -42,43 +42,57 @@ def _text(s: Column) -> Column:
     return F.when(t != "", t)
 
 
-def _nested(v, depth: int) -> Column:
-    """``json_value`` by type tests, ``depth`` levels deep."""
-    kind = vtype(v)
-    as_text = F.when(kind == "STRING", _text(vget(v, "$", "string")))
-    if depth <= 0:
-        return as_text
-    elems = F.transform(vget(v, "$", "array<variant>"), lambda e: _nested(e, depth - 1))
-    return (F.when(kind == "OBJECT", _nested(vget(v, "$.value"), depth - 1))
-            .when(kind == "ARRAY", F.get(F.filter(elems, lambda e: e.isNotNull()), 0))
-            .otherwise(as_text))
+def _depth(s) -> Column:
+    """Deepest nesting of lists and objects in a JSON text (brackets inside its strings do not count)."""
+    marks = F.split(F.regexp_replace(F.regexp_replace(s, _QUOTED, ""), _NO_BRACKET, ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, mark):
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, zero, step, lambda acc: acc["most"])
+
+
+def _opened(node) -> Column:
+    """What a node stands for, in document order: a list's elements, an object's ``value``, itself."""
+    kind = vtype(node)
+    return (F.when(kind == "ARRAY", vget(node, "$", "array<variant>"))
+            .when(kind == "OBJECT", F.array(vget(node, "$.value")))
+            .otherwise(F.array(node)))
+
+
+def _first_leaf(v, s) -> Column:
+    """``json_value`` at any depth: open all nodes level by level, as often as the text nests, and take the first text."""
+    leaves = F.aggregate(F.sequence(F.lit(1), _depth(s)), F.array(v), lambda nodes, _: F.flatten(F.transform(nodes, _opened)))
+    texts = F.transform(leaves, lambda x: F.when(vtype(x) == "STRING", _text(vget(x, "$", "string"))))
+    return F.get(F.filter(texts, lambda t: t.isNotNull()), 0)
 
 
-def json_value(v, depth: int = 2) -> Column:
+def json_value(v) -> Column:
     """Polymorphic feed value as stripped text.
 
     A string gives itself without white space at its ends (blank -> NULL); an
     object gives its ``value`` member, read the same way; an array gives the
-    first element that yields a value; anything else gives NULL.
+    first element that yields a value; anything else gives NULL.  Nesting is
+    followed to any depth.
 
-    Plain strings and value objects holding a string are read directly; only
-    lists and ambiguous texts (numbers, literals) take the type tests.
-    Nesting is followed ``depth`` levels; deeper, a chain of lists and value
-    objects whose first leaf is a string is read at any depth, other shapes
-    give NULL (a visit that loses a mandatory member so is rejected).
+    Plain strings, value objects holding a string and lists that begin with
+    either are read directly; only other shapes and ambiguous texts (numbers,
+    literals) are opened level by level.
 
     Pass a column that already holds the member's VARIANT (not an expression
     re-reading the document): the member is referenced several times.
     """
     v = _c(v)
     s, inner = vget(v, "$", "string"), vget(v, "$.value", "string")
-    opens = lambda t: t.startswith("{") | t.startswith("[")
-    chain = F.regexp_extract(s, _CHAIN, 1)
-    deep = F.when(chain != "", _text(vget(F.try_parse_json(chain), "$", "string")))
+    first = F.coalesce(vget(v, "$[0].value", "string"), vget(v, "$[0]", "string"))
+    plain = lambda t: ~t.startswith("{") & ~t.startswith("[") & ~t.rlike(_BARE)
     return (F.when(s.isNull(), F.lit(None).cast("string"))
-            .when(~opens(s) & ~s.rlike(_BARE), _text(s))
-            .when(s.startswith("{") & inner.isNotNull() & ~opens(inner) & ~inner.rlike(_BARE), _text(inner))
-            .otherwise(F.coalesce(_nested(v, depth), deep)))
+            .when(plain(s), _text(s))
+            .when(s.startswith("{") & inner.isNotNull() & plain(inner), _text(inner))
+            .when(s.startswith("[") & first.isNotNull() & plain(first) & (strip(first) != ""), _text(first))
+            .otherwise(_first_leaf(v, s)))
 
 
 def parse_iso_ts(s) -> Column:

@@ -47,6 +47,7 @@ DIGEST_BITS = 64
 HELD_ROWS = 1 << 20         # distinct (group, digest) rows a task holds before it writes them
 MATRIX_CELLS = 1 << 21      # terms x sources of a block
 SOURCES_AT_ONCE = 256       # rows of the pair matrix computed at a time
+TOP_PARTS = 32              # parts of a group ranked apart before the group
 MOST_SPLIT = 1 << 20        # colliding digests broadcast at most; 64 bits give fewer than one in a billion terms
 PARTIAL = "kind string, lang int, grp int, digest long, name string, n long, df long"
 
@@ -316,9 +317,11 @@ def term_values(terms: SourceTerms, groups: DataFrame, top: int = TOP) -> DataFr
     p, q = share(F.col("n"), F.col("total"), F.col("distinct")), share(F.col("lang_n"), F.col("lang_total"), F.col("distinct"))
     above = each.select("lang", "source", "grp", "digest", "name", p.alias("p"), q.alias("q")).filter("p > q")
     valued = above.select("lang", "source", "grp", "digest", "name", F.expr("(p - q) * (p - q) div q").alias("value"))
-    # a limit on the rank is applied in every task before the shuffle
-    first = valued.withColumn("place", F.rank().over(Window.partitionBy("grp").orderBy(F.desc("value")))).filter(F.col("place") <= top).drop("place")
-    first = stored(first, "top-digests")
+    # a limit on the rank is applied in every task before the shuffle; parts of a group first, so that a large one is not ranked by one task
+    first = valued.withColumn("salt", F.pmod(F.xxhash64("digest", "name"), F.lit(TOP_PARTS)))
+    for keys in (["grp", "salt"], ["grp"]):
+        first = first.withColumn("place", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("value")))).filter(F.col("place") <= top).drop("place")
+    first = stored(first.drop("salt"), "top-digests")
     plain = first.filter(F.col("name").isNull()).join(terms.strings, "digest").withColumn("item", F.col("term"))
     named = first.filter(F.col("name").isNotNull()).withColumn("item", F.col("name"))
     return plain.select("lang", "source", "grp", "item", "value").unionByName(named.select("lang", "source", "grp", "item", "value"))

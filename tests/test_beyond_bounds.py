@@ -1,6 +1,7 @@
 """Inputs beyond former bounds: long journey specs, long replies, deep JSON, oversized numbers; archive round trip."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,50 @@ def test_json_values_of_any_shape(spark):
     assert [r.t for r in sorted(df.collect(), key=lambda r: r.i)] == [want for _, want in cases]
 
 
+def _python_value(x):
+    if isinstance(x, str):
+        return x.strip() or None
+    if isinstance(x, dict):
+        return _python_value(x.get("value"))
+    if isinstance(x, list):
+        return next((t for t in map(_python_value, x) if t), None)
+    return None
+
+
+def _values(spark, cases):
+    df = spark.createDataFrame([(i, json.dumps({"m": c})) for i, c in enumerate(cases)], "i int, raw string")
+    df = df.select("i", F.try_variant_get(F.try_parse_json("raw"), "$.m", "variant").alias("v")).select("i", jv.json_value("v").alias("t"))
+    return [r.t for r in sorted(df.collect(), key=lambda r: r.i)]
+
+
+def test_json_values_at_any_depth_equal_a_recursion(spark):
+    rnd = random.Random(4)
+
+    def shape(depth):
+        kind = rnd.random()
+        if depth == 0 or kind < 0.25:
+            return rnd.choice(["", " ", "x", " y ", "7", "true", "a[b", 'q"]}{', None, 5, True, 1.5])
+        if kind < 0.65:
+            return [shape(depth - 1) for _ in range(rnd.randint(0, 4))]
+        return {rnd.choice(["value", "value", "other"]): shape(depth - 1), **({"lang": shape(depth - 1)} if kind > 0.85 else {})}
+    cases = [[[[], ["x"]]], [{"value": [[""], ["x"]]}], {"value": [[], {"value": ["x"]}]}, [[["", [[" ", {"value": [[{"value": ["deep"]}]]}]]], "late"]]]
+    cases += [shape(d) for d in (1, 2, 3, 4, 5, 6, 7) for _ in range(40)]
+    tower = "t"
+    for i in range(60):
+        tower = ["", [], tower] if i % 2 else {"value": tower, "other": ["no"]}
+    got = _values(spark, [*cases, tower])
+    assert got == [_python_value(c) for c in cases] + ["t"]
+
+
+def test_a_deeply_nested_mandatory_member_keeps_its_visit(spark):
+    doc = json.loads(dumps(STOP_MONITORING))
+    visits = doc["Siri"]["ServiceDelivery"]["StopMonitoringDelivery"][0]["MonitoredStopVisit"]
+    want = stop_visits.scan_stop_visits(spark.createDataFrame([("f", dumps(doc))], "source_file string, raw string")).count()
+    visits[0]["MonitoringRef"] = [[], [[""], [{"value": [[], ["STIF:StopPoint:Q:1:"]]}]]]
+    got = stop_visits.scan_stop_visits(spark.createDataFrame([("f", dumps(doc))], "source_file string, raw string"))
+    assert got.count() == want and got.filter("stop_id = 'STIF:StopPoint:Q:1:'").count() == 1
+
+
 def test_oversized_values_are_null_not_failures(spark):
     df = spark.createDataFrame([(json.dumps({"a": "9" * 25, "b": 3_000_000_000, "c": " 12 "}),)], "raw string")
     v = lambda k: F.try_variant_get(F.try_parse_json("raw"), f"$.{k}", "variant")
