@@ -87,11 +87,12 @@ def json_value(v) -> Column:
     v = _c(v)
     s, inner = vget(v, "$", "string"), vget(v, "$.value", "string")
     first = F.coalesce(vget(v, "$[0].value", "string"), vget(v, "$[0]", "string"))
-    plain = lambda t: ~t.startswith("{") & ~t.startswith("[") & ~t.rlike(_BARE)
-    return (F.when(s.isNull(), F.lit(None).cast("string"))
+    plain = lambda t: t.isNotNull() & ~t.startswith("{") & ~t.startswith("[") & ~t.rlike(_BARE)
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(plain(inner), _text(inner))
+            .when(plain(first) & (strip(first) != ""), _text(first))
+            .when(s.isNull(), F.lit(None).cast("string"))
             .when(plain(s), _text(s))
-            .when(s.startswith("{") & inner.isNotNull() & plain(inner), _text(inner))
-            .when(s.startswith("[") & first.isNotNull() & plain(first) & (strip(first) != ""), _text(first))
             .otherwise(_first_leaf(v, s)))
 
 
@@ -101,9 +102,10 @@ def parse_iso_ts(s) -> Column:
     Minute-precision times get ``:00`` seconds first (the engine's cast needs
     seconds when an offset follows); unparseable text -> NULL.
     """
-    t = F.replace(strip(s), F.lit("Z"), F.lit("+00:00"))
-    t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+-]\d{2}:?\d{2})?$", "$1:00$2")
-    return F.when(t != "", t.try_cast("timestamp"))
+    raw = strip(s)
+    t = F.regexp_replace(F.replace(raw, F.lit("Z"), F.lit("+00:00")), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+-]\d{2}:?\d{2})?$", "$1:00$2")
+    # a text with seconds is cast as it stands
+    return F.when(raw.substr(17, 1) == ":", raw.try_cast("timestamp")).when(t != "", t.try_cast("timestamp"))
 
 
 def json_num(v, member: str = "v") -> Column:

@@ -4,11 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metroscope.operators.common import BARRIER_COL, barrier_holds, spread
 
 from metroscope.functions import mobility as mb
-from metroscope.functions.jsonvals import json_value, parse_iso_ts, vget
+from metroscope.functions.jsonvals import json_value, parse_iso_ts
+
+
+# Members of a visit -> names of the scan's columns.
+VISIT = {"m_stop": "MonitoringRef", "m_recorded": "RecordedAtTime"}
+JOURNEY = {"m_line": "LineRef", "m_vj": "FramedVehicleJourneyRef", "m_pub": "PublishedLineName", "m_note": "JourneyNote", "m_op": "OperatorRef",
+           "m_dir": "DirectionName", "m_dest": "DestinationName", "m_mode": "VehicleMode"}
+CALL = {"m_disp": "DestinationDisplay", "m_aa": "AimedArrivalTime", "m_ea": "ExpectedArrivalTime", "m_ad": "AimedDepartureTime",
+        "m_ed": "ExpectedDepartureTime", "m_as": "ArrivalStatus", "m_ds": "DepartureStatus"}
+DATED = "DatedVehicleJourneyRef"
+
+
+def _members(journey_ref: str) -> dict[str, str]:
+    """Column name -> path inside a visit."""
+    out = VISIT | {k: f"MonitoredVehicleJourney.{m}" for k, m in JOURNEY.items()} | {k: f"MonitoredVehicleJourney.MonitoredCall.{m}" for k, m in CALL.items()}
+    return out | ({"m_vj": f"{out['m_vj']}.{DATED}"} if journey_ref == "dated" else {})
+
+
+def _schema(journey_ref: str) -> T.StructType:
+    """The response with typed levels; only the polymorphic members stay VARIANT, everything else is skipped by the parser."""
+    def struct(members, **typed):
+        return T.StructType([T.StructField(m, T.VariantType()) for m in members if m not in typed] + [T.StructField(m, t) for m, t in typed.items()])
+    framed = {JOURNEY["m_vj"]: struct([DATED])} if journey_ref == "dated" else {}
+    visit = struct(VISIT.values(), MonitoredVehicleJourney=struct(JOURNEY.values(), MonitoredCall=struct(CALL.values()), **framed))
+    delivery = struct([], MonitoredStopVisit=T.ArrayType(visit))
+    return struct([], Siri=struct([], ServiceDelivery=struct([], ResponseTimestamp=T.StringType(), StopMonitoringDelivery=T.ArrayType(delivery))))
 
 
 def scan_stop_visits(bronze: DataFrame, raw: str = "raw", journey_ref: str = "reference",
@@ -23,38 +49,19 @@ def scan_stop_visits(bronze: DataFrame, raw: str = "raw", journey_ref: str = "re
     Output keeps ``keep`` columns plus ``delivery_pos`` / ``visit_pos`` for
     stable input order.
     """
-    # Stage the extraction: the document is parsed once, then each member is
-    # pulled into its own column once (the optimizer keeps a projection that
-    # is referenced several times instead of re-inlining it).
+    # The document is parsed once, with its levels typed.
     bronze = spread(bronze, barrier=True)
     keep = (*keep, *([BARRIER_COL] if BARRIER_COL in bronze.columns else []))
-    doc = bronze.select(*keep, F.try_parse_json(F.col(raw)).alias("v"))
-    sd = doc.select(*keep, vget("v", "$.Siri.ServiceDelivery").alias("sd"))
-    base = sd.select(*keep, F.coalesce(parse_iso_ts(vget("sd", "$.ResponseTimestamp", "string")),
-                                       F.current_timestamp()).alias("resp_ts"),
-                     F.posexplode(vget("sd", "$.StopMonitoringDelivery", "array<variant>")).alias("delivery_pos", "d"))
-    vis = base.select(*keep, "resp_ts", "delivery_pos",
-                      F.posexplode(vget("d", "$.MonitoredStopVisit", "array<variant>")).alias("visit_pos", "vis"))
+    doc = bronze.select(*keep, F.from_json(F.col(raw), _schema(journey_ref)).alias("j"))
+    sd = doc.select(*keep, F.col("j.Siri.ServiceDelivery").alias("sd"))
+    base = sd.select(*keep, F.coalesce(parse_iso_ts("sd.ResponseTimestamp"), F.current_timestamp()).alias("resp_ts"),
+                     F.posexplode("sd.StopMonitoringDelivery").alias("delivery_pos", "d"))
+    vis = base.select(*keep, "resp_ts", "delivery_pos", F.posexplode("d.MonitoredStopVisit").alias("visit_pos", "vis"))
     ctx = [*keep, "resp_ts", "delivery_pos", "visit_pos"]
-    vj_path = ("$.MonitoredVehicleJourney.FramedVehicleJourneyRef.DatedVehicleJourneyRef" if journey_ref == "dated"
-               else "$.MonitoredVehicleJourney.FramedVehicleJourneyRef")
-    members = {
-        "m_stop": "$.MonitoringRef", "m_recorded": "$.RecordedAtTime",
-        "m_line": "$.MonitoredVehicleJourney.LineRef", "m_vj": vj_path,
-        "m_pub": "$.MonitoredVehicleJourney.PublishedLineName", "m_note": "$.MonitoredVehicleJourney.JourneyNote",
-        "m_op": "$.MonitoredVehicleJourney.OperatorRef", "m_dir": "$.MonitoredVehicleJourney.DirectionName",
-        "m_dest": "$.MonitoredVehicleJourney.DestinationName",
-        "m_disp": "$.MonitoredVehicleJourney.MonitoredCall.DestinationDisplay",
-        "m_mode": "$.MonitoredVehicleJourney.VehicleMode",
-        "m_aa": "$.MonitoredVehicleJourney.MonitoredCall.AimedArrivalTime",
-        "m_ea": "$.MonitoredVehicleJourney.MonitoredCall.ExpectedArrivalTime",
-        "m_ad": "$.MonitoredVehicleJourney.MonitoredCall.AimedDepartureTime",
-        "m_ed": "$.MonitoredVehicleJourney.MonitoredCall.ExpectedDepartureTime",
-        "m_as": "$.MonitoredVehicleJourney.MonitoredCall.ArrivalStatus",
-        "m_ds": "$.MonitoredVehicleJourney.MonitoredCall.DepartureStatus",
-    }
-    mem = vis.select(*ctx, *[vget("vis", path).alias(name) for name, path in members.items()])
-    txt = mem.select(*ctx, *[json_value(name).alias(name[2:]) for name in members])
+    # one reader for all members: a short plan, whatever their number
+    members = _members(journey_ref)
+    read = vis.select(*ctx, F.transform(F.array(*[F.col(f"vis.{path}") for path in members.values()]), json_value).alias("texts"))
+    txt = read.select(*ctx, *[F.col("texts")[i].alias(name[2:]) for i, name in enumerate(members)])
     op = mb.operator_name(F.col("op"))
     out = txt.select(
         *ctx,
