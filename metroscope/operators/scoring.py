@@ -15,6 +15,7 @@ from metroscope.functions import formats
 from metroscope.functions.scores import (
     DEFAULT_WEIGHTS, aggregate_scores, grade, pollution_score, traffic_score, weather_score,
 )
+from metroscope.operators.common import materialize
 from metroscope.operators.snapshots import as_of_value, latest_air, latest_weather, trailing
 from metroscope.operators.spatial import nearest
 
@@ -64,14 +65,6 @@ def _empty_flag(df: DataFrame) -> Column:
     return df.select((F.count(F.lit(1)) == 0).alias("e")).scalar()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a small derived table (a snapshot: one row per sensor) once to
-    the shared checkpoint folder; later reads skip its lineage."""
-    from metroscope.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def score_journeys(journeys: DataFrame, waypoints: DataFrame, air: DataFrame, weather: DataFrame,
                    visits: DataFrame, as_of=None, weights: dict | None = None,
                    strategy: str = "auto", exposures: DataFrame | None = None) -> DataFrame:

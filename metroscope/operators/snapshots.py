@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metroscope.operators.common import materialize
+
 
 def as_of_value(as_of=None) -> Column:
     """``as_of`` as a TIMESTAMP column: a literal, a column, or now."""
@@ -30,16 +34,45 @@ def trailing(df: DataFrame, ts: str, as_of=None, hours: float | None = None, day
     return df.filter(F.col(ts) >= since(as_of, hours, days))
 
 
+MAX_PEAKS = 1_000_000  # keys (one time each) broadcast to find the latest rows
+
+
+def peaks(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Latest time of every key: a hash aggregate of one fixed-width buffer, no sort."""
+    return df.groupBy(*keys).agg(F.max(ts).alias("__peak"))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str] | None = None,
-                   tie_cols: Sequence[str] = ()) -> DataFrame:
+                   tie_cols: Sequence[str] = (), max_keys: int = MAX_PEAKS) -> DataFrame:
     """Latest row per key (``DISTINCT ON (key) ... ORDER BY ts DESC``).
 
-    Expressed as ``max(struct(ts, ties..., payload...))`` grouped by key: the
-    aggregate is partial (map-side), so even a key holding a third of all
+    The latest time of every key is found by a hash aggregate and written
+    once; the rows at that time are picked by a broadcast join on (key, time)
+    while the input is scanned, so rows neither move nor get sorted, and only
+    the few rows left are compared for ties.  Ties go to the largest
+    (``tie_cols``, then the other columns in order).  The times are broadcast
+    only up to ``max_keys`` keys (counted); with more, rows are reduced by key
+    as they are (``reduce_latest``).  A key without any time keeps a row.
+    """
+    cols = list(cols) if cols is not None else list(df.columns)
+    if df.isStreaming:
+        return reduce_latest(df, keys, ts, cols, tie_cols)
+    top = materialize(peaks(df, keys, ts))  # one row per key
+    if top.limit(max_keys + 1).count() > max_keys:
+        return reduce_latest(df, keys, ts, cols, tie_cols)
+    named = top.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__peak")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col(ts).eqNullSafe(F.col("__peak")))
+    rows = df.join(F.broadcast(named), same, "left_semi")
+    return reduce_latest(rows, keys, ts, cols, tie_cols)
+
+
+def reduce_latest(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], tie_cols: Sequence[str] = ()) -> DataFrame:
+    """Latest row per key as ``max(struct(ts, ties..., payload...))``.
+
+    The aggregate is partial (map-side), so even a key holding a third of all
     rows is reduced in every task before the shuffle, and the struct order
-    makes the survivor deterministic on ties.
+    makes the survivor deterministic on ties; structs are compared in sorted runs.
     """
-    cols = list(cols) if cols is not None else [c for c in df.columns]
     payload = [c for c in cols if c not in keys and c != ts and c not in tie_cols]
     packed = F.struct(*[F.col(ts).alias("__ts")], *[F.col(c).alias(f"__t{i}") for i, c in enumerate(tie_cols)],
                       *[F.col(c) for c in payload])

@@ -2,19 +2,18 @@
 
 ``nearest`` keeps every point (left-join semantics) and attaches the closest
 sensor; ties on distance go to the smallest sensor id, which is the first
-candidate of the reference's id-ordered snapshot.  Two exact strategies:
+candidate of the reference's id-ordered snapshot.  Three exact strategies:
 
 * ``scan``  - few sensors (count checked against ``SCAN_MAX_SENSORS``): the
   sensor list is a scalar subquery (evaluated once, a few KB) and each point
   takes ``array_min`` over the distances; no join, no shuffle.
-* ``cells`` - many sensors, index size checked: per grid level, each
-  sensor is copied into the 3x3 neighbourhood of its cell and the copies
-  are grouped into one candidate array per cell.  Points equi-join the
-  (broadcast) index on their own cell and take ``array_min`` over the
-  candidates; a candidate provably closer than anything outside the 3x3
-  block settles the point.  Coarser levels (cells eight times as large, up to one
-  cell spanning the globe) are further LEFT joins that only match points
-  still unsettled.  One plan: no aggregation over points, points never move.
+* ``cells`` - up to ``INDEX_MAX_SENSORS`` locations: cells are cut into 4 x 4
+  until at most ``LEAF_CANDIDATES`` sensors can be the nearest one
+  of some point in the cell, however dense or empty the region around it; the
+  leaves cover the globe and each lists those sensors.  The leaf table is built
+  once, stored, its bytes checked, and broadcast once; a point belongs to
+  exactly one leaf, found by an equi-join on (level, cell), and compares the
+  leaf's candidates.  Points never move and are never aggregated.
 * ``grid``  - any number of sensors: points and sensors get cells of a
   lat/lon grid; a point is equi-joined with the sensors of its 3x3 cell
   block and keeps the best candidate when it is provably closer than
@@ -29,19 +28,28 @@ candidate of the reference's id-ordered snapshot.  Two exact strategies:
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from metroscope.functions.geo import EARTH_RADIUS_KM, haversine_km
-from metroscope.operators.common import spread
+from metroscope.operators.common import materialize, spread
 from metroscope.session import ensure_checkpoint_dir
 
+SCAN_FORCED_MAX_SENSORS = 10_000  # the same when the caller asks for it
 SCAN_MAX_SENSORS = 32            # sensors carried in one scalar list (cost: S distances per point)
 BROADCAST_MAX_CELL_ROWS = 2_000_000  # replicated sensor rows (9 per sensor) allowed in a broadcast
-CELL_INDEX_MAX_ENTRIES = 20_000_000  # sensor entries over all levels of a broadcast cell index
+INDEX_MAX_SENSORS = 300_000      # sensor locations a leaf index is built for
+INDEX_MAX_BYTES = 256 << 20      # of a broadcast leaf index
+LEAF_CANDIDATES = 16             # sensors a leaf may list before it is split
+# size of the first cells, parts a side is cut into (a power of two: sizes are exact), how often (30 degrees / 4**12 is about 20 cm)
+ROOT_DEG, SPLIT, LEAF_LEVELS = 30.0, 4, 12
 MIN_CELL_DEG, GLOBAL_CELL_DEG = 0.01, 120.0
 
 
@@ -83,24 +91,25 @@ def nearest(points: DataFrame, sensors: DataFrame, point_keys: Sequence[str], *,
     """Attach to every point its nearest sensor: ``{prefix}id``,
     ``{prefix}distance_km`` and ``{prefix}<payload col>`` (NULL when there is
     no sensor at all).  ``point_keys`` must identify a point."""
+    if strategy not in ("auto", "scan", "cells", "grid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     points = spread(points)
-    stats = None
-    if strategy in ("auto", "cells"):
-        stats = _sensor_stats(sensors, lat, lon)
-    if strategy == "auto":
-        start, n = stats
-        levels = len(_cell_levels(start_cell_deg or start))
-        strategy = ("scan" if n <= SCAN_MAX_SENSORS
-                    else "cells" if 9 * n * levels <= CELL_INDEX_MAX_ENTRIES else "grid")
-    if strategy == "cells":
-        return _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix,
-                              start_cell_deg or stats[0])
-    if strategy == "scan":
-        return _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix)
-    if strategy == "grid":
-        return _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, point_lon, payload,
-                             prefix, start_cell_deg)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy != "grid":
+        located = _by_location(sensors, sensor_id, lat, lon, payload).orderBy("s.id").limit(INDEX_MAX_SENSORS + 1).toArrow()  # a bounded table
+        if located.num_rows <= SCAN_MAX_SENSORS or (strategy == "scan" and located.num_rows <= SCAN_FORCED_MAX_SENSORS):
+            return _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix)
+        index = LeafIndex.build(points.sparkSession, located) if located.num_rows <= INDEX_MAX_SENSORS else None
+        if index is not None and index.bytes <= INDEX_MAX_BYTES:
+            return index.attach(points, point_lat, point_lon, payload, prefix)
+    return _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, point_lon, payload,
+                         prefix, start_cell_deg)
+
+
+def _by_location(sensors: DataFrame, sensor_id: str, lat: str, lon: str, payload: Sequence[str]) -> DataFrame:
+    """One sensor struct ``s`` per location with finite coordinates: the smallest id wins every tie there."""
+    far = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    return (sensors.filter(~far(lat) & ~far(lon)).select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
+            .groupBy(F.col("s.lat").alias("__la"), F.col("s.lon").alias("__lo")).agg(F.min("s").alias("s")).select("s"))
 
 
 def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix):
@@ -159,55 +168,113 @@ def _sensor_stats(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
     return start, n
 
 
-def _nearest_cells(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix, start):
-    # Sensors at identical coordinates: only the smallest id can ever win (ties
-    # go to the smallest id), so one copy per location is kept.  A location
-    # holding a third of all sensors is reduced map-side (partial aggregate).
-    sens = (sensors.select(_sensor_struct(sensors, sensor_id, lat, lon, payload).alias("s"))
-            .groupBy(F.col("s.lat").alias("__la"), F.col("s.lon").alias("__lo")).agg(F.min("s").alias("s"))
-            .select("s"))
-    plat, plon = F.col(point_lat), F.col(point_lon)
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    levels = _cell_levels(start)
-    # One index for every level: (level, cell) -> candidate array.  Each level's
-    # join broadcasts the rows of its level.
-    lv = F.explode(F.array(*[F.struct(F.lit(i).alias("lv"), F.lit(c).alias("c"),
-                                       F.lit(math.ceil(360.0 / c)).alias("n")) for i, c in enumerate(levels)]))
-    base = sens.select("s", lv.alias("L"))  # one pass over the sensors for every level
-    rep = (base.select("s", F.col("L.lv").alias("lv"), F.col("L.n").alias("n"),
-                       F.floor((F.col("s.lat") + F.lit(90.0)) / F.col("L.c")).alias("cy0"),
-                       F.pmod(F.floor((F.col("s.lon") + F.lit(180.0)) / F.col("L.c")), F.col("L.n")).alias("cx0"))
-           .select("lv", "n", "s", "cy0", "cx0", F.explode(offsets).alias("o"))
-           .select("lv", "s", (F.col("cy0") + F.col("o.dy")).alias("cy"),
-                   F.pmod(F.col("cx0") + F.col("o.dx"), F.col("n")).alias("cx")))
-    # wrapped offsets (fewer than 3 columns of cells) can repeat a sensor in a cell: a set keeps one copy
-    idx = rep.groupBy("lv", "cy", "cx").agg(F.sort_array(F.collect_set("s")).alias("c"))
-    # bounded by the checked entry count (9 x sensors x levels): broadcast
-    idx = F.broadcast(idx)
-    li = idx.select(F.col("lv").alias("__lv"), F.col("cy").alias("__iy"), F.col("cx").alias("__ix"),
-                    F.col("c").alias("__c"))
-    tmp = ["__py", "__px", "__lv", "__iy", "__ix", "__c", "__ds"]
-    out = points
-    for i, c in enumerate(levels):
-        last = i == len(levels) - 1
-        out = out.withColumns({"__py": _cell_y(plat, c), "__px": _cell_x(plon, c)})
-        cond = (F.col("__lv") == F.lit(i)) & (F.col("__py") == F.col("__iy")) & (F.col("__px") == F.col("__ix"))
-        if i > 0:
-            cond = cond & ~F.col("__ok")  # settled points skip the coarser lookups
-        out = out.join(li, cond, "left")
-        # only the distance runs in the lambda; its array is a column of its own
-        out = out.withColumn("__ds", F.transform(F.col("__c"), lambda x: haversine_km(plat, plon, x["lat"], x["lon"])))
-        dmin = F.array_min("__ds")
-        nb = F.when(dmin.isNotNull(), F.struct(dmin.alias("d"), F.element_at(
-            F.col("__c"), F.array_position("__ds", dmin).cast("int")).alias("s")))
-        ok = F.lit(True) if last else F.coalesce(dmin <= _safe_radius_km(plat, plon, c), F.lit(False))
-        if i == 0:
-            out = out.withColumns({"__b": nb, "__ok": ok})
+# ---------------------------------------------------------------------------- leaf index
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere; the squared distance of two is four times the haversine term."""
+    phi, lam = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)], -1)
+
+
+def _cell_size(level: int) -> float:
+    return ROOT_DEG / SPLIT ** level
+
+
+def _cell_ball(level: int, cy: int, cx: int) -> tuple[np.ndarray, float]:
+    """Centre of a cell on the unit sphere, and a radius that covers the cell.
+
+    Along a parallel the distance from the centre grows towards the cell's
+    sides, and along a side it is greatest at one of its ends: the farthest
+    point is a corner.  The small surplus covers rounding of cell numbers.
+    """
+    size = _cell_size(level)
+    south, west = cy * size - 90.0, cx * size - 180.0
+    centre = _unit(np.array(south + size / 2), np.array(west + size / 2))
+    corners = _unit(np.array([south, south, south + size, south + size]), np.array([west, west + size, west, west + size]))
+    return centre, float(np.sqrt(((corners - centre) ** 2).sum(1).max())) + 1e-9
+
+
+def _possible(xyz: np.ndarray, cand: np.ndarray, centre: np.ndarray, radius: float, probes: int = 24) -> np.ndarray:
+    """The sensors of ``cand`` that may be nearest to some point within ``radius`` of ``centre``.
+
+    A sensor is out when another one is nearer everywhere in the ball, that
+    is, when the plane halfway between them misses the ball on its side.  The
+    sensors nearest to the centre are the ones compared with.  The margin
+    keeps sensors whose distances differ by rounding only.
+    """
+    own = xyz[cand]
+    d2 = ((own - centre) ** 2).sum(1)
+    near = np.sqrt(d2) <= np.sqrt(d2.min()) + 2 * radius + 1e-12
+    cand, own, d2 = cand[near], own[near], d2[near]
+    out = np.zeros(len(cand), bool)
+    for j in np.argsort(d2, kind="stable")[:probes].tolist():
+        apart = np.sqrt(((own - own[j]) ** 2).sum(1))
+        out |= d2 - d2[j] > 2 * radius * apart + 1e-14
+    return cand[~out]
+
+
+def leaves(xyz: np.ndarray, cy: int, cx: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(level, cy, cx, candidates) of the leaves that cover one root cell."""
+    open_cells = [(0, cy, cx, np.arange(len(xyz)))]
+    while open_cells:
+        level, cy, cx, cand = open_cells.pop()
+        cand = _possible(xyz, cand, *_cell_ball(level, cy, cx))
+        if len(cand) <= LEAF_CANDIDATES or level == LEAF_LEVELS:
+            yield level, cy, cx, cand
         else:
-            out = out.withColumns({"__b": F.when(F.col("__ok"), F.col("__b")).otherwise(nb),
-                                   "__ok": F.col("__ok") | ok})
-        out = out.drop(*tmp)
-    return _unpack(out.drop("__ok"), "__b", payload, prefix)
+            open_cells += [(level + 1, SPLIT * cy + dy, SPLIT * cx + dx, cand) for dy in range(SPLIT) for dx in range(SPLIT)]
+
+
+class LeafIndex:
+    """Stored leaves of a bounded sensor table: ``__lv``, ``__iy``, ``__ix`` and ``__c``, the candidates sorted by id."""
+
+    def __init__(self, table: DataFrame, levels: list[int], bytes_: int):
+        self.table, self.levels, self.bytes = table, levels, bytes_
+
+    @classmethod
+    def build(cls, spark: SparkSession, located: pa.Table) -> LeafIndex:
+        """``located`` holds a struct ``s`` (id, lat, lon, payload) per location, sorted by id."""
+        sensors = located.column("s").combine_chunks()
+        held = spark.sparkContext.broadcast(sensors)
+        rows, cols = int(180 / ROOT_DEG), int(360 / ROOT_DEG)
+        cell = spark.createDataFrame([], "__lv int, __iy long, __ix long").schema
+        kind = from_arrow_type(sensors.type)
+        schema = T.StructType([*cell.fields, T.StructField("__c", T.ArrayType(kind))])
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            s = held.value
+            xyz = _unit(*(s.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("lat", "lon")))
+            for b in batches:
+                for root in b.column(0).to_pylist():
+                    found = list(leaves(xyz, *divmod(root, cols)))
+                    size = np.cumsum([0, *(len(x[3]) for x in found)])
+                    every = s.take(pa.array(np.concatenate([x[3] for x in found])))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[0] for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2)),
+                         pa.ListArray.from_arrays(pa.array(size, pa.int32()), every)], ["__lv", "__iy", "__ix", "__c"])
+
+        roots = spark.range(0, rows * cols, 1, min(rows * cols, spark.sparkContext.defaultParallelism))
+        table = materialize(roots.mapInArrow(run, schema))
+        levels = table.groupBy("__lv").agg(F.sum(F.size("__c")).alias("n"), F.count(F.lit(1)).alias("cells")).collect()  # a row per level
+        width = max(64, 2 * sensors.nbytes // max(1, len(sensors)))
+        return cls(table, sorted(r["__lv"] for r in levels), sum(r["n"] * width + r["cells"] * 64 for r in levels))
+
+    def attach(self, points: DataFrame, point_lat: str, point_lon: str, payload: Sequence[str], prefix: str) -> DataFrame:
+        plat, plon = F.col(point_lat).cast("double"), F.col(point_lon).cast("double")
+        # a latitude beyond a pole comes down on the other side
+        over = F.abs(plat) > 90.0
+        lat = F.when(over, F.degrees(F.asin(F.sin(F.radians(plat))))).otherwise(plat)
+        lon = F.when(over & (F.cos(F.radians(plat)) < 0), plon + 180.0).otherwise(plon)
+        valid = plat.isNotNull() & plon.isNotNull() & ~F.isnan(plat) & ~F.isnan(plon)
+        keys = ", ".join(f"struct({lv} AS lv, least(floor((__la + 90D) / {size!r}D), {math.ceil(180.0 / size) - 1}L) AS y, "
+                         f"pmod(floor((__lo + 180D) / {size!r}D), {math.ceil(360.0 / size)}L) AS x)" for lv, size in ((lv, _cell_size(lv)) for lv in self.levels))
+        # the leaves cover the globe without overlap: of a point's cells exactly one is a leaf
+        out = points.withColumns({"__ok": F.coalesce(valid, F.lit(False)), "__la": lat, "__lo": lon})
+        out = out.withColumn("__p", F.explode(F.expr(f"IF(__ok, array({keys}), slice(array({keys}), 1, 1))")))
+        same = (F.col("__p.lv") == F.col("__lv")) & (F.col("__p.y") == F.col("__iy")) & (F.col("__p.x") == F.col("__ix")) & F.col("__ok")
+        # at most INDEX_MAX_BYTES, checked by the caller
+        out = out.join(F.broadcast(self.table), same, "left").filter(F.col("__c").isNotNull() | ~F.col("__ok"))
+        out = _with_closest(out, "__c", "__b", plat, plon)
+        return _unpack(out.drop("__ok", "__la", "__lo", "__p", "__lv", "__iy", "__ix", "__c"), "__b", payload, prefix)
 
 
 def _choose_start_cell(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:

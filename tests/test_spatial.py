@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from metroscope.operators import spatial
@@ -82,3 +83,49 @@ def test_nearest_with_hot_location_and_dense_cluster(spark, strategy):
     S = spark.createDataFrame(sens, "sensor_id string, latitude double, longitude double")
     got = {r.pid: r.n_id for r in spatial.nearest(P, S, ["pid"], prefix="n_", strategy=strategy).collect()}
     assert got == _brute(pts, sens)
+
+
+def test_empty_region_beside_a_dense_cluster_keeps_short_lists():
+    rng = np.random.default_rng(2)
+    lat = np.concatenate([48.9 + rng.uniform(0, 1e-3, 3000), rng.uniform(-80, 80, 300)])
+    lon = np.concatenate([2.4 + rng.uniform(0, 1e-3, 3000), rng.uniform(-180, 180, 300)])
+    xyz = spatial._unit(lat, lon)
+    cells = [c for root in range(72) for c in spatial.leaves(xyz, *divmod(root, 12))]
+    sizes = np.array([len(c[3]) for c in cells])
+    assert sizes.max() <= spatial.LEAF_CANDIDATES and sizes.sum() < 40 * len(lat)
+    area = sum(spatial.SPLIT ** (-2.0 * c[0]) for c in cells)
+    assert area == 72  # the leaves cover every root cell exactly
+    lookup = {c[:3]: c[3] for c in cells}
+    for _ in range(4000):
+        a, b = 48.9 + rng.normal(0, 1) * 10.0 ** rng.uniform(-4, 1.5), 2.4 + rng.normal(0, 1) * 10.0 ** rng.uniform(-4, 1.5)
+        a = min(max(a, -89.9), 89.9)
+        hits = [lookup[k] for lv in range(13) if (k := (lv, int((a + 90) // (30 / 4**lv)), int((b + 180) // (30 / 4**lv)) % (12 * 4**lv))) in lookup]
+        assert len(hits) == 1
+        d = ((xyz - spatial._unit(np.array(a), np.array(b))) ** 2).sum(1)
+        assert int(d.argmin()) in hits[0] or d[hits[0]].min() <= d.min() + 1e-15
+
+
+def test_one_broadcast_of_a_checked_index(spark):
+    pts, sens = _data(8, 200, 90)
+    P = spark.createDataFrame(pts, "pid int, latitude double, longitude double")
+    S = spark.createDataFrame(sens, "sensor_id string, latitude double, longitude double")
+    plan = spatial.nearest(P, S, ["pid"], prefix="n_")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "Aggregate" not in plan and "Exchange hash" not in plan
+
+
+def test_an_index_too_large_to_broadcast_gives_way_to_shuffles(spark, monkeypatch):
+    pts, sens = _data(9, 120, 70)
+    P = spark.createDataFrame(pts, "pid int, latitude double, longitude double")
+    S = spark.createDataFrame(sens, "sensor_id string, latitude double, longitude double")
+    monkeypatch.setattr(spatial, "INDEX_MAX_BYTES", 10)
+    assert {r.pid: r.n_id for r in spatial.nearest(P, S, ["pid"], prefix="n_").collect()} == _brute(pts, sens)
+
+
+def test_odd_coordinates(spark):
+    _, sens = _data(10, 1, 80, world=True)
+    S = spark.createDataFrame([*sens, ("bad1", None, 2.0), ("bad2", float("nan"), 2.0), ("a-pole", 90.0, 17.0)], "sensor_id string, latitude double, longitude double")
+    pts = [(1, 90.0, 0.0), (2, -90.0, 50.0), (3, 12.0, 180.0), (4, 12.0, -180.0), (5, 12.0, 540.0), (6, 89.9, 200.0), (7, 95.0, 10.0)]
+    P = spark.createDataFrame([*pts, (8, None, 1.0), (9, 1.0, None)], "pid int, latitude double, longitude double")
+    got = {r.pid: r.n_id for r in spatial.nearest(P, S, ["pid"], prefix="n_", payload=["sensor_id"]).collect()}
+    want = _brute(pts, [*sens, ("a-pole", 90.0, 17.0)])
+    assert got == want | {8: None, 9: None}
