@@ -3,6 +3,8 @@ folder filled from the driver tables; each returns its sink read back."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from metroscope.functions import mobility as mb
@@ -15,6 +17,7 @@ from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
 from metroscope.sources import air as s_air
 from metroscope.sources import stop_visits as s_visits
 from metroscope.streaming import landing as L
+from metroscope.streaming import stateful as S
 
 AS_OF = A.AS_OF
 LOAD_KEY = ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"]
@@ -65,6 +68,33 @@ def q_stream_dedupe_watermark(spark, d):
     return spark.read.parquet(p["out"]).select("stop_id", "line_id", "recorded_at")
 
 
+@register("stream_first_rows", _scan_sql("CAST(NULL AS VARCHAR)"))
+def q_stream_first_rows(spark, d):
+    """R2 (state in RocksDB): whole rows of the first arrival per key; late rows found again and added."""
+    p, rows = _visit_stream(spark, d, "stream-first", ARRIVAL)
+    rows = rows.withColumns(_journey_key())
+    S.first_rows(rows, "recorded_at", timedelta(days=1), LOAD_KEY, ARRIVAL, p["out"], p["ckpt"])
+    landed = facts.stop_visit_rows(s_visits.scan_stop_visits(
+        spark.read.text(p["landing"]).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))), keep=ARRIVAL).withColumns(_journey_key())
+    S.set_aside_late(landed, spark.read.schema(landed.schema).parquet(p["out"]), LOAD_KEY, ARRIVAL, p["late"])
+    both = spark.read.schema(landed.schema).parquet(p["out"]).unionByName(spark.read.schema(landed.schema).parquet(p["late"]))
+    return both.select(*VISIT_COLS)
+
+
+@register("stream_live_state", A.with_views(f"""
+SELECT station_id, station_name, latitude, longitude, aqi, pm25, no2, measured_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY measured_at DESC) AS rn
+  FROM air WHERE event_id % 50 <> 0 AND event_id % 41 <> 0) WHERE rn = 1 AND measured_at >= {AS_OF_SQL} - INTERVAL 6 HOUR""",
+    air=SQL_AIR_E))
+def q_stream_live_state(spark, d):
+    """R5 (state in RocksDB): a station's latest row, dropped from the state after 6 h."""
+    p, stream = _landed(spark, "stream-live", B.air_feed(spark, d))
+    cols = ["station_id", "station_name", "latitude", "longitude", "aqi", "pm25", "no2", "measured_at"]
+    S.live_rows(s_air.scan_air(stream).select(*cols), ["station_id"], "measured_at", timedelta(hours=6), p["out"], p["ckpt"])
+    written = spark.read.parquet(p["out"]).drop("batch_id").filter(F.col("measured_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 6 HOURS"))
+    return L.live_latest(written, ["station_id"], "measured_at", cols)
+
+
 @register("stream_hourly", A.with_views("""
 SELECT date_trunc('hour', recorded_at) AS hour, count(*) AS count FROM raw WHERE event_id % 89 <> 0 GROUP BY 1""",
                                         raw=RAW_E))
