@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metroscope.functions import mobility as mb
-from metroscope.operators import delays, facts, sinks, topn
+from metroscope.operators import delays, facts, rollups, sinks, topn
 from metroscope.plans import adapters as A
 from metroscope.plans import adapters_bronze as B
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
@@ -343,6 +343,33 @@ def q_retention_union(spark, d):
     return r.withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
 
 
+def _rollup(spark, d):
+    """Roll-up fed by three batches; the second and third bring late rows of hours already stored."""
+    from metroscope.plans.queries import visits
+    v = visits(spark, d)
+    r = rollups.HourlyRollup(spark, sinks.scratch_path(spark, "rollup"), "recorded_at", ["line_id"], ["delay_seconds"], distinct="line_id")
+    for i in range(3):
+        r.add(v.filter(F.pmod(F.xxhash64("line_id", "recorded_at"), F.lit(3)) == i), i)
+    return r
+
+
+@register("rollup_hours", A.with_views(f"""
+SELECT line_id, date_trunc('hour', recorded_at) AS hour, count(*) AS n_rows, {sql_r6('avg(delay_seconds)')} AS avg_delay_seconds,
+       min(delay_seconds) AS min_delay_seconds, max(delay_seconds) AS max_delay_seconds FROM stop_visits GROUP BY ALL""", **views("stop_visits")))
+def q_rollup_hours(spark, d):
+    """Hourly roll-up after late rows, merged from stored partials."""
+    return _rollup(spark, d).hours().withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
+
+
+@register("rollup_totals", A.with_views(f"""
+SELECT count(*) AS n_rows, count(DISTINCT line_id) AS n_distinct, count(delay_seconds) AS n_delay_seconds, {sql_r6('avg(delay_seconds)')} AS avg_delay_seconds
+FROM stop_visits WHERE recorded_at >= {AS_OF_SQL} - INTERVAL 24 HOUR""", **views("stop_visits")))
+def q_rollup_totals(spark, d):
+    """Rows, active lines and mean delay of the last 24 h from stored partials and bitmaps."""
+    t = _rollup(spark, d).totals(F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 24 HOURS"))
+    return t.withColumn("avg_delay_seconds", r6("avg_delay_seconds"))
+
+
 @register("unknown_line_report", A.with_views("""
 SELECT line_id, count(*) AS visits FROM stop_visits v
 WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.line_id = v.line_id) GROUP BY line_id""",
