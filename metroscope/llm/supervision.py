@@ -20,11 +20,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
 
     The rows with the smallest hashed doc_ids are taken, so the choice does
     not depend on order or partitioning.  Null labels do not count; a
-    doc_id labelled twice has the rounded mean of its labels.
+    doc_id labelled twice has the rounded mean of its labels.  Of rows that
+    repeat a chosen doc_id the one with the smallest text hash is taken (found
+    within each task first), so the bound holds for rows too.
     """
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
               .filter((remainder("doc_id", modulus) != held) & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # at most `sample` rows of two numbers: a proven bound
-    return doc_text(docs).join(F.broadcast(chosen), "doc_id")
+    rows = doc_text(docs).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    return one.select("doc_id", F.col("row.text").alias("text"), "y")
