@@ -53,7 +53,7 @@ PROBES = 5
 BASE = 1.5                      # quantisation: level j stands for counts from BASE**(j-1)
 LEVELS = 64
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)  # marks besides the words
-PASS_BYTES = 48 << 20           # of segments broadcast at once
+PASS_BYTES = 80 << 20           # of segments broadcast at once
 SLICE_BYTES = 4 << 20           # of stored chunks for every slice, about
 HELD = 1 << 22                  # distinct n-grams a task adds up before it sends them
 GRID = [(k, m, a) for a in (1.0, 0.25) for m in (0.0, 0.1, 0.3, 0.6) for k in (0.0, 0.3, 0.6)]
@@ -199,14 +199,11 @@ class Segments:
         return np.where(self.words[at] == h, self.counts[at], 0)
 
     def answers(self, t: Tokens) -> list[np.ndarray]:
-        """Exact word counts, and levels of words, pairs and triples, for the tokens whose hashes lie here, in token order."""
-        out = []
-        for order, h in ((1, t.hash), (2, t.pair), (3, t.triple)):
-            kinds, back = np.unique(h[self.filter.inside(h)], return_inverse=True)
-            if order == 1:
-                out.append(self.seen(kinds)[back])
-            out.append(self.filter.levels(kinds, order)[back])
-        return out
+        """For the tokens whose hashes lie here: exact counts of their distinct words (in hash order), and in token order levels of words, pairs and triples."""
+        kinds, back = np.unique(t.hash[self.filter.inside(t.hash)], return_inverse=True)
+        pair, again = np.unique(t.pair[self.filter.inside(t.pair)], return_inverse=True)
+        triple = t.triple  # mostly distinct as they are
+        return [self.seen(kinds), self.filter.levels(kinds, 1)[back], self.filter.levels(pair, 2)[again], self.filter.levels(triple[self.filter.inside(triple)], 3)]
 
 
 ANSWERS = [np.int64, np.uint8, np.uint8, np.uint8]
@@ -280,18 +277,20 @@ class Model:
         def whole(data: bytes, parts: list[tuple[int, list[np.ndarray]]]) -> list:
             ids, texts = unpack_rows(data)
             t = tokens(texts)
-            found = [np.zeros(len(t.hash), x) for x in ANSWERS]
+            found, places = [np.zeros(len(t.hash), x) for x in ANSWERS], [slice_of(h, slices) for h in (t.hash, t.pair, t.triple)]
             for part, answers in parts:
                 low, high = (slices * i // passes for i in (part, part + 1))
-                for out, own, h in zip(found, answers, (t.hash, t.hash, t.pair, t.triple)):
-                    at = slice_of(h, slices)
-                    out[(at >= low) & (at < high)] = own
+                inside = [(at >= low) & (at < high) for at in places]
+                _, back = np.unique(t.hash[inside[0]], return_inverse=True)
+                for out, own, at in zip(found, [answers[0][back], *answers[1:]], [inside[0], *inside]):
+                    out[at] = own
             exact, *levels = found
             per_text = lambda v: np.add.reduceat(v, t.first[:-1])  # noqa: E731  every text has its end token
             base = per_text(np.log10(exact + 1.0)) - np.diff(t.first) * rest
             use = np.repeat(training(ids), np.diff(t.first))
-            others = [np.maximum(x[use] - 1, 0) for x in estimates(t, *levels)]
-            sums = [float(np.log10(p).sum()) for p in probabilities(others, total, distinct, GRID)]
+            # single precision decides between the grid's points
+            others = [np.maximum(x[use] - 1, 0).astype(np.float32) for x in estimates(t, *levels)]
+            sums = [float(np.log10(p).sum(dtype=np.float64)) for p in probabilities(others, total, distinct, GRID)]
             return [ids, *map(squeeze, (t.first.astype(np.int64), *levels, per_text((exact > 0).astype(np.int64)), base)), sums]
 
         schema = "ids array<long>, first binary, word binary, pair binary, triple binary, known binary, base binary, sums array<double>"
@@ -383,11 +382,12 @@ def _messages(counts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.RecordB
 def probabilities(counts: list[np.ndarray], total: int, distinct: int, grid: list[tuple[float, float, float]]) -> Iterator[np.ndarray]:
     """Probabilities of tokens from ``estimates``, for each (K, M, A) of ``grid``."""
     word, before, pair, before2, triple = counts
-    second, third = (np.where(under > 0, over / np.maximum(under, 1e-9), -1.0) for over, under in ((pair, before), (triple, before2)))
+    one = word.dtype.type
+    second, third = (np.where(under > 0, over / np.maximum(under, one(1e-9)), one(-1)) for over, under in ((pair, before), (triple, before2)))
     for k, m, a in grid:
-        p1 = np.minimum((word + a) / (total + a * (distinct + 1)), 1)
-        p2 = np.where(second >= 0, m * second + (1 - m) * p1, p1)
-        yield np.where(third >= 0, k * third + (1 - k) * p2, p2)
+        p1 = np.minimum((word + one(a)) / one(total + a * (distinct + 1)), one(1))
+        p2 = np.where(second >= 0, one(m) * second + one(1 - m) * p1, p1)
+        yield np.where(third >= 0, one(k) * third + one(1 - k) * p2, p2)
 
 
 def score(docs: DataFrame) -> DataFrame:
