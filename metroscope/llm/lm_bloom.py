@@ -294,15 +294,6 @@ class Model:
             return [ids, *map(squeeze, (t.first.astype(np.int64), *levels, per_text((exact > 0).astype(np.int64)), base)), sums]
 
         schema = "ids array<long>, first binary, word binary, pair binary, triple binary, known binary, base binary, sums array<double>"
-        if passes == 1:
-            held = self._held(0)
-
-            def run(batches: Iterator[pa.RecordBatch]):
-                for r in each_row(batches):
-                    cols = whole(r["data"], [(0, held.value.answers(tokens(unpack_rows(r["data"])[1])))])
-                    yield pa.RecordBatch.from_arrays([pa.array([c], x) for c, x in zip(cols, types)], names)
-
-            return stored(chunks.mapInArrow(run, schema), "token-levels")
         partial = "chunk long, part int, a0 binary, a1 binary, a2 binary, a3 binary"
         tables = []
         for part in range(passes):  # one broadcast at a time
