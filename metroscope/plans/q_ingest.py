@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metroscope.functions import mobility as mb
-from metroscope.operators import delays, facts, rollups, sinks, topn
+from metroscope.operators import bucketed, delays, facts, rollups, sinks, topn
 from metroscope.plans import adapters as A
 from metroscope.plans import adapters_bronze as B
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
@@ -129,6 +129,22 @@ def q_load_visits(spark, d):
                       "delay_seconds")
 
 
+@register("load_visits_bucketed", A.with_views(_first_rows(
+    f"stop_id, line_id, recorded_at, direction, operator, aimed_arrival, expected_departure, {DELAY_SQL} AS delay_seconds",
+    "raw", "stop_id, line_id, recorded_at", "event_id % 89 <> 0"), raw=RAW_E))
+def q_load_visits_bucketed(spark, d):
+    """The same load, twice, into a table bucketed by the load key that is never shuffled."""
+    rows = facts.stop_visit_rows(_scanned(spark, d), keep=ARRIVAL).withColumn("vehicle_journey_key", mb.vehicle_journey_key())
+    cols = ["stop_id", "line_id", "vehicle_journey_key", "recorded_at", "direction", "operator", "aimed_arrival", "expected_departure",
+            "delay_seconds"]
+    parsed = rows.select(*cols, *ARRIVAL)
+    target = bucketed.BucketedTarget(spark, sinks.scratch_path(spark, "bucketed"), parsed.select(*cols).schema, cols[:4], "recorded_at",
+                                     int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for _ in range(2):
+        target.insert(parsed, ARRIVAL)
+    return target.rows().drop("vehicle_journey_key")
+
+
 SQL_AIR_E = A.with_event_id(A.SQL_AIR)
 
 
