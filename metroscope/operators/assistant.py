@@ -7,16 +7,14 @@ has to be gathered into a single value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from metroscope.functions import formats as fm
 from metroscope.functions import text as tx
 from metroscope.operators.ranking import rank_within
 from metroscope.operators.snapshots import as_of_value
+from metroscope.operators.substrings import matches
 
 # Answer texts.
 AIR_HEADER = "[DATA] Qualité de l'air actuelle :"
@@ -50,34 +48,6 @@ def _fmt(template: str, *cols):
     return F.concat(*out)
 
 
-def substring_matches(keys: DataFrame, key_col: str, items: DataFrame, item_cols: Sequence[str]) -> DataFrame:
-    """Pairs (key row, item row) where lower(key) is contained in
-    lower(coalesce(item_col, '')) for any of ``item_cols``.
-
-    An exact equi-join: each item is expanded into its substrings of every
-    distinct key length (a handful of small integers read from the keys), so
-    only matching pairs are ever formed.
-    """
-    lengths = sorted({r[0] for r in keys.select(F.length(F.lower(key_col))).distinct().collect() if r[0]})
-    if not lengths:
-        spark = keys.sparkSession
-        return spark.createDataFrame([], T.StructType(keys.schema.fields + items.schema.fields))
-    grams = []
-    for c in item_cols:
-        txt = F.lower(F.coalesce(F.col(c), F.lit("")))
-        g = items.select(*items.columns, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("__len"))
-        g = g.select(*items.columns, "__len", F.explode(F.sequence(F.lit(1), F.greatest(F.length(txt) - F.col("__len") + 1,
-                                                                                      F.lit(0)))).alias("__p"))
-        g = g.select(*items.columns, F.substring(txt, F.col("__p"), F.col("__len")).alias("__gram"))
-        grams.append(g)
-    allg = grams[0]
-    for g in grams[1:]:
-        allg = allg.unionByName(g)
-    allg = allg.dropDuplicates([*items.columns, "__gram"])
-    k = keys.withColumn("__gram", F.lower(F.col(key_col)))
-    return k.join(allg, "__gram").drop("__gram").dropDuplicates([*keys.columns, *items.columns])
-
-
 def fact_block_air(snapshot: DataFrame, zones: DataFrame, as_of=None) -> DataFrame:
     """Air fact text per requested zone (``zone`` NULL = every station):
     ``(zone, line_no, text)``; stations in id order; no-data texts when the
@@ -85,7 +55,7 @@ def fact_block_air(snapshot: DataFrame, zones: DataFrame, as_of=None) -> DataFra
     now = as_of_value(as_of)
     st = snapshot.select("station_id", "station_name", "aqi", "pm25", "pm10", "no2", "measured_at", "attribution")
     z = zones.select("zone").distinct()
-    named = substring_matches(z.filter(F.col("zone").isNotNull()), "zone", st, ["station_name"])
+    named = matches(z.filter(F.col("zone").isNotNull()), "zone", st, ["station_name"])
     # an all-stations request (NULL zone) keeps every station: a filter on a scalar subquery, no join
     wants_all = z.select(F.count_if(F.col("zone").isNull()) > 0).scalar()
     everyone = st.filter(wants_all).withColumn("zone", F.lit(None).cast("string"))
@@ -124,7 +94,7 @@ def fact_block_weather(snapshot: DataFrame, points: DataFrame, as_of=None) -> Da
     st = snapshot.select("point_id", "point_name", "temperature_c", "humidity_pct", "precipitation_mm",
                          "wind_speed_ms", "observed_at")
     p = points.select("point").distinct()
-    named = substring_matches(p.filter(F.col("point").isNotNull()), "point", st, ["point_name", "point_id"])
+    named = matches(p.filter(F.col("point").isNotNull()), "point", st, ["point_name", "point_id"])
     wants_all = p.select(F.count_if(F.col("point").isNull()) > 0).scalar()
     everyone = st.filter(wants_all).withColumn("point", F.lit(None).cast("string"))
     matched = named.unionByName(everyone)
@@ -192,17 +162,15 @@ def journey_summary_lines(scored: DataFrame, score_cols: dict | None = None) ->
         F.struct(F.lit(2).alias("line_no"), _fmt("  Pollution : {}/100", fm.fmt_fixed(p, 0)).alias("text")),
         F.struct(F.lit(3).alias("line_no"), _fmt("  Météo     : {}/100", fm.fmt_fixed(w, 0)).alias("text")),
         F.struct(F.lit(4).alias("line_no"), _fmt("  Trafic    : {}/100", fm.fmt_fixed(t, 0)).alias("text")))
-    head = scored.select("journey_id", F.explode(fixed).alias("l")).select("journey_id", "l.line_no", "l.text")
-    has_w = scored.filter(F.size("warnings") > 0)
-    lim = has_w.select("journey_id", F.lit(5).alias("line_no"), F.lit("  Limites :").alias("text"))
-    warns = has_w.select("journey_id", F.posexplode("warnings").alias("i", "w")).select(
-        "journey_id", (F.col("i") + 6).cast("int").alias("line_no"), F.concat(F.lit(WARN_PREFIX), F.col("w")).alias("text"))
-    return head.unionByName(lim).unionByName(warns)
+    warned = F.concat(
+        F.array(F.struct(F.lit(5).alias("line_no"), F.lit("  Limites :").alias("text"))),
+        F.transform("warnings", lambda w, i: F.struct((i + 6).cast("int").alias("line_no"), F.concat(F.lit(WARN_PREFIX), w).alias("text"))))
+    lines = F.when(F.size("warnings") > 0, F.concat(fixed, warned)).otherwise(fixed)
+    return scored.select("journey_id", F.explode(lines).alias("l")).select("journey_id", "l.line_no", "l.text")
 
 
-def comparison_summary_lines(scored: DataFrame, comparison: DataFrame, ranked: DataFrame,
-                             group_col: str = "comparison_id", score_col: str = "overall_score",
-                             gap_col: str = "score_gap") -> DataFrame:
+def comparison_summary_lines(comparison: DataFrame, ranked: DataFrame, group_col: str = "comparison_id",
+                             score_col: str = "overall_score", gap_col: str = "score_gap") -> DataFrame:
     """Per comparison: ``(comparison_id, line_no, text)`` — journeys by rank
     with the recommended one marked, then the significance line."""
     cmp_ = comparison.select(group_col, "n_journeys", "best_journey_id", gap_col, "is_significant")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back as a plain
+    table, for a result that several branches of one query read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/copies/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 BARRIER_COL = "__task"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from metroscope.functions import formats as fm
 from metroscope.functions import text as tx
 from metroscope.operators import assistant, delays, scoring, snapshots
+from metroscope.operators.common import stored_copy
 from metroscope.plans import adapters as A
 from metroscope.plans.q_scoring import SCORING_VIEWS
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views, visits
@@ -296,10 +297,10 @@ UNION ALL SELECT comparison_id, CAST(n + 1 AS INTEGER), CASE WHEN gap >= 5.0
 def q_comparison_summary(spark, d):
     """Per-comparison text lines: ranked journeys, recommended one, significance."""
     from metroscope.plans.q_scoring import _scored
-    s = _scored(spark, d)
+    s = stored_copy(_scored(spark, d), "scored")  # scored once: the comparison, the ranks and the texts read the copy
     cmp_ = scoring.compare_journeys(s).withColumn("score_gap", r6("score_gap"))
     ranked = scoring.rank_journeys(s).withColumn("overall_score", r6("overall_score"))
-    return assistant.comparison_summary_lines(s, cmp_, ranked)
+    return assistant.comparison_summary_lines(cmp_, ranked)
 
 
 # ---------------------------------------------------------------- traffic facts
