@@ -40,7 +40,7 @@ def traffic_kpis(visits: DataFrame, as_of=None, hours: float = 24) -> DataFrame:
 
 def _with_lines(r: DataFrame, lines: DataFrame, mode: str | None) -> DataFrame:
     dim = broadcast_if_small(lines.select("line_id", "short_name", "transport_mode"))
-    j = r.select("line_id", "recorded_at", "delay_sec").join(dim, "line_id", "left")
+    j = r.join(dim, "line_id", "left")
     if mode:
         # a filter on the dimension after the LEFT JOIN drops unknown lines (as the reference does)
         j = j.filter(F.col("transport_mode") == mode)
@@ -52,10 +52,11 @@ def top_delayed(visits: DataFrame, lines: DataFrame, as_of=None, limit: int = 10
     """League of lines by mean arrival delay over the trailing window (24 h in
     the dashboard; >= 5 visits), top N.  Ties on the mean are broken by line
     id so the cut is deterministic."""
-    j = _with_lines(recent_arrivals(visits, as_of, hours), lines, mode)
-    g = (j.groupBy("line_id", "short_name", "transport_mode")
+    g = (recent_arrivals(visits, as_of, hours).groupBy("line_id")
          .agg(F.count(F.lit(1)).alias("visits"), F.avg("delay_sec").alias("avg_delay_sec"))
          .filter(F.col("visits") >= MIN_LINE_VISITS))
+    # one row per line meets the dimension, not one per visit
+    g = _with_lines(g, lines, mode)
     g = g.select("line_id", F.coalesce("short_name", "line_id").alias("line_name"),
                  F.coalesce("transport_mode", F.lit(UNKNOWN_MODE_LABEL)).alias("transport_mode"),
                  "visits", "avg_delay_sec")
@@ -75,7 +76,7 @@ def delay_heatmap(visits: DataFrame, lines: DataFrame, as_of=None, mode: str | N
     trailing window (7 days in the dashboard)."""
     r = recent_arrivals(visits, as_of, hours)
     if mode:
-        r = _with_lines(r, lines, mode)
+        r = _with_lines(r.select("line_id", "recorded_at", "delay_sec"), lines, mode)
     return (r.groupBy((F.dayofweek("recorded_at") - 1).alias("day_of_week"), F.hour("recorded_at").alias("hour"))
             .agg(F.avg("delay_sec").alias("avg_delay_sec"), F.count(F.lit(1)).alias("visits")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metroscope.functions import formats as fm
 from metroscope.functions import mobility as mb
 from metroscope.functions.geo import in_bbox
-from metroscope.operators import delays, snapshots
+from metroscope.operators import dashboard, delays, snapshots, substrings
 from metroscope.plans import adapters as A
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views, visits
 
@@ -274,8 +274,7 @@ def q_trailing_window_h(spark, d):
 @register("name_contains", q(f"""
 SELECT station_id, station_name FROM ({SQL_AIR24}) WHERE contains(lower(coalesce(station_name, '')), 'défense')"""))
 def q_name_contains(spark, d):
-    s = _air24(spark, d)
-    return s.filter(F.lower(F.coalesce("station_name", F.lit(""))).contains("défense")).select("station_id", "station_name")
+    return dashboard.name_contains(_air24(spark, d), "défense", ["station_name"]).select("station_id", "station_name")
 
 
 @register("name_or_id_contains", q(f"""
@@ -285,9 +284,22 @@ SELECT point_id, point_name FROM (
   AND (contains(lower(coalesce(point_name, '')), 'p1') OR contains(lower(coalesce(point_id, '')), 'p1'))"""))
 def q_name_or_id_contains(spark, d):
     s = snapshots.latest_weather(A.weather_raw(spark, d), AS_OF)
-    q_ = "p1"
-    return s.filter(F.lower(F.coalesce("point_name", F.lit(""))).contains(q_)
-                    | F.lower(F.coalesce("point_id", F.lit(""))).contains(q_)).select("point_id", "point_name")
+    return dashboard.name_contains(s, "p1", ["point_name", "point_id"]).select("point_id", "point_name")
+
+
+NEEDLES_SQL = "SELECT DISTINCT substr(lower(p_name), 1 + p_partkey % 7, 2 + p_partkey % 5) AS needle FROM part"
+
+
+@register("substring_search", q("""
+SELECT needle, line_id FROM needles, lines
+WHERE needle <> '' AND (contains(lower(coalesce(long_name, '')), needle) OR contains(lower(coalesce(line_id, '')), needle))""",
+                                needles=NEEDLES_SQL))
+def q_substring_search(spark, d):
+    """Every needle (pieces of part names) against all line names and ids, through stored trigram postings."""
+    piece = F.substring(F.lower("p_name"), (1 + F.col("p_partkey") % 7).cast("int"), (2 + F.col("p_partkey") % 5).cast("int"))
+    needles = A.table(spark, d, "part").select(piece.alias("needle"))
+    items = A.lines(spark, d).select("line_id", "long_name")
+    return substrings.matches(needles, "needle", items, ["long_name", "line_id"]).select("needle", "line_id")
 
 
 def _aqi_sql(col: str, pick: int) -> str:
@@ -299,8 +311,7 @@ def _aqi_sql(col: str, pick: int) -> str:
 SELECT latitude, longitude, {_aqi_sql('aqi', 3)} AS color, station_name AS label
 FROM ({SQL_AIR24}) WHERE latitude IS NOT NULL AND longitude IS NOT NULL"""))
 def q_map_layer(spark, d):
-    s = _air24(spark, d).filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    return s.select("latitude", "longitude", fm.aqi_color("aqi").alias("color"), F.col("station_name").alias("label"))
+    return dashboard.map_layer(_air24(spark, d))
 
 
 @register("aqi_category", q(f"SELECT station_id, measured_at, aqi, {_aqi_sql('aqi', 1)} AS category, "
@@ -320,14 +331,7 @@ SELECT station_name AS "Station",
 FROM ({SQL_AIR24})"""))
 def q_station_table(spark, d):
     """Station table of the air page: AQI with label, rounded PM2.5 / NO2, renamed columns."""
-    s = _air24(spark, d)
-    return s.select(
-        F.col("station_name").alias("Station"),
-        F.when(F.col("aqi").isNull(), F.lit("?")).otherwise(
-            F.concat(F.col("aqi").cast("string"), F.lit(" — "), fm.aqi_label("aqi"))).alias("AQI"),
-        F.when(F.col("pm25").isNull(), F.lit("—")).otherwise(fm.fmt_fixed("pm25", 0)).alias("PM2.5"),
-        F.when(F.col("no2").isNull(), F.lit("—")).otherwise(fm.fmt_fixed("no2", 0)).alias("NO₂"),
-        F.col("attribution").alias("Source"))
+    return dashboard.station_table(_air24(spark, d))
 
 
 @register("has_precipitation", q("SELECT point_id, observed_at, coalesce(precipitation_mm > 0, false) OR "

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from metroscope.functions import formats as fs_formats
 from metroscope.functions import scores as fs
-from metroscope.operators import scoring, snapshots, spatial
+from metroscope.operators import dashboard, scoring, snapshots, spatial
 from metroscope.plans import adapters as A
 from metroscope.plans import sql_exprs as X
 from metroscope.plans.queries import AS_OF_SQL, r6, register, views, visits
+from metroscope.sources import constants
 
 AS_OF = A.AS_OF
 
@@ -326,9 +327,7 @@ def q_score_range_check(spark, d):
     air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF))
     wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF))
     ex = scoring.score_waypoints(A.waypoints(spark, d), air, wx, scoring.traffic_stats(visits(spark, d), AS_OF))
-    ok = (F.col("pollution_score").between(0, 100) & F.col("weather_score").between(0, 100)
-          & F.col("traffic_score").between(0, 100))
-    return ex.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~ok).alias("rejected"))
+    return dashboard.score_range_check(ex)
 
 
 def _color_sql(col, mapping, default=None, upper=False):
@@ -351,8 +350,7 @@ def q_grade_colors(spark, d):
 
 
 ZONES_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    "('" + z.replace("'", "''") + f"', {la}, {lo})" for z, la, lo in __import__(
-        "metroscope.sources.constants", fromlist=["PREDEFINED_ZONES"]).PREDEFINED_ZONES) + ") AS z(zone, latitude, longitude)"
+    "('" + z.replace("'", "''") + f"', {la}, {lo})" for z, la, lo in constants.PREDEFINED_ZONES) + ") AS z(zone, latitude, longitude)"
 
 
 @register("inline_zones", A.with_views(f"""
@@ -366,8 +364,51 @@ FROM z LEFT JOIN (
     FROM z, air_latest s) WHERE rn = 1) n ON n.zone = z.zone""", **{**SCORING_VIEWS, "z": ZONES_SQL}))
 def q_inline_zones(spark, d):
     """Named zones (inline constant table) -> nearest station and its pollution score."""
-    from metroscope.sources import constants
     air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF)).withColumnRenamed("station_id", "sensor_id")
     z = spatial.nearest(constants.zones(spark), air, ["zone"], payload=["pm25", "no2", "aqi"], prefix="air_")
     return z.select("zone", "air_id", r6("air_distance_km").alias("air_distance_km"),
                     r6(fs.pollution_score("air_pm25", "air_no2", "air_aqi")).alias("pollution_score"))
+
+
+WEATHER_POINTS_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{i}', {la}, {lo})" for i, _, la, lo in constants.DEFAULT_WEATHER_POINTS) + ") AS z(point_id, latitude, longitude)"
+
+
+@register("inline_weather_points", A.with_views(f"""
+SELECT point_id, air_id, round(1e-9 + air_km, 6) AS air_distance_km, wx_id, round(1e-9 + wx_km, 6) AS wx_distance_km FROM (
+  SELECT z.point_id, s.station_id AS air_id, {X.haversine('z.latitude', 'z.longitude', 's.latitude', 's.longitude')} AS air_km,
+         row_number() OVER (PARTITION BY z.point_id ORDER BY {X.haversine('z.latitude', 'z.longitude', 's.latitude', 's.longitude')}, s.station_id) AS rn
+  FROM z, air_latest s) a JOIN (
+  SELECT z.point_id, w.point_id AS wx_id, {X.haversine('z.latitude', 'z.longitude', 'w.latitude', 'w.longitude')} AS wx_km,
+         row_number() OVER (PARTITION BY z.point_id ORDER BY {X.haversine('z.latitude', 'z.longitude', 'w.latitude', 'w.longitude')}, w.point_id) AS rn
+  FROM z, wx_latest w) b USING (point_id) WHERE a.rn = 1 AND b.rn = 1""", **{**SCORING_VIEWS, "z": WEATHER_POINTS_SQL}))
+def q_inline_weather_points(spark, d):
+    """Configured weather points (inline constant table) -> nearest air station and nearest observed point."""
+    air = scoring.materialize(snapshots.latest_air(A.air_raw(spark, d), AS_OF)).withColumnRenamed("station_id", "sensor_id")
+    wx = scoring.materialize(snapshots.latest_weather(A.weather_raw(spark, d), AS_OF)).withColumnRenamed("point_id", "sensor_id")
+    points = constants.weather_points(spark).select("point_id", "latitude", "longitude")
+    near = spatial.nearest(points, air, ["point_id"], payload=[], prefix="air_").select("point_id", "air_id", "air_distance_km")
+    near_wx = spatial.nearest(points, wx, ["point_id"], payload=[], prefix="wx_").select("point_id", "wx_id", "wx_distance_km")
+    both = near.join(near_wx, "point_id")
+    return both.select("point_id", "air_id", r6("air_distance_km").alias("air_distance_km"), "wx_id", r6("wx_distance_km").alias("wx_distance_km"))
+
+
+def _coverage_sql(listed: list[str], table: str, key: str, ts: str) -> str:
+    ids = ", ".join(f"('{x}')" for x in listed)
+    return A.with_views(f"""
+SELECT l.{key}, count(f.{key}) AS n_rows, max(f.{ts}) AS latest FROM (VALUES {ids}) AS l({key}) LEFT JOIN {table} f ON f.{key} = l.{key}
+GROUP BY l.{key}
+UNION ALL SELECT NULL, count(*), max({ts}) FROM {table} f WHERE NOT EXISTS (SELECT 1 FROM (VALUES {ids}) AS l({key}) WHERE l.{key} = f.{key})""",
+                        **views(table))
+
+
+@register("inline_air_stations", _coverage_sql(constants.DEFAULT_AIR_STATIONS, "air", "station_id", "measured_at"))
+def q_inline_air_stations(spark, d):
+    """Rows and latest time of every polled air station (inline constant table), and of all others together."""
+    return dashboard.poll_coverage(A.air_raw(spark, d), constants.air_stations(spark), "station_id", "measured_at")
+
+
+@register("inline_stops", _coverage_sql(constants.DEFAULT_STOPS, "stop_visits", "stop_id", "recorded_at"))
+def q_inline_stops(spark, d):
+    """Rows and latest time of every monitored stop (inline constant table), and of all others together."""
+    return dashboard.poll_coverage(visits(spark, d), constants.stops(spark), "stop_id", "recorded_at")
