@@ -10,9 +10,11 @@ sampled at regular text positions.  All phrases are searched backward at once;
 occurrences are located by stepping to the next sampled position; the spans
 found are merged to removal spans per document.
 
-Phrases are broadcast in blocks of at most ``BLOCK_WORDS`` item words, one
-pass over the shards per block, so the broadcast stays bounded however many
-items there are; with one block nothing is shuffled.
+Phrases are broadcast in blocks of about ``BLOCK_WORDS`` item words (one item
+is never split), one pass over the shards per block: a block is searched, its
+findings are stored, its broadcast is given up, and only then the next block
+is built, so driver and workers hold one block however many items there are.
+With one block nothing is stored or shuffled.
 
 Defined cases: a null text has no words; an item without words never matches;
 equal items are found alike; repeated document rows are judged each by itself;
@@ -23,6 +25,7 @@ new text).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metroscope.llm.runtime import blocks, doc_text, raw_text, stored, string_column
+from metroscope.llm.runtime import blocks, doc_text, plain, quoted, raw_text, stored, string_column
 from metroscope.llm.words import split
 
 WINDOW = 10
@@ -231,25 +234,30 @@ def by_text(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(ids.tolist(), np.split(order, at[1:]))
 
 
-def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """The benchmark's windows in blocks of about ``block_words`` words (always at least one, maybe empty)."""
-    items = benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // (4 * block_words)
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # one bounded block
-        rows.sort(key=lambda r: (str(r.item_id), r.text))
-        yield Phrases([r.item_id for r in rows], [r.text for r in rows], window)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def block_count(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> int:
+    """In how many blocks of about ``block_words`` words the benchmark is searched (at least one)."""
+    size = _items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 + size // (4 * block_words)
+
+
+def phrases_of(benchmark: DataFrame, k: int, n: int, window: int = WINDOW) -> Phrases:
+    """The windows of block ``k`` of ``n``."""
+    rows = _items(benchmark).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # one bounded block
+    rows.sort(key=lambda r: (str(r.item_id), r.text))
+    return Phrases([r.item_id for r in rows], [r.text for r in rows], window)
 
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _search(docs: DataFrame, phrases: Phrases, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row with n_words, merged spans and items of one block of phrases."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + FOUND
+def _search(docs: DataFrame, held, keep: list[str]) -> DataFrame:
+    """``keep`` columns of every row with n_words, merged spans and items of one broadcast block of phrases."""
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keep)).schema) + ", " + FOUND
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    held = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]):
         phrases = held.value
@@ -266,18 +274,25 @@ def _search(docs: DataFrame, phrases: Phrases, keep: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _search_blocks(numbered: DataFrame, benchmark: DataFrame, n: int, window: int, keep: list[str]) -> DataFrame:
+    """Findings of ``n`` blocks, one block after the other, each stored before the next is built."""
+    whole = None
+    for k in range(n):
+        held = numbered.sparkSession.sparkContext.broadcast(phrases_of(benchmark, k, n, window))
+        part = stored(_search(numbered, held, keep), "phrase-block")
+        held.destroy()  # its findings are files now
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (merged word ranges), items (sorted ids as strings)."""
-    found = [p for p in phrase_blocks(benchmark, window, block_words)]
-    docs = doc_text(docs)
-    if len(found) == 1:
-        return _search(docs, found[0], ["doc_id"])
+    docs, n = doc_text(docs), block_count(benchmark, block_words)
+    if n == 1:
+        return _search(docs, docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, 0, 1, window)), ["doc_id"])
     # several blocks: rows are numbered once in a stored copy, then each row's findings are joined
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    parts = [_search(docs, p, ["row", "doc_id"]) for p in found]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    whole = _search_blocks(docs, benchmark, n, window, ["row", "doc_id"])
     spans = F.flatten(F.collect_list("spans"))
     return whole.groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(spans).alias("spans"),
@@ -295,49 +310,64 @@ def report(found: DataFrame) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def _cut(b: pa.RecordBatch, w, hits: dict[int, list], chars: str | None) -> pa.RecordBatch:
+    """The batch with the word ranges ``hits`` of its rows cut out of the text; ``w`` are its words."""
+    if not hits:
+        return b
+    texts = string_column(b, "text")
+    (_, offsets), values, gone = raw_text(texts), b.column("text").to_pylist(), set()  # a null text stays null
+    lengths = b.column(chars).to_pylist() if chars else None
+    for d, spans in hits.items():
+        merged = merge_spans(*(np.array(x) for x in zip(*spans)))
+        if sum(e - s for s, e in merged) == w.counts[d]:
+            gone.add(d)
+            continue
+        raw, parts, upto = values[d].encode(), [], 0
+        base, first = int(offsets[d]), int(w.first[d])
+        for s, e in merged:
+            parts.append(raw[upto:int(w.start[first + s]) - base])
+            upto = int(w.end[first + e - 1]) - base
+        parts.append(raw[upto:])
+        values[d] = "\n".join(t for t in (p.decode().strip() for p in parts) if t)
+        if lengths:
+            lengths[d] = len(values[d])
+    cols = {"text": pa.array(values, b.column("text").type)} | ({chars: pa.array(lengths, b.column(chars).type)} if chars else {})
+    out = pa.RecordBatch.from_arrays([cols.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+    return out.filter(pa.array([i not in gone for i in range(b.num_rows)])) if gone else out
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with every hit word range cut out of the text, all columns.
 
     The text before and after a cut is joined by a line break.  A document
     whose words were all hit is dropped; one without hits is unchanged, byte
-    for byte.  Blocks of phrases are searched one after the other in the
-    original text of each shard, and all ranges are cut together.
+    for byte.  With several blocks of phrases each is searched in the original
+    text, and all ranges of a document are cut together.
     """
-    found = [p for p in phrase_blocks(benchmark, window, block_words)]
-    held = [docs.sparkSession.sparkContext.broadcast(p) for p in found]
+    names, docs, n = docs.columns, plain(docs), block_count(benchmark, block_words)
     schema = docs.schema
     chars = next((f.name for f in schema if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
-
-    def run(batches: Iterator[pa.RecordBatch]):
+    if n == 1:
+        held = docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, 0, 1, window))
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            for b in blocks(batches, limit=SHARD_BYTES):
+                w, (doc, start, end), _ = _find(string_column(b, "text"), held.value)
+                yield _cut(b, w, {d: list(zip((start[own] - w.first[d]).tolist(), (end[own] - w.first[d]).tolist()))
+                                  for d, own in by_text(doc)}, chars)
+
+        return docs.mapInArrow(run, schema).toDF(*names)
+    mark = "__c" + hashlib.md5("|".join(docs.columns).encode()).hexdigest()[:8]
+    row, spans = f"{mark}r", f"{mark}s"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = (_search_blocks(numbered.select(row, "text"), benchmark, n, window, [row]).filter(F.size("spans") > 0)
+            .groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(spans)))
+    whole = numbered.join(hits, row, "left").select(*map(quoted, docs.columns), spans)
+
+    def cut(batches: Iterator[pa.RecordBatch]):
         for b in blocks(batches, limit=SHARD_BYTES):
-            texts = string_column(b, "text")
-            hits: dict[int, list] = {}
-            for block in held:
-                w, (doc, start, end), _ = _find(texts, block.value)
-                for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
-                    hits.setdefault(d, []).append((s, e))
-            if not hits:
-                yield b
-                continue
-            (_, offsets), values, gone = raw_text(texts), texts.to_pylist(), set()
-            lengths = b.column(chars).to_pylist() if chars else None
-            for d, spans in hits.items():
-                merged = merge_spans(*(np.array(x) for x in zip(*spans)))
-                if sum(e - s for s, e in merged) == w.counts[d]:
-                    gone.add(d)
-                    continue
-                raw, parts, upto = values[d].encode(), [], 0
-                base = int(offsets[d])
-                for s, e in merged:
-                    parts.append(raw[upto:int(w.start[s]) - base])
-                    upto = int(w.end[e - 1]) - base
-                parts.append(raw[upto:])
-                values[d] = "\n".join(t for t in (p.decode().strip() for p in parts) if t)
-                if lengths:
-                    lengths[d] = len(values[d])
-            cols = {"text": pa.array(values, b.column("text").type)} | ({chars: pa.array(lengths, b.column(chars).type)} if chars else {})
-            out = pa.RecordBatch.from_arrays([cols.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
-            yield out.filter(pa.array([i not in gone for i in range(b.num_rows)])) if gone else out
-
-    return docs.mapInArrow(run, schema)
+            own = {i: [(s["start"], s["end"]) for s in found] for i, found in enumerate(b.column(spans).to_pylist()) if found}
+            rows = b.drop_columns([spans])
+            yield _cut(rows, split(string_column(b, "text"), "alnum") if own else None, own, chars)
 
+    return whole.mapInArrow(cut, schema).toDF(*names)

@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metroscope.llm.runtime import stored
+from metroscope.llm.runtime import quoted, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,4 +103,4 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     same = (F.col(f"{mark}d") == F.col(f"{mark}d2")) & F.col(f"{mark}i").eqNullSafe(F.col(f"{mark}i2"))
     kept = left.join(right.hint("merge"), same, "left_semi")
     # repeated rows of a kept doc_id fall together here; the join's partitioning is reused
-    return kept.dropDuplicates([f"{mark}d", f"{mark}i"]).select(*[F.col(f"`{c}`") for c in names])
+    return kept.dropDuplicates([f"{mark}d", f"{mark}i"]).select(*map(quoted, names))

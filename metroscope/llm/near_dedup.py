@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metroscope.llm.runtime import blocks, doc_text, each_row, stored, string_column
+from metroscope.llm.runtime import blocks, doc_text, each_row, plain, quoted, stored, string_column
 from metroscope.llm.words import Words, inside_text, mix, split, windows
 
 SHINGLE = 5
@@ -364,8 +364,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of a class, the row with the smallest doc_id stays (of several texts with
     that id, one).
     """
+    names, docs = docs.columns, plain(docs)
     mark = "__n" + hashlib.md5("|".join(docs.columns).encode()).hexdigest()[:8]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{mark}` binary"])
+    schema = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema] + [f"`{mark}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in blocks(batches):
@@ -377,4 +378,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             .select(F.col("class_id").alias(f"{mark}i"), F.col("node").alias(f"{mark}n")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}i")) & (F.col(mark) == F.col(f"{mark}n"))
     chosen = named.filter(F.col(mark).isNotNull()).join(keep.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", mark])
-    return chosen.unionByName(named.filter(F.col(mark).isNull())).drop(mark)
+    return chosen.unionByName(named.filter(F.col(mark).isNull())).drop(mark).toDF(*names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metroscope.llm.runtime import blocks, doc_text, raw_text, string_column
+from metroscope.llm.runtime import blocks, doc_text, plain, raw_text, string_column
 from metroscope.llm.supervision import remainder, training_rows
 from metroscope.llm.words import _runs, hash_spans, split
 
@@ -189,9 +189,11 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 
 def accept(docs: DataFrame, model: Trees, at_least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` whose text the model accepts, all columns unchanged."""
+    names, docs = docs.columns, plain(docs)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in blocks(batches, limit=1 << 20):  # eight sums over every byte: small blocks
             s = model.score(statistics(string_column(b, "text")))
             yield b.filter(pa.array(s >= at_least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

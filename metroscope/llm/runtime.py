@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +23,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written in an expression or a schema, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The same columns with names that Arrow functions take: a name with other characters than letters, digits and
+    ``_`` becomes its position; the caller gives the names back with ``toDF``."""
+    mark = "__p" + hashlib.md5("|".join(df.columns).encode()).hexdigest()[:8]
+    return df.toDF(*[c if re.fullmatch(r"[A-Za-z0-9_]+", c) else f"{mark}{i}" for i, c in enumerate(df.columns)])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

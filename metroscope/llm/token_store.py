@@ -5,8 +5,8 @@ File format (a folder):
 * ``dictionary``: one parquet row (dict_sha256, dictionary, id_bytes);
 * ``frames``: parquet rows, one per block of documents in ascending doc_id
   order: shard, block, start_in_shard (ids before the block in its shard),
-  n_ids, first_id, last_id, dict_sha256, doc_ids (int64 little-endian; the
-  smallest int64 stands for a null id), lengths (uint32 ids per document),
+  n_ids, first_id, last_id, dict_sha256, doc_ids (int64 little-endian),
+  present (one byte per document, 0 where the doc_id is null), lengths (uint32 ids per document),
   offsets (uint32 byte offset of each frame, one more than documents), frames
   (the zstandard frames, each an array of 16- or 32-bit ids).
 
@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from metroscope.llm.runtime import blocks, doc_text, parts_for, string_column
 from metroscope.llm.tokens import Encoder
 
-NO_ID = -(1 << 63)
+LEAST = -(1 << 63)      # where null doc_ids, which come first, are ordered
 SAMPLE_DOCS = 512       # documents the dictionary is trained on
 SAMPLE_IDS = 2048       # ids of each that are used for it
 DICT_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 FRAMES = ("shard int, block int, start_in_shard long, n_ids long, first_id long, last_id long, dict_sha256 string, "
-          "doc_ids binary, lengths binary, offsets binary, frames binary")
+          "doc_ids binary, present binary, lengths binary, offsets binary, frames binary")
 
 
 def _train(sample: list[bytes]) -> bytes:
@@ -94,12 +94,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_type:
         encoder = Encoder(tokenizer, added)
         for b in blocks(batches):
             flat, off = encoder.encode(string_column(b, "text"), end_id)
+            if flat.size and int(flat.max()) > np.iinfo(id_type).max:
+                raise ValueError(f"token id {int(flat.max())} does not fit into {id_type}")
             flat = flat.astype(id_type)
             width = flat.dtype.itemsize
             raw = memoryview(flat.tobytes())
             out = [frame.compress(raw[off[i] * width:off[i + 1] * width]) for i in range(len(off) - 1)]
-            key = b.column("doc_id").fill_null(NO_ID)
-            shard = np.searchsorted(cuts, key.to_numpy(zero_copy_only=False), side="left")
+            key = b.column("doc_id")
+            shard = np.searchsorted(cuts, key.fill_null(LEAST).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, pa.array(np.diff(off), pa.int64()),
                                               pa.array(out, pa.binary())], ["shard", "doc_id", "n", "frame"])
 
@@ -112,11 +114,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_type:
                 before.update(shard=shard, block=0, ids=0)
             n = np.array([r[2] for r in rows], "<u4")
             sizes = np.array([0, *(len(r[3]) for r in rows)])
-            values = (shard, before["block"], before["ids"], int(n.sum()), rows[0][1], rows[-1][1], name,
-                      np.array([r[1] for r in rows], "<i8").tobytes(), n.tobytes(), np.cumsum(sizes).astype("<u4").tobytes(),
+            ids = [LEAST if r[1] is None else r[1] for r in rows]
+            values = (shard, before["block"], before["ids"], int(n.sum()), ids[0], ids[-1], name,
+                      np.array(ids, "<i8").tobytes(), bytes(r[1] is not None for r in rows), n.tobytes(), np.cumsum(sizes).astype("<u4").tobytes(),
                       b"".join(r[3] for r in rows))
             before.update(block=before["block"] + 1, ids=before["ids"] + int(n.sum()))
-            types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.binary()] * 4]
+            types = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], [c.split()[0] for c in FRAMES.split(", ")])
 
         rows, ids = [], 0
@@ -182,7 +185,7 @@ class Store:
                     raw = [x.tobytes() for x in decode(row)]
                     start = base[row["shard"]] + row["start_in_shard"] + np.cumsum(n) - n
                     doc = np.frombuffer(row["doc_ids"], "<i8")
-                    cols = [pa.array(doc, mask=doc == NO_ID), pa.array(start), pa.array(n),
+                    cols = [pa.array(doc, mask=np.frombuffer(row["present"], np.uint8) == 0), pa.array(start), pa.array(n),
                             pa.array([zlib.crc32(x) for x in raw], pa.int64())] + [pa.array(raw, pa.binary())] * with_ids
                     yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -193,5 +196,6 @@ class Store:
         found = self.frames().filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).collect()
         decode, out = self._decoder(), []
         for row in sorted((r.asDict() for r in found), key=lambda r: (r["shard"], r["block"])):
-            out += decode(row, np.flatnonzero(np.frombuffer(row["doc_ids"], "<i8") == doc_id).tolist())
+            named = (np.frombuffer(row["doc_ids"], "<i8") == doc_id) & (np.frombuffer(row["present"], np.uint8) == 1)
+            out += decode(row, np.flatnonzero(named).tolist())
         return out

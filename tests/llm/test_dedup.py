@@ -131,6 +131,19 @@ def test_near_filter_keeps_one_of_each_class_and_wordless_rows(spark):
         key=lambda p: (p[0] is not None, p[0], p[1]))
 
 
+def test_any_column_name_passes_through(spark):
+    from metroscope.llm import decontaminate
+    item = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    docs = H.awkward(spark, [(1, "alpha beta gamma delta"), (2, "ALPHA beta gamma delta"), (3, "")]).withColumnsRenamed(
+        {"lang": "a.b", "source": "x`y", "row": "two words"})
+    for out, ids in ((exact_dedup.deduplicate(docs, _index(spark)), [2, 3]), (near_dedup.deduplicate(docs), None),
+                     (decontaminate.remove_spans(docs, item), [1, 2, 3]), (decontaminate.remove_spans(docs, item, block_words=1), [1, 2, 3])):
+        assert out.columns == docs.columns and out.schema.names[2:4] == ["a.b", "x`y"]
+        got = out.collect()
+        assert ids is None or sorted(r.doc_id for r in got) == ids
+        assert all(r["a.b"] == "en" and r["x`y"] == "s" for r in got)
+
+
 def test_signature_agreement_estimates_probability_jaccard():
     import pyarrow as pa
     from metroscope.llm import words as W

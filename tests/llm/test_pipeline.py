@@ -13,7 +13,7 @@ from metroscope.llm import runtime
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and "op1_exact_dedup" in E.oracle_sql() and [n for n, _ in C.STAGES] == [
         "quality", "exact_dedup", "near_dedup", "decontaminate", "pack"]
@@ -42,3 +42,9 @@ def test_stages_decide_on_planted_rows(spark):
     (_, _, hit, _), = H.contamination([(1, kept)], [(0, item)])
     assert hit == 0 and kept.startswith(words[0]) and len(kept.split()) < len(seen["near_dedup"][10_004].split())
     assert set(seen["pack"]) == set(seen["decontaminate"])
+
+
+def test_an_empty_table_gives_an_empty_result(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{H.SMALL}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []

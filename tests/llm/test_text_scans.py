@@ -51,6 +51,38 @@ def test_hit_ranges_are_cut_and_clean_rows_are_untouched(spark):
     assert all(hit == 0 for _, _, hit, _ in again)
 
 
+def test_blocks_of_phrases_cut_the_same_ranges_and_hold_one_broadcast(spark, monkeypatch):
+    docs = H.awkward(spark, CASES)
+    rows = lambda df: sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=str)
+    want = rows(D.remove_spans(docs, _benchmark(spark)))
+    live, most = set(), []
+
+    class Held:
+        def __init__(self, value):
+            self.real = real(value)
+            live.add(self)
+            most.append(len(live))
+
+        def destroy(self):
+            live.discard(self)
+            self.real.destroy()
+
+        @property
+        def value(self):
+            return self.real.value
+
+        def __reduce__(self):
+            return (lambda x: x, (self.real,))
+
+    real = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", Held)
+    assert D.block_count(_benchmark(spark), 4) > 3
+    out = D.remove_spans(docs, _benchmark(spark), block_words=4)
+    assert rows(out) == want and out.columns == docs.columns
+    assert max(most) == 1 and not live
+    assert H.pairs(D.remove_spans(docs, _benchmark(spark).limit(0), block_words=4)) == H.pairs(docs)
+
+
 def test_empty_benchmark_and_empty_documents(spark):
     none = _benchmark(spark).limit(0)
     rows = D.report(D.find(H.awkward(spark), none)).collect()

@@ -61,6 +61,18 @@ def test_store_round_trip_and_single_documents(spark, tokenizer):
     assert len(store.document(9)) == 2 and store.document(999) == []
 
 
+def test_the_smallest_id_is_not_a_null_and_wide_ids_are_refused(spark):
+    least = -(1 << 63)
+    path = runtime.scratch(spark, "t-store")
+    token_store.write(H.awkward(spark, [(least, "a b c"), (None, "d e"), (5, "f")]), path, tokenizer_path())
+    store = token_store.Store(spark, path)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in store.documents().collect()) == sorted(
+        (str(i), n) for i, n in ((least, 4), (None, 3), (5, 2)))
+    assert [len(x) for x in store.document(least)] == [4]
+    with pytest.raises(Exception, match="does not fit"):
+        token_store.write(H.awkward(spark, [(1, "a b c")]), runtime.scratch(spark, "t-store"), tokenizer_path(), end_id=70_000)
+
+
 def test_a_foreign_dictionary_is_refused(spark):
     path = runtime.scratch(spark, "t-store")
     token_store.write(H.awkward(spark, [(1, "a b c"), (2, "d e f")]), path, tokenizer_path())
