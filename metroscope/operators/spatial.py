@@ -31,12 +31,9 @@ import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type
 
 from metroscope.functions.geo import EARTH_RADIUS_KM, haversine_km
 from metroscope.operators.common import materialize, spread
@@ -171,6 +168,7 @@ def _sensor_stats(sensors: DataFrame, lat: str, lon: str) -> tuple[float, int]:
 # ---------------------------------------------------------------------------- leaf index
 def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Points on the unit sphere; the squared distance of two is four times the haversine term."""
+    import numpy as np  # only where an index is built
     phi, lam = np.radians(lat), np.radians(lon)
     return np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)], -1)
 
@@ -186,6 +184,7 @@ def _cell_ball(level: int, cy: int, cx: int) -> tuple[np.ndarray, float]:
     sides, and along a side it is greatest at one of its ends: the farthest
     point is a corner.  The small surplus covers rounding of cell numbers.
     """
+    import numpy as np  # only where an index is built
     size = _cell_size(level)
     south, west = cy * size - 90.0, cx * size - 180.0
     centre = _unit(np.array(south + size / 2), np.array(west + size / 2))
@@ -201,6 +200,7 @@ def _possible(xyz: np.ndarray, cand: np.ndarray, centre: np.ndarray, radius: flo
     sensors nearest to the centre are the ones compared with.  The margin
     keeps sensors whose distances differ by rounding only.
     """
+    import numpy as np  # only where an index is built
     own = xyz[cand]
     d2 = ((own - centre) ** 2).sum(1)
     near = np.sqrt(d2) <= np.sqrt(d2.min()) + 2 * radius + 1e-12
@@ -214,6 +214,7 @@ def _possible(xyz: np.ndarray, cand: np.ndarray, centre: np.ndarray, radius: flo
 
 def leaves(xyz: np.ndarray, cy: int, cx: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(level, cy, cx, candidates) of the leaves that cover one root cell."""
+    import numpy as np  # only where an index is built
     open_cells = [(0, cy, cx, np.arange(len(xyz)))]
     while open_cells:
         level, cy, cx, cand = open_cells.pop()
@@ -233,6 +234,8 @@ class LeafIndex:
     @classmethod
     def build(cls, spark: SparkSession, located: pa.Table) -> LeafIndex:
         """``located`` holds a struct ``s`` (id, lat, lon, payload) per location, sorted by id."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import from_arrow_type
         sensors = located.column("s").combine_chunks()
         held = spark.sparkContext.broadcast(sensors)
         rows, cols = int(180 / ROOT_DEG), int(360 / ROOT_DEG)
@@ -241,6 +244,7 @@ class LeafIndex:
         schema = T.StructType([*cell.fields, T.StructField("__c", T.ArrayType(kind))])
 
         def run(batches: Iterator[pa.RecordBatch]):
+            import numpy as np
             s = held.value
             xyz = _unit(*(s.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("lat", "lon")))
             for b in batches:

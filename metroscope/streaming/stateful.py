@@ -14,7 +14,6 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,6 +37,7 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _millis(t) -> int:
+    import pandas as pd  # only in a stream's tasks
     return int(pd.Timestamp(t).value // 1_000_000)
 
 
@@ -65,6 +65,7 @@ def first_rows(df: DataFrame, ts: str, delay: timedelta, key_cols: Sequence[str]
     order = list(order_cols)
 
     def first(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
         if state.hasTimedOut:
             state.remove()
             return
@@ -114,6 +115,7 @@ def live_rows(df: DataFrame, keys: Sequence[str], ts: str, expiry: timedelta, ta
         return tuple((x is not None and x == x, x if x is not None and x == x else 0) for x in row)
 
     def live(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
         if state.hasTimedOut:
             state.remove()
             return
