@@ -96,6 +96,36 @@ def json_value(v) -> Column:
             .otherwise(_first_leaf(v, s)))
 
 
+# A value held by an object of one member or by a list's first element; shapes that hold no text at all.
+_HELD = (r'^(?:\[\s*+"|\[\s*+\{\s*+"value"\s*+:\s*+"(?=[^"\\]*+"\s*+\})|\{\s*+"value"\s*+:\s*+"(?=[^"\\]*+"\s*+\}$))'
+         r'([^"\\]*+)"\s*+\}?+\s*+(?:$|[,\]])')
+_NO_TEXT = (r'^(?:\[\s*+\]|\{\s*+"value"\s*+:\s*+(?:null|"\s*+")\s*+\}|'
+            r'\{(?:\s*+"(?!value")[^"\\]*+"\s*+:\s*+(?:null|true|false|-?[0-9][0-9.eE+-]*+|"[^"\\]*+"|\{[^{}\[\]\\]*+\})\s*+,?+)*+\s*+\})$')
+
+
+def texts_are_plain(raw) -> Column:
+    """No string of the document begins with a bracket: a member read as text that does is a list or an object.
+    (A string in single quotes, or one that begins with an escaped bracket, may hide one.)"""
+    raw = _c(raw)
+    return (~raw.contains('"{') & ~raw.contains('"[') & ~(raw.contains("\\u00") & raw.rlike(r'"\\u00[57][bB]'))
+            & ~(raw.contains("'") & raw.rlike(r"[:\[,{]\s*'")))
+
+
+def plain_values(texts) -> Column:
+    """``json_value`` of members read as JSON texts, in a document whose ``texts_are_plain``: an array of ``(text, odd)``.
+
+    ``odd`` marks what a text cannot tell or hides deeper: a number or a
+    literal (it may have been a string), and nested or escaped values.
+    Every step is computed once per member.
+    """
+    steps = F.transform(texts, lambda t: F.struct(t.alias("raw"), (t.startswith("{") | t.startswith("[")).alias("open")))
+    steps = F.transform(steps, lambda x: F.struct(x["raw"].alias("raw"), x["open"].alias("open"), strip(
+        F.when(x["open"], F.regexp_extract(x["raw"], _HELD, 1)).otherwise(x["raw"])).alias("text")))
+    return F.transform(steps, lambda x: F.struct(
+        F.when(x["text"] != "", x["text"]).alias("text"),
+        F.when(x["open"], (x["text"] == "") & ~x["raw"].rlike(_NO_TEXT)).when(x["raw"].isNull(), F.lit(False)).otherwise(x["raw"].rlike(_BARE)).alias("odd")))
+
+
 def parse_iso_ts(s) -> Column:
     """ISO-8601 text (``Z`` or offset or naive = session zone) -> TIMESTAMP.
 

@@ -22,8 +22,13 @@ def var(c: Column) -> Column:
     return F.try_variant_get(F.to_variant_object(F.struct(c.alias("v"))), "$.v", "variant")
 
 
-def _val(c: Column) -> Column:
-    return F.struct(c.alias("value"))
+def _quoted(c: Column) -> Column:
+    """A text as JSON (nothing in it to escape); NULL -> ``null``."""
+    return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
 def _iso(ts: Column, zone: str = "Z") -> Column:
@@ -41,37 +46,31 @@ def stop_monitoring(spark: SparkSession, d: str) -> DataFrame:
     pub = None
     for k, v in PUBLISHED_MODE.items():
         pub = F.when(mode == k, F.lit(v)) if pub is None else pub.when(mode == k, F.lit(v))
-    journey = F.struct(
-        F.when(eid % 2 == 0, var(_val(F.col("line_id")))).otherwise(var(F.col("line_id"))).alias("LineRef"),
-        F.when(eid % 2 == 0, F.array(_val(F.col("direction")))).alias("DirectionName"),
-        F.when(eid % 2 == 1, F.array(_val(F.col("direction")))).alias("DestinationName"),
-        F.when(eid % 4 != 1, F.array(_val(F.col("line_name")))).alias("PublishedLineName"),
-        F.when(pub.isNotNull(), F.when(eid % 2 == 0, var(F.array(pub))).otherwise(var(pub))).alias("VehicleMode"),
-        F.when(F.col("operator").isNotNull(),
-               _val(F.concat(F.lit("STIF:Operator::"), F.col("operator"), F.lit(":")))).alias("OperatorRef"),
-        F.struct(_val(F.lit("2024")).alias("DataFrameRef"),
-                 _val(F.col("vehicle_journey_id")).alias("DatedVehicleJourneyRef")).alias("FramedVehicleJourneyRef"),
-        F.struct(
-            F.array(_val(F.concat(F.lit("Arrêt "), F.col("stop_id")))).alias("StopPointName"),
-            _iso(F.col("aimed_arrival")).alias("AimedArrivalTime"),
-            _iso(F.col("expected_arrival"), "+00:00").alias("ExpectedArrivalTime"),
-            F.col("arrival_status").alias("ArrivalStatus"),
-            _iso(F.col("aimed_departure")).alias("AimedDepartureTime"),
-            _iso(F.col("expected_departure"), "+00:00").alias("ExpectedDepartureTime"),
-            F.col("departure_status").alias("DepartureStatus")).alias("MonitoredCall"),
-    )
-    visit = F.struct(
-        F.when(eid % 5 != 0, _iso(F.col("recorded_at"))).alias("RecordedAtTime"),
-        F.concat(F.lit("ITEM:"), eid.cast("string")).alias("ItemIdentifier"),
-        F.when(eid % 89 != 0, _val(F.col("stop_id"))).alias("MonitoringRef"),
-        journey.alias("MonitoredVehicleJourney"),
-    )
-    one = F.struct(F.lit("2.0").alias("version"), F.array(var(visit)).alias("MonitoredStopVisit"))
-    empty = F.struct(F.lit("2.0").alias("version"), F.array().cast("array<variant>").alias("MonitoredStopVisit"))
-    deliveries = F.when(eid % 3 == 0, F.array(empty, one)).otherwise(F.array(one))
-    doc = F.struct(F.struct(F.struct(_iso(F.col("recorded_at")).alias("ResponseTimestamp"),
-                                     deliveries.alias("StopMonitoringDelivery")).alias("ServiceDelivery")).alias("Siri"))
-    return with_barrier(r.select("event_id", F.to_json(doc).alias("raw")))
+    # The text of a response, member by member in the order of their names (the values hold nothing to escape).
+    iso, iso_utc = (lambda c: _quoted(_iso(F.col(c)))), (lambda c: _quoted(_iso(F.col(c), "+00:00")))
+    held = lambda c: _text('{"value":', _quoted(c), "}")
+    listed = lambda c: _text("[", held(c), "]")
+    null = F.lit("null")
+    call = _text('{"AimedArrivalTime":', iso("aimed_arrival"), ',"AimedDepartureTime":', iso("aimed_departure"),
+                 ',"ArrivalStatus":', _quoted(F.col("arrival_status")), ',"DepartureStatus":', _quoted(F.col("departure_status")),
+                 ',"ExpectedArrivalTime":', iso_utc("expected_arrival"), ',"ExpectedDepartureTime":', iso_utc("expected_departure"),
+                 ',"StopPointName":', listed(F.concat(F.lit("Arrêt "), F.col("stop_id"))), "}")
+    journey = _text('{"DestinationName":', F.when(eid % 2 == 1, listed(F.col("direction"))).otherwise(null),
+                    ',"DirectionName":', F.when(eid % 2 == 0, listed(F.col("direction"))).otherwise(null),
+                    ',"FramedVehicleJourneyRef":{"DataFrameRef":{"value":"2024"},"DatedVehicleJourneyRef":', held(F.col("vehicle_journey_id")),
+                    '},"LineRef":', F.when(eid % 2 == 0, held(F.col("line_id"))).otherwise(_quoted(F.col("line_id"))),
+                    ',"MonitoredCall":', call,
+                    ',"OperatorRef":', F.when(F.col("operator").isNotNull(), held(F.concat(F.lit("STIF:Operator::"), F.col("operator"), F.lit(":")))).otherwise(null),
+                    ',"PublishedLineName":', F.when(eid % 4 != 1, listed(F.col("line_name"))).otherwise(null),
+                    ',"VehicleMode":', F.when(pub.isNotNull() & (eid % 2 == 0), _text("[", _quoted(pub), "]")).otherwise(_quoted(pub)), "}")
+    visit = _text('{"ItemIdentifier":', _quoted(F.concat(F.lit("ITEM:"), eid.cast("string"))), ',"MonitoredVehicleJourney":', journey,
+                  ',"MonitoringRef":', F.when(eid % 89 != 0, held(F.col("stop_id"))).otherwise(null),
+                  ',"RecordedAtTime":', F.when(eid % 5 != 0, iso("recorded_at")).otherwise(null), "}")
+    empty = F.when(eid % 3 == 0, F.lit('{"version":"2.0","MonitoredStopVisit":[]},')).otherwise(F.lit(""))
+    answered = F.coalesce(F.concat(F.lit('"ResponseTimestamp":"'), _iso(F.col("recorded_at")), F.lit('",')), F.lit(""))
+    doc = _text('{"Siri":{"ServiceDelivery":{', answered, '"StopMonitoringDelivery":[', empty,
+                '{"version":"2.0","MonitoredStopVisit":[', visit, "]}]}}}")
+    return with_barrier(r.select("event_id", doc.alias("raw")))
 
 
 def air_feed(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from metroscope.operators.common import BARRIER_COL, barrier_holds, spread
 
 from metroscope.functions import mobility as mb
-from metroscope.functions.jsonvals import json_value, parse_iso_ts
+from metroscope.functions.jsonvals import json_value, parse_iso_ts, plain_values, texts_are_plain
 
 
 # Members of a visit -> names of the scan's columns.
@@ -27,10 +29,10 @@ def _members(journey_ref: str) -> dict[str, str]:
     return out | ({"m_vj": f"{out['m_vj']}.{DATED}"} if journey_ref == "dated" else {})
 
 
-def _schema(journey_ref: str) -> T.StructType:
-    """The response with typed levels; only the polymorphic members stay VARIANT, everything else is skipped by the parser."""
+def _schema(journey_ref: str, leaf: T.DataType) -> T.StructType:
+    """The response with typed levels; the polymorphic members are read as ``leaf`` (VARIANT, or their JSON text), everything else is skipped by the parser."""
     def struct(members, **typed):
-        return T.StructType([T.StructField(m, T.VariantType()) for m in members if m not in typed] + [T.StructField(m, t) for m, t in typed.items()])
+        return T.StructType([T.StructField(m, leaf) for m in members if m not in typed] + [T.StructField(m, t) for m, t in typed.items()])
     framed = {JOURNEY["m_vj"]: struct([DATED])} if journey_ref == "dated" else {}
     visit = struct(VISIT.values(), MonitoredVehicleJourney=struct(JOURNEY.values(), MonitoredCall=struct(CALL.values()), **framed))
     delivery = struct([], MonitoredStopVisit=T.ArrayType(visit))
@@ -49,19 +51,28 @@ def scan_stop_visits(bronze: DataFrame, raw: str = "raw", journey_ref: str = "re
     Output keeps ``keep`` columns plus ``delivery_pos`` / ``visit_pos`` for
     stable input order.
     """
-    # The document is parsed once, with its levels typed.
+    # The document is parsed once, with its levels typed and its members as JSON text; a second time, with its
+    # members as VARIANT, only where a text does not tell what a member is.
     bronze = spread(bronze, barrier=True)
     keep = (*keep, *([BARRIER_COL] if BARRIER_COL in bronze.columns else []))
-    doc = bronze.select(*keep, F.from_json(F.col(raw), _schema(journey_ref)).alias("j"))
-    sd = doc.select(*keep, F.col("j.Siri.ServiceDelivery").alias("sd"))
-    base = sd.select(*keep, F.coalesce(parse_iso_ts("sd.ResponseTimestamp"), F.current_timestamp()).alias("resp_ts"),
-                     F.posexplode("sd.StopMonitoringDelivery").alias("delivery_pos", "d"))
-    vis = base.select(*keep, "resp_ts", "delivery_pos", F.posexplode("d.MonitoredStopVisit").alias("visit_pos", "vis"))
-    ctx = [*keep, "resp_ts", "delivery_pos", "visit_pos"]
-    # one reader for all members: a short plan, whatever their number
     members = _members(journey_ref)
-    read = vis.select(*ctx, F.transform(F.array(*[F.col(f"vis.{path}") for path in members.values()]), json_value).alias("texts"))
-    txt = read.select(*ctx, *[F.col("texts")[i].alias(name[2:]) for i, name in enumerate(members)])
+
+    def read(j, values):
+        """The texts of every visit's members, for every delivery."""
+        each = lambda v: values(F.array(*[reduce(lambda x, m: x[m], path.split("."), v) for path in members.values()]))
+        return F.transform(j["Siri"]["ServiceDelivery"]["StopMonitoringDelivery"], lambda d: F.transform(d["MonitoredStopVisit"], each))
+
+    doc = bronze.select(*keep, F.col(raw).alias("__raw"), F.from_json(F.col(raw), _schema(journey_ref, T.StringType())).alias("j"))
+    doc = doc.select(*keep, "__raw", F.coalesce(parse_iso_ts("j.Siri.ServiceDelivery.ResponseTimestamp"), F.current_timestamp()).alias("resp_ts"),
+                     read(F.col("j"), plain_values).alias("read"))
+    odd = F.exists("read", lambda d: F.exists(d, lambda v: F.exists(v, lambda x: x["odd"])))
+    whole = F.from_json(F.col("__raw"), _schema(journey_ref, T.VariantType()))
+    texts = (F.when(~texts_are_plain("__raw") | F.coalesce(odd, F.lit(False)), read(whole, lambda a: F.transform(a, json_value)))
+             .otherwise(F.transform("read", lambda d: F.transform(d, lambda v: v["text"]))))
+    base = doc.select(*keep, "resp_ts", F.posexplode(texts).alias("delivery_pos", "d"))
+    ctx = [*keep, "resp_ts", "delivery_pos", "visit_pos"]
+    vis = base.select(*keep, "resp_ts", "delivery_pos", F.posexplode("d").alias("visit_pos", "texts"))
+    txt = vis.select(*ctx, *[F.col("texts")[i].alias(name[2:]) for i, name in enumerate(members)])
     op = mb.operator_name(F.col("op"))
     out = txt.select(
         *ctx,
