@@ -6,7 +6,9 @@ candidate of the reference's id-ordered snapshot.  Three exact strategies:
 
 * ``scan``  - few sensors (count checked against ``SCAN_MAX_SENSORS``): the
   sensor list is a scalar subquery (evaluated once, a few KB) and each point
-  takes ``array_min`` over the distances; no join, no shuffle.
+  takes ``array_min`` over the distances; no join, no shuffle.  When the caller
+  asks for a scan of more sensors, NumPy compares all pairs in blocks and the
+  distance formula decides among the sensors left.
 * ``cells`` - up to ``INDEX_MAX_SENSORS`` locations: cells are cut into 4 x 4
   until at most ``LEAF_CANDIDATES`` sensors can be the nearest one
   of some point in the cell, however dense or empty the region around it; the
@@ -18,10 +20,12 @@ candidate of the reference's id-ordered snapshot.  Three exact strategies:
   lat/lon grid; a point is equi-joined with the sensors of its 3x3 cell
   block and keeps the best candidate when it is provably closer than
   anything outside the block.  Points left over go to a grid with cells
-  eight times as large, until one cell spans the globe.  The replicated sensor
-  side is broadcast only under a checked row bound; otherwise the join
-  shuffles on the cell (AQE splits cells that are hot on the point side).
-  Each level's output is checkpointed to the shared checkpoint folder, so
+  eight times as large, until one cell spans the globe.  When the replicated
+  sensors of all levels keep a checked row bound, each level is a broadcast
+  table of cells with their sensor lists, and points never move.  Otherwise a
+  level's sensor side is broadcast only under that bound, and the join shuffles
+  on the cell beyond it (AQE splits cells that are hot on the point side);
+  each such level's output is checkpointed to the shared checkpoint folder, so
   lineage stays short and a lost executor recomputes one level only.
 """
 
@@ -93,8 +97,10 @@ def nearest(points: DataFrame, sensors: DataFrame, point_keys: Sequence[str], *,
     points = spread(points)
     if strategy != "grid":
         located = _by_location(sensors, sensor_id, lat, lon, payload).orderBy("s.id").limit(INDEX_MAX_SENSORS + 1).toArrow()  # a bounded table
-        if located.num_rows <= SCAN_MAX_SENSORS or (strategy == "scan" and located.num_rows <= SCAN_FORCED_MAX_SENSORS):
+        if located.num_rows <= SCAN_MAX_SENSORS:
             return _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, payload, prefix)
+        if strategy == "scan" and located.num_rows <= SCAN_FORCED_MAX_SENSORS:
+            return _nearest_blocks(points, located, point_lat, point_lon, payload, prefix)
         index = LeafIndex.build(points.sparkSession, located) if located.num_rows <= INDEX_MAX_SENSORS else None
         if index is not None and index.bytes <= INDEX_MAX_BYTES:
             return index.attach(points, point_lat, point_lon, payload, prefix)
@@ -116,6 +122,45 @@ def _nearest_scan(points, sensors, sensor_id, lat, lon, point_lat, point_lon, pa
     return _unpack(out, "__best", payload, prefix)
 
 
+SCAN_BLOCK = 1 << 18  # (point, sensor) pairs compared at once
+
+
+def closest_in_blocks(xyz: np.ndarray, points: np.ndarray) -> Iterator[np.ndarray]:
+    """Per point the sensors whose chord equals the shortest but for rounding: every pair is compared, a block at a time.
+
+    NaN points take the first sensor.
+    """
+    import numpy as np  # only in a scan's tasks
+    step = max(1, SCAN_BLOCK // len(xyz))
+    for i in range(0, len(points), step):
+        cos = points[i:i + step] @ xyz.T
+        cos[np.isnan(cos[:, 0])] = np.where(np.arange(len(xyz)) == 0, 1.0, -1.0)
+        row, sensor = np.nonzero(cos >= cos.max(1, keepdims=True) - 1e-14)
+        yield from np.split(sensor, np.searchsorted(row, np.arange(1, len(cos))))
+
+
+def _nearest_blocks(points, located, point_lat, point_lon, payload, prefix):
+    """Every point against every sensor location: NumPy leaves the few sensors that may be nearest, the distance formula decides."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_type
+    sensors = located.column("s").combine_chunks()
+    held = points.sparkSession.sparkContext.broadcast(sensors)
+
+    def candidates(lat, lon):
+        import numpy as np
+        s = held.value
+        xyz = _unit(*(s.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("lat", "lon")))
+        with np.errstate(invalid="ignore"):
+            found = list(closest_in_blocks(xyz, _unit(*(c.to_numpy(zero_copy_only=False).astype(float) for c in (lat, lon)))))
+        size = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), s.take(pa.array(np.concatenate(found) if found else [], pa.int64())))
+
+    plat, plon = F.col(point_lat).cast("double"), F.col(point_lon).cast("double")
+    read = F.arrow_udf(candidates, T.ArrayType(from_arrow_type(sensors.type)), F.ArrowUDFType.SCALAR)
+    out = _with_closest(points.withColumn("__cands", read(plat, plon)), "__cands", "__best", plat, plon).drop("__cands")
+    return _unpack(out, "__best", payload, prefix)
+
+
 # ---------------------------------------------------------------------------- grid strategy
 LEVEL_GROWTH = 8  # each fallback level has cells this many times larger
 
@@ -326,6 +371,40 @@ def _safe_radius_km(plat: Column, plon: Column, c: float) -> Column:
     return F.least(d_lo, d_hi, d_lon) * F.lit(1.0 - 1e-9) - F.lit(1e-9)
 
 
+def _replicated(sens: DataFrame, c: float) -> DataFrame:
+    """Every sensor once for each cell of its 3x3 block."""
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+                        for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    ncx = math.ceil(360.0 / c)
+    rep = (sens.select("s", _cell_y(F.col("s.lat"), c).alias("cy0"), _cell_x(F.col("s.lon"), c).alias("cx0"))
+           .select("s", F.explode(offsets).alias("o"), "cy0", "cx0")
+           .select("s", (F.col("cy0") + F.col("o.dy")).alias("__cy"),
+                   F.pmod(F.col("cx0") + F.col("o.dx"), F.lit(ncx)).alias("__cx")))
+    # offsets wrap onto the same cell: keep one copy
+    return rep.dropDuplicates(["__cy", "__cx", "s"]) if ncx < 3 else rep
+
+
+def _through_levels(points: DataFrame, sens: DataFrame, levels: Sequence[float], point_lat: str, point_lon: str) -> DataFrame:
+    """Points with ``__b``, when the replicated sensors of all levels together are few enough to broadcast.
+
+    A cell's sensors are one list, so a point stays one row in its task: it
+    looks up its cell level by level until the best sensor is provably the
+    nearest, and nothing is shuffled, grouped or stored.
+    """
+    plat, plon = F.col(point_lat), F.col(point_lon)
+    out = points.withColumn("__done", F.lit(None).cast(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("s", sens.schema["s"].dataType)])))
+    for i, c in enumerate(levels):
+        cells = (_replicated(sens, c).groupBy(F.col("__cy").alias("__y"), F.col("__cx").alias("__x"))
+                 .agg(F.sort_array(F.collect_list("s")).alias("__c")))
+        todo = F.col("__done").isNull()  # a point that is done has no cell any more
+        out = out.withColumns({"__cy": F.when(todo, _cell_y(plat, c)), "__cx": F.when(todo, _cell_x(plon, c))})
+        same = (F.col("__cy") == F.col("__y")) & (F.col("__cx") == F.col("__x"))
+        out = _with_closest(out.join(F.broadcast(cells), same, "left").drop("__y", "__x"), "__c", "__b", plat, plon)
+        settled = F.col("__b") if i == len(levels) - 1 else F.when(F.col("__b.d") <= _safe_radius_km(plat, plon, c), F.col("__b"))
+        out = out.withColumn("__done", F.when(todo, settled).otherwise(F.col("__done"))).drop("__c", "__b", "__cy", "__cx")
+    return out.withColumnRenamed("__done", "__b")
+
+
 def _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, point_lon, payload, prefix,
                   start_cell_deg):
     spark = points.sparkSession
@@ -338,6 +417,8 @@ def _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, p
     if start_cell_deg:
         start = start_cell_deg
     levels = _cell_levels(start)
+    if 9 * n * len(levels) <= BROADCAST_MAX_CELL_ROWS:
+        return _unpack(_through_levels(points, sens, levels, point_lat, point_lon), "__b", payload, prefix)
 
     pcols = list(points.columns)
     todo = points.select(F.struct(*[F.col(c) for c in pcols]).alias("__p"))
@@ -345,15 +426,7 @@ def _nearest_grid(points, sensors, point_keys, sensor_id, lat, lon, point_lat, p
     done: list[DataFrame] = []
     for i, c in enumerate(levels):
         last = i == len(levels) - 1
-        offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                            for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-        ncx = math.ceil(360.0 / c)
-        rep = (sens.select("s", _cell_y(F.col("s.lat"), c).alias("cy0"), _cell_x(F.col("s.lon"), c).alias("cx0"))
-               .select("s", F.explode(offsets).alias("o"), "cy0", "cx0")
-               .select("s", (F.col("cy0") + F.col("o.dy")).alias("__cy"),
-                       F.pmod(F.col("cx0") + F.col("o.dx"), F.lit(ncx)).alias("__cx")))
-        if ncx < 3:  # offsets wrap onto the same cell: keep one copy
-            rep = rep.dropDuplicates(["__cy", "__cx", "s"])
+        rep = _replicated(sens, c)
         if 9 * n <= BROADCAST_MAX_CELL_ROWS:
             rep = F.broadcast(rep)
         keyed = todo.select("__p", _cell_y(plat, c).alias("__cy"), _cell_x(plon, c).alias("__cx"))

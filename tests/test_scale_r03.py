@@ -3,11 +3,14 @@
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from metroscope.functions import jsonvals as jv
+from metroscope.operators import spatial
 from metroscope.sources import stop_visits
 from test_beyond_bounds import _python_value
+from test_spatial import _brute
 
 
 # ------------------------------------------------------------------ stop visits
@@ -47,3 +50,29 @@ def test_usual_shapes_are_settled_by_their_text(spark):
     assert all(x.odd for x in hidden.select(jv.plain_values(F.col("t")).alias("r")).first().r)
     plain = spark.createDataFrame([('{"a":["b"]}', True), ('{"a":"[b"}', False), ("{'a':'[b'}", False), ('{"a":"\\u005bb"}', False), ('{"a":"l\'arrêt"}', True)], "raw string, want boolean")
     assert all(r.got == r.want for r in plain.select("want", jv.texts_are_plain("raw").alias("got")).collect())
+
+
+# ------------------------------------------------------------------ nearest sensor
+def _near(spark, strategy):
+    rnd = random.Random(12)
+    pts = [(i, 48 + rnd.uniform(0, 2), 1.5 + rnd.uniform(0, 2)) for i in range(400)] + [(900, 10.0, -60.0), (901, 48.5, 2.0), (902, None, 2.0)]
+    sens = [(f"s{j:04d}", 48 + rnd.uniform(0, 2), 1.5 + rnd.uniform(0, 2)) for j in range(80)] + [("dup-b", 48.5, 2.0), ("dup-a", 48.5, 2.0)]
+    P = spark.createDataFrame(pts, "pid int, latitude double, longitude double")
+    S = spark.createDataFrame(sens, "sensor_id string, latitude double, longitude double")
+    return spatial.nearest(P, S, ["pid"], prefix="n_", strategy=strategy), _brute([p for p in pts if p[1] is not None], sens) | {902: None}
+
+
+def test_grid_points_never_move(spark):
+    near, want = _near(spark, "grid")
+    assert {r.pid: r.n_id for r in near.collect()} == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "pid" not in "".join(line for line in plan.splitlines() if "Aggregate" in line)  # only sensors are grouped
+
+
+def test_a_forced_scan_leaves_few_sensors_to_the_formula(spark):
+    near, want = _near(spark, "scan")
+    assert {r.pid: r.n_id for r in near.filter("latitude IS NOT NULL").collect()} == {k: v for k, v in want.items() if v}
+    assert "ArrowEvalPython" in near._jdf.queryExecution().executedPlan().toString()
+    xyz = spatial._unit(np.array([48.5, 48.6, 48.6]), np.array([2.0, 2.1, 2.1]))
+    points = spatial._unit(np.array([48.5, 48.6, np.nan]), np.array([2.01, 2.1, 2.0]))
+    assert [x.tolist() for x in spatial.closest_in_blocks(xyz, points)] == [[0], [1, 2], [0]]
