@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metroscope.functions import mobility as mb
 from metroscope.operators import bucketed, delays, facts, rollups, sinks, topn
+from metroscope.operators.common import stored_copy
 from metroscope.plans import adapters as A
 from metroscope.plans import adapters_bronze as B
 from metroscope.plans.queries import AS_OF_SQL, r6, register, sql_r6, views
@@ -78,8 +79,9 @@ SELECT event_id, stop_id, coalesce(expected_arrival, expected_departure, aimed_a
 FROM raw WHERE event_id % 89 <> 0""", raw=RAW_E))
 def q_stop_board(spark, d):
     """Stop board: visits by best time (NULL last), stable on input order."""
-    p = _scanned(spark, d)
-    return p.select("event_id", "stop_id", mb.best_time().alias("best_time")).orderBy(*_board_order())
+    board = _scanned(spark, d).select("event_id", "stop_id", mb.best_time().alias("best_time"))
+    # a global sort reads its input twice, first for the ranges: the documents are scanned once
+    return stored_copy(board, "stop-board").orderBy(*_board_order())
 
 
 @register("stop_board_topn", A.with_views(f"""
@@ -107,6 +109,7 @@ ARRIVAL = ["event_id", "delivery_pos", "visit_pos"]  # fetch, delivery and visit
 def _load_twice(spark, rows, keys, order, key_exprs=None, range_col=None):
     """The stored table after loading the same batch twice (the second load must add nothing)."""
     path = sinks.scratch_path(spark, "load")
+    rows = stored_copy(rows, "load-batch")  # the feed is scanned once, both loads read its rows
     for _ in range(2):
         sinks.insert_if_absent(rows, path, keys, order, key_exprs, range_col=range_col)
     return spark.read.parquet(path)
@@ -137,7 +140,7 @@ def q_load_visits_bucketed(spark, d):
     rows = facts.stop_visit_rows(_scanned(spark, d), keep=ARRIVAL).withColumn("vehicle_journey_key", mb.vehicle_journey_key())
     cols = ["stop_id", "line_id", "vehicle_journey_key", "recorded_at", "direction", "operator", "aimed_arrival", "expected_departure",
             "delay_seconds"]
-    parsed = rows.select(*cols, *ARRIVAL)
+    parsed = stored_copy(rows.select(*cols, *ARRIVAL), "load-batch")  # the feed is scanned once, both loads read its rows
     target = bucketed.BucketedTarget(spark, sinks.scratch_path(spark, "bucketed"), parsed.select(*cols).schema, cols[:4], "recorded_at",
                                      int(spark.conf.get("spark.sql.shuffle.partitions")))
     for _ in range(2):

@@ -76,3 +76,20 @@ def test_a_forced_scan_leaves_few_sensors_to_the_formula(spark):
     xyz = spatial._unit(np.array([48.5, 48.6, 48.6]), np.array([2.0, 2.1, 2.1]))
     points = spatial._unit(np.array([48.5, 48.6, np.nan]), np.array([2.01, 2.1, 2.0]))
     assert [x.tolist() for x in spatial.closest_in_blocks(xyz, points)] == [[0], [1, 2], [0]]
+
+
+# ------------------------------------------------------------------ boards and loads
+def test_boards_and_loads_scan_their_feed_once(spark, monkeypatch):
+    from metroscope.operators import bucketed, sinks
+    from metroscope.plans.queries import REGISTRY
+    d, seen = "/root/testdata/sf0.001", []
+    parses = lambda df: "from_json" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert not parses(REGISTRY["stop_board"][0](spark, d))  # the sort reads stored rows
+    for cls, name, at in ((sinks, "insert_if_absent", 0), (bucketed.BucketedTarget, "insert", 1)):
+        def spy(*args, _plain=getattr(cls, name), _at=at, **kw):
+            seen.append(parses(args[_at]))
+            return _plain(*args, **kw)
+        monkeypatch.setattr(cls, name, spy)
+    REGISTRY["load_visits"][0](spark, d)
+    REGISTRY["load_visits_bucketed"][0](spark, d)
+    assert seen == [False] * 4
