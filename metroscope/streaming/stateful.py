@@ -14,26 +14,33 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from metroscope.operators import sinks
 from metroscope.streaming.landing import write_batch
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
+TASKS_PER_CORE = 3
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_TIME = 2 ** 62  # stands for a missing event time in a group's state
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER, None)
+    """Queries started inside keep their state in RocksDB, in at most ``TASKS_PER_CORE`` partitions a core: every
+    micro-batch starts a Python worker for each, with or without rows.  (A checkpoint keeps the number it began with.)"""
+    before = {k: spark.conf.get(k, None) for k in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set(PARTITIONS, min(int(spark.conf.get(PARTITIONS)), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _millis(t) -> int:
@@ -52,38 +59,57 @@ def _run(out: DataFrame, target: str, checkpoint: str, output_mode: str) -> list
             "state_rows": sum(s.numRowsTotal for s in p.stateOperators), "late_rows": sum(s.numRowsDroppedByWatermark for s in p.stateOperators)} for p in q.recentProgress]
 
 
-def first_rows(df: DataFrame, ts: str, delay: timedelta, key_cols: Sequence[str], order_cols: Sequence[str], target: str, checkpoint: str) -> list[dict]:
+def _key_text(df: DataFrame, key_cols: Sequence[str]) -> Column:
+    """A row's key as one text; two keys have the same text only when Spark groups them together."""
+    plain = [F.when(F.col(k) == 0, F.lit(0.0)).otherwise(F.col(k)).alias(k) if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType)) else F.col(k)
+             for k in key_cols]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*plain), exact)
+
+
+def first_rows(df: DataFrame, ts: str, delay: timedelta, key_cols: Sequence[str], order_cols: Sequence[str], target: str, checkpoint: str,
+               parts: int = 32) -> list[dict]:
     """Write the first row of every key of a stream: the earliest micro-batch's, in it the smallest ``order_cols``.
 
     ``key_cols`` must hold ``ts``, so that repeats of a key share its event time
     and the key's state can go when the watermark (latest event time less
-    ``delay``) passes it.  Rows behind the watermark are left to ``set_aside_late``.
-    Returns one entry per micro-batch: rows read, state rows, late rows.
+    ``delay``) passes it.  Keys are kept in groups, by time slots one ``delay``
+    long and ``parts`` hash parts: a group's rows are compared at once, and its
+    state, the keys not yet behind the watermark, goes with its slot.  Rows
+    behind the watermark are left to ``set_aside_late``.
+    Returns one entry per micro-batch: rows read, state rows (groups), late rows.
     """
     if ts not in key_cols:
         raise ValueError("the key must hold the event time")
-    order = list(order_cols)
+    order, names = list(order_cols), list(df.columns)
+    slot_ms = max(1, int(delay.total_seconds())) * 1000
 
-    def first(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def first(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pandas as pd
         if state.hasTimedOut:
             state.remove()
             return
-        best = None  # smallest in arrival order of the key's rows in this micro-batch
-        if state.exists:
-            return
+        behind = state.getCurrentWatermarkMs()
+        keys, times = state.get if state.exists else ([], [])
+        held = dict(zip(keys, times))
+        best = None  # smallest in arrival order of every new key's rows in this micro-batch
         for f in frames:
-            whole = f if best is None else pd.concat([best, f])
-            best = whole if len(whole) == 1 else whole.sort_values(order, kind="stable").iloc[:1]
-        if best is None:
+            f = f[~f["__key"].isin(held.keys())]
+            f = f if best is None else pd.concat([best, f])
+            best = f.sort_values(order, kind="stable").drop_duplicates("__key") if f["__key"].duplicated().any() else f
+        if best is None or best.empty:
             return
-        state.update((True,))
-        state.setTimeoutTimestamp(max(_millis(best[ts].iloc[0]), state.getCurrentWatermarkMs()) + 1)
-        yield best
-
-    seconds = int(delay.total_seconds())
-    out = (df.withWatermark(ts, f"{seconds} seconds").groupBy(*key_cols)
-           .applyInPandasWithState(first, df.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout))
+        held = {k: t for k, t in held.items() if t >= behind} | dict(zip(best["__key"], best["__ms"].tolist()))
+        state.update((list(held.keys()), list(held.values())))
+        last = 0 if group[0] is None or group[0] != group[0] else (int(group[0]) + 1) * slot_ms
+        state.setTimeoutTimestamp(max(last, behind) + 1)
+        yield best[names]
+
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    held_in = {"__key": _key_text(df, key_cols), "__ms": F.coalesce(ms, F.lit(NO_TIME)), "__slot": F.floor(ms / slot_ms)}
+    grouped = df.withColumns(held_in).withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(parts)))
+    out = (grouped.withWatermark(ts, f"{int(delay.total_seconds())} seconds").groupBy("__slot", "__part")
+           .applyInPandasWithState(first, df.schema, "keys array<string>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout))
     return _run(out, target, checkpoint, "append")
 
 
