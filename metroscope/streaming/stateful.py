@@ -125,39 +125,62 @@ def set_aside_late(landed: DataFrame, target: DataFrame, key_cols: Sequence[str]
     return landed.sparkSession.read.parquet(f"{late}/batch_id=0").count()
 
 
-def live_rows(df: DataFrame, keys: Sequence[str], ts: str, expiry: timedelta, target: str, checkpoint: str) -> list[dict]:
+def live_rows(df: DataFrame, keys: Sequence[str], ts: str, expiry: timedelta, target: str, checkpoint: str, parts: int = 256) -> list[dict]:
     """Write a row whenever a key's latest row changes; a key's state goes ``expiry`` behind the newest event time.
 
     Of rows with equal times the largest by the other columns in order stays.
     The last written row per key is the live one; readers apply the trailing
-    filter.  Returns one entry per micro-batch.
+    filter.  Keys are kept in ``parts`` hash parts whose rows are compared at
+    once; a part's state goes when all its keys have expired.  Returns one
+    entry per micro-batch.
     """
-    cols = [ts, *[c for c in df.columns if c != ts and c not in keys]]
-    schema = df.schema
-    held = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in cols)
-    after, names = int(expiry.total_seconds() * 1000), list(df.columns)
+    schema, names = df.schema, list(df.columns)
+    rest = [c for c in names if c != ts and c not in keys]
+    after, at = int(expiry.total_seconds() * 1000), [names.index(c) for c in [ts, *rest]]
+    held_in = T.StructType([T.StructField("rows", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("ms", T.LongType()),
+                                                                          *[T.StructField(c, schema[c].dataType) for c in [ts, *rest]]])))])
+
+    whole_numbers = {c for c in names if isinstance(schema[c].dataType, T.IntegralType)}
+
+    def plain(row: Sequence, cols: Sequence[str]) -> tuple:
+        import pandas as pd  # beside missing values pandas holds whole numbers as floats
+        row = [None if x is pd.NaT or (isinstance(x, float) and x != x) else x for x in row]
+        return tuple(int(x) if x is not None and c in whole_numbers else x for c, x in zip(cols, row))
 
     def rank(row: Sequence) -> tuple:
-        return tuple((x is not None and x == x, x if x is not None and x == x else 0) for x in row)
+        import pandas as pd
+        row = [None if row[0] is None else pd.Timestamp(row[0]), *row[1:]]
+        return tuple((x is not None, x if x is not None else 0) for x in row)
 
-    def live(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def live(_part, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pandas as pd
         if state.hasTimedOut:
             state.remove()
             return
-        before = tuple(state.get) if state.exists else None
-        best = before
+        behind = state.getCurrentWatermarkMs()
+        held = {r[0]: (r[1], tuple(r[2:])) for r in state.get[0]} if state.exists else {}
+        changed = {}
         for f in frames:
-            for row in f[cols].nlargest(1, ts, keep="all").itertuples(index=False, name=None):
-                row = tuple(None if x is pd.NaT or (isinstance(x, float) and x != x) else x for x in row)
-                if best is None or rank([pd.Timestamp(row[0]), *row[1:]]) > rank([pd.Timestamp(best[0]), *best[1:]]):
-                    best = row
-        if best is None or best == before:
+            latest = f.groupby("__key")[ts].transform("max")
+            f = f[f[ts].eq(latest) | latest.isna()]  # of every key the rows at its latest time
+            for key, ms, values in zip(f["__key"], f["__ms"], f[names].itertuples(index=False, name=None)):
+                values = plain(values, names)
+                row = tuple(values[i] for i in at)
+                if key not in held or rank(row) > rank(held[key][1]):
+                    held[key], changed[key] = (int(ms), row), values
+        if not changed:
             return
-        state.update(best)
-        state.setTimeoutTimestamp(max(_millis(best[0]) + after, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([[*key, *best]], columns=[*keys, *cols])[names]
+        held = {k: x for k, x in held.items() if x[0] + after >= behind}  # the others have expired
+        if held:
+            state.update(([(k, ms, *row) for k, (ms, row) in held.items()],))
+            state.setTimeoutTimestamp(max(max(ms for ms, _ in held.values()) + after, behind + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame.from_records(list(changed.values()), columns=names)
 
-    out = (df.withWatermark(ts, f"{after // 1000} seconds").groupBy(*keys)
-           .applyInPandasWithState(live, schema, held, "update", GroupStateTimeout.EventTimeTimeout))
+    ms = F.coalesce(F.unix_millis(F.col(ts).cast("timestamp")), F.lit(0))
+    grouped = (df.withColumns({"__key": _key_text(df, keys), "__ms": ms})
+               .withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(parts))))
+    out = (grouped.withWatermark(ts, f"{after // 1000} seconds").groupBy("__part")
+           .applyInPandasWithState(live, schema, held_in, "update", GroupStateTimeout.EventTimeTimeout))
     return _run(out, target, checkpoint, "update")

@@ -26,3 +26,15 @@ def test_keys_of_a_time_slot_share_their_state(spark):
     assert max(x["state_rows"] for x in progress) <= 2 * 32  # of 302 keys
     offsets = spark.read.text(f"{p['ckpt']}/offsets").filter(F.col("value").contains("shuffle.partitions"))
     assert offsets.select(F.regexp_extract("value", r'shuffle\.partitions":"(\d+)"', 1).cast("int").alias("n")).agg(F.max("n")).first()[0] <= 12
+
+
+def test_live_keys_share_their_state_and_keep_whole_numbers(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    first = [(f"k{i % 600}", at(i // 600), i if i % 7 else None, f"b0-{i}") for i in range(1800)]
+    second = [("k0", at(0), 9, "older"), ("k1", at(2), 1201, "a smaller tie"), ("k3", at(2), 1203, "b0-1203"), ("k2", at(3), None, "newer"), (None, at(0), 3, "no key")]
+    p, stream = _stream(spark, "t-live-parts", [first, second])
+    progress = S.live_rows(stream.drop("part"), ["k"], "ts", timedelta(hours=6), p["out"], p["ckpt"], parts=16)
+    rows = spark.read.parquet(p["out"]).collect()
+    assert {(r.k, r.ts, r.pos, r.body) for r in rows if r.batch_id == 0} == {(f"k{i - 1200}", at(2), i if i % 7 else None, f"b0-{i}") for i in range(1200, 1800)}
+    assert {(r.k, r.pos, r.body) for r in rows if r.batch_id == 1} == {("k2", None, "newer"), (None, 3, "no key")}
+    assert max(x["state_rows"] for x in progress) <= 16  # of 601 keys
