@@ -22,8 +22,9 @@ from metroscope.streaming import stateful as S
 AS_OF = A.AS_OF
 LOAD_KEY = ["stop_id", "line_id", "vehicle_journey_key", "recorded_at"]
 ARRIVAL = ["source_file", "delivery_pos", "visit_pos"]  # landed file, delivery and visit position
-# Documents land in files of mixed event times; a micro-batch takes some of them.
+# Documents land in files of mixed event times, several for every core; a micro-batch takes a third of them.
 LANDED_FILES, FILES_PER_TRIGGER = 6, 2
+TASKS_PER_CORE = 3
 
 
 def _journey_key():
@@ -32,8 +33,9 @@ def _journey_key():
 
 def _landed(spark, name, docs):
     p = L.scratch(spark, name)
-    L.land(docs.repartition(LANDED_FILES, F.xxhash64("event_id")), p["landing"])
-    return p, L.stream_scan(spark, p["landing"], FILES_PER_TRIGGER)
+    times = -(-TASKS_PER_CORE * spark.sparkContext.defaultParallelism // LANDED_FILES)
+    L.land(docs.repartition(times * LANDED_FILES, F.xxhash64("event_id")), p["landing"])
+    return p, L.stream_scan(spark, p["landing"], times * FILES_PER_TRIGGER)
 
 
 def _visit_stream(spark, d, name, keep=()):

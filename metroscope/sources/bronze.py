@@ -13,6 +13,12 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw")))
 
 
+def one_line(raw: Column) -> Column:
+    """The text with every run of line breaks as one space; a text without any is passed as it is."""
+    broken = raw.contains("\n") | raw.contains("\r")
+    return F.when(broken, F.regexp_replace(raw, r"[\r\n]+", " ")).otherwise(raw)
+
+
 def write_bronze(df: DataFrame, path: str, partition_cols=("source", "ingest_date")) -> None:
     """Archive raw JSON responses, one document a line, partitioned by source
     and ingest date; appends never rewrite earlier partitions.
@@ -20,8 +26,7 @@ def write_bronze(df: DataFrame, path: str, partition_cols=("source", "ingest_dat
     Line breaks between members become spaces (inside JSON strings they are
     escaped already), so millions of small responses share few files.
     """
-    one_line = F.regexp_replace("raw", r"[\r\n]+", " ").alias("raw")
-    df.select(one_line, *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
+    df.select(one_line(F.col("raw")).alias("raw"), *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from metroscope.operators import sinks
 from metroscope.operators.snapshots import latest_per_key
+from metroscope.sources.bronze import one_line
 
 
 def land(df: DataFrame, landing_dir: str, raw: str = "raw") -> None:
     """Append raw documents (one JSON per row) as JSON-lines text files."""
-    df.select(F.regexp_replace(F.col(raw), r"[\r\n]+", " ").alias("value")).write.mode("append").text(landing_dir)
+    df.select(one_line(F.col(raw)).alias("value")).write.mode("append").text(landing_dir)
 
 
 def stream_scan(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:

@@ -38,3 +38,16 @@ def test_live_keys_share_their_state_and_keep_whole_numbers(spark):
     assert {(r.k, r.ts, r.pos, r.body) for r in rows if r.batch_id == 0} == {(f"k{i - 1200}", at(2), i if i % 7 else None, f"b0-{i}") for i in range(1200, 1800)}
     assert {(r.k, r.pos, r.body) for r in rows if r.batch_id == 1} == {("k2", None, "newer"), (None, 3, "no key")}
     assert max(x["state_rows"] for x in progress) <= 16  # of 601 keys
+
+
+def test_documents_land_in_files_for_every_core_and_three_batches(spark):
+    from metroscope.plans import q_streaming as Q
+    docs = spark.range(400).select(F.col("id").alias("event_id"), F.concat(F.lit("a\r\n\nb\n"), F.col("id").cast("string")).alias("raw"))
+    p, stream = Q._landed(spark, "t-landed", docs)
+    landed = spark.read.text(p["landing"])
+    assert sorted(r.value for r in landed.collect()) == sorted(f"a b {i}" for i in range(400))
+    assert len(landed.inputFiles()) >= 2 * spark.sparkContext.defaultParallelism
+    from metroscope.streaming import landing as L
+    L.append_batches(stream.select("raw"), p["out"], p["ckpt"])
+    stored = spark.read.parquet(p["out"])
+    assert stored.select("batch_id").distinct().count() == 3 and stored.count() == 400
