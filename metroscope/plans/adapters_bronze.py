@@ -39,8 +39,8 @@ def _iso(ts: Column, zone: str = "Z") -> Column:
 PUBLISHED_MODE = {"metro": "metro", "rer": "rail", "tram": "tram", "bus": "bus"}
 
 
-def stop_monitoring(spark: SparkSession, d: str) -> DataFrame:
-    """One stop-monitoring response per event: ``(event_id, raw)``."""
+def stop_monitoring(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One stop-monitoring response per event: ``(event_id, raw)``, with the columns of the visit named by ``keep``."""
     r = A.stop_visits_raw(spark, d, with_event_id=True)
     eid, mode = F.col("event_id"), F.col("transport_mode")
     pub = None
@@ -70,7 +70,7 @@ def stop_monitoring(spark: SparkSession, d: str) -> DataFrame:
     answered = F.coalesce(F.concat(F.lit('"ResponseTimestamp":"'), _iso(F.col("recorded_at")), F.lit('",')), F.lit(""))
     doc = _text('{"Siri":{"ServiceDelivery":{', answered, '"StopMonitoringDelivery":[', empty,
                 '{"version":"2.0","MonitoredStopVisit":[', visit, "]}]}}}")
-    return with_barrier(r.select("event_id", doc.alias("raw")))
+    return with_barrier(r.select("event_id", doc.alias("raw"), *keep))
 
 
 def air_feed(spark: SparkSession, d: str) -> DataFrame:

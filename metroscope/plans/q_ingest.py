@@ -291,8 +291,7 @@ SELECT 'prim' AS source, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS ingest_da
 FROM stop_visits GROUP BY 2""", **views("stop_visits")))
 def q_bronze_write(spark, d):
     """Archive raw responses partitioned by source and date; read back counts."""
-    bronze = B.stop_monitoring(spark, d).join(A.stop_visits_raw(spark, d, with_event_id=True)
-                                              .select("event_id", "recorded_at"), "event_id")
+    bronze = B.stop_monitoring(spark, d, keep=("recorded_at",))
     bronze = bronze.select("raw", F.lit("prim").alias("source"),
                            F.date_format("recorded_at", "yyyy-MM-dd").alias("ingest_date"))
     path = sinks.scratch_path(spark, "bronze")

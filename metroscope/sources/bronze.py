@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN_FILES = 100
+
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     """``(source_file, raw)`` rows, one per landed file (a whole, possibly
@@ -24,9 +27,17 @@ def write_bronze(df: DataFrame, path: str, partition_cols=("source", "ingest_dat
     and ingest date; appends never rewrite earlier partitions.
 
     Line breaks between members become spaces (inside JSON strings they are
-    escaped already), so millions of small responses share few files.
+    escaped already), so millions of small responses share few files.  A task
+    keeps up to ``OPEN_FILES`` files open and writes its rows as they come;
+    only rows of further partitions are sorted.
     """
-    df.select(one_line(F.col("raw")).alias("raw"), *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
+    spark = df.sparkSession
+    before = spark.conf.get(WRITERS, None)
+    spark.conf.set(WRITERS, OPEN_FILES)
+    try:
+        df.select(one_line(F.col("raw")).alias("raw"), *partition_cols).write.mode("append").partitionBy(*partition_cols).text(path)
+    finally:
+        spark.conf.unset(WRITERS) if before is None else spark.conf.set(WRITERS, before)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

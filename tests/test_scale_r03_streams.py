@@ -51,3 +51,31 @@ def test_documents_land_in_files_for_every_core_and_three_batches(spark):
     L.append_batches(stream.select("raw"), p["out"], p["ckpt"])
     stored = spark.read.parquet(p["out"])
     assert stored.select("batch_id").distinct().count() == 3 and stored.count() == 400
+
+
+def test_archive_is_written_without_a_join_or_a_sort(spark, monkeypatch, tmp_path):
+    from pyspark.sql.readwriter import DataFrameWriter
+    from metroscope.plans.queries import REGISTRY
+    from metroscope.sources import bronze
+    seen, plain, text = [], bronze.write_bronze, DataFrameWriter.text
+
+    def spy(df, path, *args, **kw):
+        seen.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, path, *args, **kw)
+
+    def spy_text(self, *args, **kw):
+        seen.append(spark.conf.get(bronze.WRITERS))
+        return text(self, *args, **kw)
+    monkeypatch.setattr(bronze, "write_bronze", spy)
+    monkeypatch.setattr(DataFrameWriter, "text", spy_text)
+    assert REGISTRY["bronze_write"][0](spark, "/root/testdata/sf0.001").agg(F.sum("n_files")).first()[0] == spark.read.parquet(
+        "/root/testdata/sf0.001/events.parquet").count()
+    assert seen == [False, str(bronze.OPEN_FILES)]
+    # more partitions than open files: nothing is lost, and the setting is put back
+    monkeypatch.setattr(bronze, "OPEN_FILES", 2)
+    before = spark.conf.get(bronze.WRITERS, None)
+    docs = spark.range(70).select(F.format_string("a\n%d", "id").alias("raw"), F.lit("s").alias("source"), F.format_string("2031-01-%02d", F.col("id") % 7 + 1).alias("ingest_date"))
+    plain(docs, str(tmp_path / "archive"))
+    got = bronze.read_archive(spark, str(tmp_path / "archive")).collect()
+    assert sorted((r.raw, r.ingest_date) for r in got) == sorted((f"a {i}", f"2031-01-{i % 7 + 1:02d}") for i in range(70))
+    assert spark.conf.get(bronze.WRITERS, None) == before
