@@ -99,3 +99,40 @@ def test_shares_are_exact_beyond_64_bit_products():
     count = [rng.randint(0, t - 1) for t in total]
     got = D.shares(np.array(count), np.array(total))
     assert got.tolist() == [1 + 10**9 * (c + 1) // t for c, t in zip(count, total)]
+
+
+def test_a_task_sends_one_row_for_each_term_of_a_language(spark):
+    """However many sources have the term: their counts travel in that row."""
+    docs = [(f"one two three {s}", lang, f"source{k}") for k, s in enumerate("abcdefgh") for lang in ("en", "de")] * 3
+    own = table(spark, docs).coalesce(1)
+    rows = D.term_rows(D.numbered(own, D.groups_of(own)), 64).collect()
+    assert sorted((r.lang, r.name) for r in rows) == sorted((k, t) for k in (1, 2) for t in ["one", "two", "three", *"abcdefgh"])
+    assert {r.name: r.df for r in rows} == {"one": 24, "two": 24, "three": 24} | dict.fromkeys("abcdefgh", 3)
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 5, 10**6])
+def test_terms_cut_by_batches_are_added_up_whole(at_once):
+    import pyarrow as pa
+    rng = random.Random(3)
+    packed = lambda pairs: np.array(pairs, D.PACKED).tobytes()
+    rows = sorted((rng.randint(-9, 9), rng.randint(1, 2), rng.choice(["a", "bb", "lengthy" * 4]), rng.randint(0, 3), tuple((g, rng.randint(1, 99)) for g in sorted(rng.sample(range(1, 6), rng.randint(1, 4)))))
+                  for _ in range(200))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[1] for r in part], pa.int32()), pa.array([r[0] for r in part]), pa.array([r[2] for r in part]), pa.array([r[3] for r in part]),
+                                           pa.array([packed(list(r[4])) for r in part], pa.binary())], ["lang", "digest", "name", "df", "packed"]) for part in (rows[i:i + 3] for i in range(0, 200, 3))]
+    got = [r for b in D._in_order(iter(batches), ["digest", "lang"], 4, at_once) for r in b.to_pylist()]
+    want = defaultdict(lambda: [0, [], Counter()])
+    for digest, lang, name, df, pairs in rows:
+        held = want[digest, lang]
+        held[0] += df
+        held[1].append(name)
+        held[2].update(dict(pairs))
+    assert [(r["digest"], r["lang"], r["low"], r["high"], {g["grp"]: g["n"] for g in r["by_group"]}, r["lang_n"]) for r in got] == [
+        (d, k, min(names), max(names), dict(n), sum(n.values())) for (d, k), (df, names, n) in sorted(want.items()) if df >= 4]
+
+
+def test_shares_in_64_bits_equal_those_in_decimals(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    rows = [(n, t, v) for t in [1, 7, 10**5, 10**9 + 7, 10**13, 9 * 10**13 - 1, 9 * 10**13, 10**17] for v in (1, 5) for n in {0, 1, t // 3, t - 1, t, rng.randint(0, t)} if n <= t]
+    df = spark.createDataFrame(rows, "n long, t long, v long")
+    assert [r.p for r in df.select(D.share(F.col("n"), F.col("t"), F.col("v")).alias("p")).collect()] == [1 + 10**9 * (n + 1) // (t + v) for n, t, v in rows]
