@@ -65,6 +65,12 @@ def test_points_of_one_dense_place_are_shared_by_all_tasks(spark):
     assert sum(r["count"] for r in tasks) == 200_000 and len(tasks) >= 4 and max(r["count"] for r in tasks) <= 50_000
 
 
+def test_points_in_many_partitions_keep_as_many_tasks(spark):
+    P = spark.range(0, 4000, 1, 90).select(F.col("id").alias("pid"), F.lit(48.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    S = spark.createDataFrame([("s", 48.0, 2.0)], "sensor_id string, " + PLACE)
+    assert spatial.within_radius(P, S, 5.0).groupBy(F.spark_partition_id()).count().count() == 90
+
+
 def test_rounding_of_pairs_is_the_rounding_of_all_queries(spark):
     rnd = random.Random(2)
     values = [rnd.uniform(-10, 10) for _ in range(3000)] + [k / 10**7 for k in range(-300, 300)] + [rnd.uniform(-1, 1) * 10.0**k for k in range(-12, 20)]
