@@ -37,6 +37,11 @@ def digest(text: str | Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
+def row_key(digest: str | Column, doc_id: str | Column) -> Column:
+    """Digest and doc_id as one string: 64 hex digits, then ``:`` and the id if there is one."""
+    return F.concat_ws(":", digest, (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"))
+
+
 class DigestIndex:
     """The digest index stored at ``path`` (a shared folder).
 
@@ -92,15 +97,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents of ``docs`` whose text is new to the index, one row for each text, all columns.
 
     The join key holds the doc_id beside the digest, so the rows of one much
-    copied text spread over all tasks.
+    copied text spread over all tasks.  It is one string that is never null:
+    the join adds no filter that would hash each text again, and its shuffle
+    and sort, the only ones whole rows go through, serve the removal of
+    repeated rows too.
     """
     fresh = index.add(keys(docs))
     names = docs.columns
-    # clash-free helper columns: no input column can have the same name
+    # a clash-free helper column: no input column can have the same name
     mark = "__k" + hashlib.md5("|".join(names).encode()).hexdigest()[:8]
-    left = docs.withColumn(f"{mark}d", digest("text")).withColumn(f"{mark}i", F.col("doc_id").cast("long"))
-    right = fresh.select(F.col("digest").alias(f"{mark}d2"), F.col("keep_id").alias(f"{mark}i2"))
-    same = (F.col(f"{mark}d") == F.col(f"{mark}d2")) & F.col(f"{mark}i").eqNullSafe(F.col(f"{mark}i2"))
-    kept = left.join(right.hint("merge"), same, "left_semi")
-    # repeated rows of a kept doc_id fall together here; the join's partitioning is reused
-    return kept.dropDuplicates([f"{mark}d", f"{mark}i"]).select(*map(quoted, names))
+    left = docs.withColumn(mark, row_key(digest("text"), F.col("doc_id").cast("long")))
+    right = fresh.select(row_key("digest", "keep_id").alias(mark))
+    # repeated rows of a kept doc_id fall together here
+    return left.join(right.hint("merge"), mark, "left_semi").dropDuplicates([mark]).select(*map(quoted, names))

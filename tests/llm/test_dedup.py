@@ -38,6 +38,15 @@ def test_exact_filter_keeps_one_row_of_each_text_and_all_columns(spark):
     assert sorted(texts) == sorted({H.low(t) for _, t in H.TEXTS})
 
 
+def test_exact_filter_moves_and_hashes_whole_rows_once(spark):
+    docs = runtime.stored(H.awkward(spark, [(1, "One ü"), (1, "one ü"), (2, "ONE ü"), (2, "one ü"), (None, "two"), (None, "Two"), (None, None), (3, "")]), "t-docs")
+    kept = exact_dedup.deduplicate(docs, _index(spark))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("+- Sort [") + plan.count(":- Sort [") == 2  # rows and kept keys
+    assert plan.count("sha2(") == 1
+    assert sorted((r.doc_id or 0, H.low(r.text)) for r in kept.collect()) == [(0, "two"), (2, "one ü"), (3, "")]
+
+
 def test_exact_index_persists_between_batches(spark):
     path = runtime.scratch(spark, "t-index")
     first = exact_dedup.DigestIndex(spark, path, 4)
