@@ -71,6 +71,18 @@ def test_points_in_many_partitions_keep_as_many_tasks(spark):
     assert spatial.within_radius(P, S, 5.0).groupBy(F.spark_partition_id()).count().count() == 90
 
 
+def test_points_of_a_region_follow_each_other(spark):
+    town = F.pmod(F.hash("id"), F.lit(30))
+    P = spark.range(0, 6000, 1, 3).select(F.col("id").alias("pid"), town.alias("town"), (40.0 + town / 2.0 + F.col("id") % 89 / 1e5).alias("latitude"),
+                                          (2.0 + F.col("id") % 97 / 1e5).alias("longitude"))
+    S = spark.createDataFrame([(f"s{i}", 40.0 + i / 2.0, 2.0) for i in range(30)], "sensor_id string, " + PLACE)
+    rows = spatial.within_radius(P, S, 5.0).select(F.spark_partition_id().alias("task"), "town").collect()
+    assert len(rows) == 6000
+    for task in {r["task"] for r in rows}:
+        met = [r["town"] for r in rows if r["task"] == task]
+        assert sum(a != b for a, b in zip(met, met[1:])) == len(set(met)) - 1
+
+
 def test_rounding_of_pairs_is_the_rounding_of_all_queries(spark):
     rnd = random.Random(2)
     values = [rnd.uniform(-10, 10) for _ in range(3000)] + [k / 10**7 for k in range(-300, 300)] + [rnd.uniform(-1, 1) * 10.0**k for k in range(-12, 20)]
